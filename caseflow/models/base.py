@@ -68,6 +68,7 @@ class ScorerRegistry:
         return out
 
 
-def split_of(key: Column, held_out: int = 3) -> Column:
-    """Stable train / held-out assignment in tenths; depends on the key alone."""
-    return F.when(stable_bucket(key, 10) >= 10 - held_out, "held_out").otherwise("train")
+def split_of(key: Column) -> Column:
+    """Stable 6:2:2 assignment to train, calibrate and held_out; depends on the key alone."""
+    bucket = stable_bucket(key, 10)
+    return F.when(bucket >= 8, "held_out").when(bucket >= 6, "calibrate").otherwise("train")

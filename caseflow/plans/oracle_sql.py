@@ -52,6 +52,9 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN id % 113 = 0 THEN category_id + 10 ELSE category_id END AS category_id,
           CASE WHEN id % 127 = 0 THEN 'urgent' ELSE priority END AS priority,
           CASE WHEN id % 131 = 0 THEN assignee_id + 1000000000 ELSE assignee_id END AS assignee_id) FROM complaints"""),
+    "chains": (["damaged"], """
+        SELECT id, duplicate_of AS root, 1::BIGINT AS hops FROM damaged WHERE duplicate_of IS NOT NULL AND duplicate_of <> id
+        UNION ALL SELECT c.id, d.duplicate_of, c.hops + 1 FROM chains c JOIN damaged d ON d.id = c.root WHERE d.duplicate_of IS NOT NULL AND d.duplicate_of <> d.id"""),
     "users": ([], "SELECT c_custkey AS id, c_name AS username, c_custkey = 0 AS is_superuser, c_acctbal FROM customer"),
     "elevated": ([], """
         SELECT c_custkey AS user_id, CASE WHEN c_custkey % 20 = 0 THEN 'Admin' ELSE 'Agent' END AS group_name FROM customer WHERE c_custkey % 20 <= 3"""),
@@ -79,8 +82,8 @@ TABLES: dict[str, tuple[list[str], str]] = {
     "latest": (["predictions"], """
         SELECT * FROM predictions QUALIFY row_number() OVER (PARTITION BY complaint_id, kind ORDER BY created_at DESC, id DESC) = 1"""),
     "history": (["complaints"], """
-        SELECT e.id, c.id AS complaint_id, domain_id, e.kind, from_value, to_value, CASE WHEN c.id % 11 <> 0 THEN submitted_by END AS actor_id, prediction_id, note, at AS created_at FROM complaints c, LATERAL (
-          SELECT c.id * 10 + 1 AS id, 'category' AS kind, NULL::VARCHAR AS from_value, c.category_slug AS to_value, CASE WHEN c.id % 3 <> 0 THEN c.id * 10 + 1 WHEN c.id % 29 = 0 THEN c.id * 10 + 3 END AS prediction_id, '' AS note, c.triaged_at AS at WHERE c.category_slug IS NOT NULL
+        SELECT e.id, c.id AS complaint_id, domain_id, e.kind, from_value, to_value, CASE WHEN c.id % 11 <> 0 THEN submitted_by END AS actor_id, prediction_id, note, moment AS created_at FROM complaints c, LATERAL (
+          SELECT c.id * 10 + 1 AS id, 'category' AS kind, NULL::VARCHAR AS from_value, c.category_slug AS to_value, CASE WHEN c.id % 3 <> 0 THEN c.id * 10 + 1 WHEN c.id % 29 = 0 THEN c.id * 10 + 3 END AS prediction_id, '' AS note, c.triaged_at AS moment WHERE c.category_slug IS NOT NULL
           UNION ALL SELECT c.id * 10 + 2, 'priority', NULL, c.priority, NULL, '', c.triaged_at WHERE c.category_slug IS NOT NULL
           UNION ALL SELECT c.id * 10 + 3, 'status', 'submitted', 'in_review', NULL, 'Triaged', c.triaged_at WHERE c.category_slug IS NOT NULL
           UNION ALL SELECT c.id * 10 + 4, 'status', 'in_review', 'in_progress', NULL, '', c.triaged_at + to_hours(1) WHERE c.status IN ('in_progress','resolved','closed')
@@ -131,6 +134,19 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN n.op = 'transition' AND f.status = 'in_progress' AND n.to_status = 'resolved' THEN coalesce(f.resolved_at, n.ts) ELSE f.resolved_at END,
           n.ts, n.actor_id, CASE WHEN n.op = 'triage' AND n.refusal IS NULL THEN n.category_id ELSE f.category_id END
         FROM folded f JOIN numbered n ON n.complaint_id = f.complaint_id AND n.rn = f.rn + 1"""),
+    "marks": (["commands", "folded"], """
+        SELECT *, row_number() OVER (ORDER BY ts, seq) AS n FROM (
+          SELECT m.seq, m.ts, m.complaint_id, m.domain_id, m.canonical_id, coalesce(arg_max(f.status, f.rn), 'submitted') AS base, m.canonical_id IN (SELECT complaint_id FROM commands) AS known
+          FROM commands m LEFT JOIN folded f ON f.complaint_id = m.complaint_id AND (f.ts < m.ts OR (f.ts = m.ts AND f.seq < m.seq)) WHERE m.op = 'mark_duplicate' GROUP BY ALL)"""),
+    # All marks in time order, carrying the list of duplicates so far.
+    "walk": (["marks"], """
+        SELECT 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::TIMESTAMP AS ts, NULL::BIGINT AS complaint_id, NULL::BIGINT AS canonical_id, NULL::VARCHAR AS status_before, NULL::VARCHAR AS reason, []::BIGINT[] AS dups
+        UNION ALL
+        SELECT n, seq, ts, complaint_id, canonical_id, status_before, reason, CASE WHEN reason IS NULL THEN list_append(dups, complaint_id) ELSE dups END FROM (
+          SELECT m.n, m.seq, m.ts, m.complaint_id, m.canonical_id, w.dups, CASE WHEN list_contains(w.dups, m.complaint_id) THEN 'duplicate' ELSE m.base END AS status_before,
+            CASE WHEN NOT known THEN 'unknown_canonical' WHEN m.canonical_id = m.complaint_id THEN 'self_duplicate' WHEN list_contains(w.dups, m.canonical_id) THEN 'canonical_is_duplicate'
+              WHEN m.canonical_id % 5 <> m.domain_id THEN 'cross_domain' WHEN list_contains(w.dups, m.complaint_id) OR m.base NOT IN ('submitted','in_review','in_progress') THEN 'status' END AS reason
+          FROM walk w JOIN marks m ON m.n = w.n + 1)"""),
     "graded": (["predictions", "complaints"], """
         SELECT p.complaint_id, c.category_slug AS label, coalesce(p.slug, '(abstained)') AS predicted FROM predictions p JOIN complaints c ON c.id = p.complaint_id WHERE p.kind = 'triage' AND p.model_version <> 'v0'"""),
     "shortlists": (["complaints"], """
@@ -265,10 +281,10 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "acceptance_verdict": (["judged"], "SELECT id, complaint_id, kind, to_value, prediction_kind, accepted FROM judged WHERE kind IN ('category','duplicate')"),
     "latest_prediction": (["latest"], "SELECT complaint_id, kind, id, model_version, created_at FROM latest"),
     "model_registry": (["domains", "predictions"], """
-        SELECT slug AS domain_slug, kind, version AS model_version, coalesce(n, 0)::BIGINT AS n_predictions FROM (
+        SELECT slug AS domain_slug, w.kind, w.version AS model_version, coalesce(n, 0)::BIGINT AS n_predictions FROM (
           SELECT id, slug, kind, CASE WHEN kind = 'risk' THEN 'v1' WHEN slug = 'asia' AND kind = 'triage' THEN 'v2' WHEN slug = 'europe' AND kind = 'triage' THEN 'v1' ELSE 'null' END AS version
           FROM domains, (VALUES ('triage'),('dedup'),('risk')) k(kind))
-        LEFT JOIN (SELECT domain_id, kind, model_version AS version, count(*) AS n FROM predictions GROUP BY ALL) p ON p.domain_id = id AND p.kind = kind AND p.version = version"""),
+        w LEFT JOIN (SELECT domain_id, kind, model_version AS version, count(*) AS n FROM predictions GROUP BY ALL) p ON p.domain_id = w.id AND p.kind = w.kind AND p.version = w.version"""),
     "category_history_asof": (["past"], """
         SELECT id, category_id, n_resolved, CASE WHEN n_resolved > 0 THEN round(s / n_resolved / 3600, 6) END AS mean_resolution_hours, CASE WHEN n_resolved > 0 THEN round(b / n_resolved, 6) END AS breach_rate FROM past WHERE probe"""),
     "default_role": (["user_groups"], "SELECT user_id, group_name FROM user_groups"),
@@ -333,6 +349,14 @@ QUERIES: dict[str, tuple[list[str], str]] = {
           UNION ALL SELECT complaint_id, seq, 2, 'status', 'submitted', 'in_review', actor_id, 'Triaged', ts FROM folded WHERE op = 'triage' AND reason IS NULL AND status_before = 'submitted'
           UNION ALL SELECT complaint_id, seq, 3, 'assignment', old_assignee, assignee, actor_id, '', ts FROM folded WHERE op = 'assign'
           UNION ALL SELECT complaint_id, seq, 4, 'status', status_before, status, actor_id, '', ts FROM folded WHERE op = 'transition' AND reason IS NULL)"""),
+    "lifecycle_duplicates": (["folded", "walk"], """
+        SELECT m.complaint_id, m.complaint_id % 5 AS domain_id, CASE WHEN w.seq IS NOT NULL THEN 'duplicate' ELSE coalesce(f.status, 'submitted') END AS status, f.category_id, f.slug AS category_slug, f.priority, f.assignee,
+          w.canonical_id AS duplicate_of, f.triaged_at, f.triaged_at + to_hours(f.sla) AS due_at, CASE WHEN w.seq IS NULL OR f.resolved_at < w.ts THEN f.resolved_at END AS resolved_at
+        FROM (SELECT DISTINCT complaint_id FROM commands) m
+          LEFT JOIN (SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY complaint_id ORDER BY rn DESC) = 1) f USING (complaint_id)
+          LEFT JOIN (SELECT * FROM walk WHERE reason IS NULL AND seq IS NOT NULL) w USING (complaint_id)"""),
+    "duplicate_refusals": (["walk"], "SELECT complaint_id, seq, ts, 'mark_duplicate' AS op, status_before, reason FROM walk WHERE reason IS NOT NULL"),
+    "canonical_root": (["chains"], "SELECT id, root, hops FROM chains QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops DESC) = 1"),
     "transition_matrix": (["complaints"], """
         SELECT f.s AS from_status, t.s AS to_status, (f.s, t.s) IN (('submitted','in_review'),('submitted','duplicate'),('in_review','in_progress'),('in_review','duplicate'),('in_progress','resolved'),('in_progress','duplicate'),('resolved','closed'),('resolved','in_progress')) AS allowed,
           (SELECT count(*) FROM complaints WHERE status = f.s) AS n_complaints FROM (VALUES ('submitted'),('in_review'),('in_progress'),('resolved'),('closed'),('duplicate')) f(s), (VALUES ('submitted'),('in_review'),('in_progress'),('resolved'),('closed'),('duplicate')) t(s)"""),
@@ -363,7 +387,8 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "risk_bands": (["predictions"], """
         SELECT complaint_id, score, CASE WHEN score >= 0.66 THEN 'high' WHEN score >= 0.33 THEN 'medium' ELSE 'low' END AS band FROM predictions WHERE kind = 'risk'"""),
     "holdout_split": ([], """
-        SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10 >= 7 THEN 'held_out' ELSE 'train' END AS split FROM documents"""),
+        SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10 >= 8 THEN 'held_out'
+          WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10 >= 6 THEN 'calibrate' ELSE 'train' END AS split FROM documents"""),
     "risk_features": (["complaints", "past", "depths", "loads"], """
         SELECT c.id, c.domain_id, sla_hours::BIGINT AS sla_hours, coalesce(CASE WHEN n_resolved > 0 THEN round(s / n_resolved / 3600, 6) END, 0.0) AS category_mean_resolution_hours,
           coalesce(CASE WHEN n_resolved > 0 THEN round(b / n_resolved, 6) END, 0.0) AS category_breach_rate,
