@@ -166,6 +166,14 @@ TABLES: dict[str, tuple[list[str], str]] = {
     "auc": (["ranked"], """
         SELECT (sum(r) FILTER (WHERE label) - count(*) FILTER (WHERE label) * (count(*) FILTER (WHERE label) + 1) / 2.0) / (count(*) FILTER (WHERE label)::DOUBLE * count(*) FILTER (WHERE NOT label)) AS value
         FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM ranked)"""),
+    "tokens": ([], r"SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents"),
+    "words": (["tokens"], """
+        SELECT doc_id, 1::BIGINT AS n, w AS grams FROM tokens UNION ALL SELECT doc_id, 2, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) FROM tokens"""),
+    "letters": ([], r"SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '\s+', ' ', 'g'), '(?s).') AS c FROM documents"),
+    "chars": (["letters"], """
+        SELECT doc_id, 3::BIGINT AS n, list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) AS grams FROM letters
+        UNION ALL SELECT doc_id, 4, list_transform(range(1, len(c) - 2), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3]) FROM letters
+        UNION ALL SELECT doc_id, 5, list_transform(range(1, len(c) - 3), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4]) FROM letters"""),
     "finance": ([], """
         SELECT doc_id::VARCHAR AS external_id, text, CASE lang WHEN 'en' THEN 'Mortgage' WHEN 'fr' THEN 'Credit card' WHEN 'de' THEN 'Debt collection' WHEN 'es' THEN 'Other' END AS category_label,
           TIMESTAMP '2024-01-01' + to_days((doc_id % 365)::INTEGER) AS submitted_at, NULL::TIMESTAMP AS resolved_at, CASE quality WHEN 1 THEN TRUE WHEN 0 THEN FALSE END AS sla_met
@@ -197,6 +205,11 @@ TABLES: dict[str, tuple[list[str], str]] = {
         WINDOW w AS (PARTITION BY category_id ORDER BY moment RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"""),
 }
 
+_DIGEST = """
+        SELECT n, count(*) AS n_distinct, sum(tf)::BIGINT AS n_grams, sum(df)::BIGINT AS sum_df, max(df)::BIGINT AS max_df, sum(h)::VARCHAR AS sum_hash FROM (
+          SELECT n, gram, sum(tf)::BIGINT AS tf, count(*) AS df, ('0x' || substr(md5(concat_ws(chr(31), gram, sum(tf)::BIGINT::VARCHAR, count(*)::VARCHAR)), 1, 15))::BIGINT::DECIMAL(38,0) AS h
+          FROM (SELECT doc_id, n, gram, count(*) AS tf FROM (SELECT doc_id, n, unnest(grams) AS gram FROM {source}) GROUP BY ALL) GROUP BY n, gram) GROUP BY n"""
+
 _C = "id, domain_id, category_id, category_slug, sla_hours, priority, status, submitted_by, assignee_id, duplicate_of, created_at, triaged_at, due_at, resolved_at"
 
 QUERIES: dict[str, tuple[list[str], str]] = {
@@ -389,6 +402,18 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "holdout_split": ([], """
         SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10 >= 8 THEN 'held_out'
           WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10 >= 6 THEN 'calibrate' ELSE 'train' END AS split FROM documents"""),
+    "word_ngrams": (["words"], _DIGEST.format(source="words")),
+    "char_ngrams": (["chars"], _DIGEST.format(source="chars")),
+    "perturb": ([], """
+        SELECT doc_id AS original_id, kind, md5(t) AS digest, length(t) AS n_chars FROM (
+          SELECT doc_id, 'truncate' AS kind, array_to_string(w[1:greatest(1, floor(len(w) * 6 / 10)::BIGINT)], ' ') AS t FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
+          UNION ALL SELECT doc_id, 'typos', array_to_string(list_transform(w, lambda x, i: CASE WHEN (doc_id * 31 + (i - 1) * 17) % 10 = 0 AND length(x) >= 3 THEN substr(x, 1, 1) || substr(x, 3, 1) || substr(x, 2, 1) || substr(x, 4) ELSE x END), ' ')
+            FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))"""),
+    "dedup_topk": ([], """
+        SELECT query_id, match_id, similarity, rank FROM (
+          SELECT a.vec_id AS query_id, b.vec_id AS match_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
+            row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank
+          FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5 AND similarity >= 0.3"""),
     "risk_features": (["complaints", "past", "depths", "loads"], """
         SELECT c.id, c.domain_id, sla_hours::BIGINT AS sla_hours, coalesce(CASE WHEN n_resolved > 0 THEN round(s / n_resolved / 3600, 6) END, 0.0) AS category_mean_resolution_hours,
           coalesce(CASE WHEN n_resolved > 0 THEN round(b / n_resolved, 6) END, 0.0) AS category_breach_rate,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseflow.plans import oracle_sql, relational
+from caseflow.plans import modelled, oracle_sql, relational  # noqa: F401  (importing registers the queries)
 
 
 def queries() -> dict[str, relational.Query]:
@@ -10,4 +10,4 @@ def queries() -> dict[str, relational.Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {name: oracle_sql.statement(name) for name in oracle_sql.QUERIES if name in queries()}
+    return {name: oracle_sql.statement(name) for name in queries() if name in oracle_sql.QUERIES}
