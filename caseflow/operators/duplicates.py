@@ -27,10 +27,10 @@ def first_accepted(marks: DataFrame, settled: DataFrame) -> DataFrame:
     ``lo`` supposes only canonicals that are surely duplicates refuse, ``hi`` that all possible
     ones do. Where they meet the complaint is settled and leaves the loop.
     """
-    open_marks = pin(marks, "marks")
+    all_marks = open_marks = pin(marks, "marks")
     settled = pin(settled, "settled")
-    lo = open_marks.groupBy("complaint_id").agg(F.min("order").alias("lo"))
-    bounds = pin(lo.withColumn("hi", F.lit(None).cast(lo.schema["lo"].dataType)), "bounds")
+    lo = all_marks.groupBy("complaint_id").agg(F.min("order").alias("lo"))
+    bounds = lo.withColumn("hi", F.lit(None).cast(lo.schema["lo"].dataType))
     parts = [settled]
     while True:
         known = parts[0]
@@ -53,7 +53,7 @@ def first_accepted(marks: DataFrame, settled: DataFrame) -> DataFrame:
         bounds = step.filter(~decided)
         if bounds.isEmpty():
             break
-        open_marks = pin(open_marks.join(bounds.select("complaint_id"), "complaint_id", "left_semi"), "marks")
+        open_marks = all_marks.join(bounds.select("complaint_id"), "complaint_id", "left_semi")
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

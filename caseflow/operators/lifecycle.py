@@ -32,7 +32,7 @@ STATE_COLUMNS = [
     "complaint_id", "domain_id", "status", "category_id", "category_slug", "priority", "assignee",
     "duplicate_of", "triaged_at", "due_at", "resolved_at",
 ]
-_BEGINNING = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+_BEGINNING = "0001-01-01 00:00:00"
 
 
 @dataclass
@@ -102,7 +102,7 @@ def _state_rows(snapshot: DataFrame, categories: DataFrame) -> DataFrame:
     """Earlier state as one pseudo-command per complaint that precedes all others."""
     sla = categories.select(F.col("id").alias("category_id"), "sla_hours")
     return snapshot.join(sla, "category_id", "left").select(
-        F.lit(-1).cast("long").alias("seq"), _BEGINNING.alias("ts"), "complaint_id", "domain_id", F.lit("_state").alias("op"),
+        F.lit(-1).cast("long").alias("seq"), F.lit(_BEGINNING).cast("timestamp_ntz").alias("ts"), "complaint_id", "domain_id", F.lit("_state").alias("op"),
         F.col("status").alias("to_status"), "category_id", "priority", "assignee", F.col("duplicate_of").alias("canonical_id"),
         "category_slug", "sla_hours", F.col("triaged_at").alias("state_triaged_at"), F.col("resolved_at").alias("state_resolved_at"),
     )

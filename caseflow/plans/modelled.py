@@ -12,7 +12,7 @@ from caseflow.models.base import split_of
 from caseflow.operators import evaluate, similar
 from caseflow.plans.relational import CONFIDENCE_THRESHOLD, RISK_BANDS, query, risk_features
 from caseflow.session import pin
-from caseflow.sources.tables import Tables
+from caseflow.sources.tables import Tables, spread
 
 TOP_K = 5
 EMBEDDING_THRESHOLD = 0.3
@@ -21,7 +21,7 @@ KS = [1, 5]
 
 
 def _documents(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"), split_of(F.col("doc_id")).alias("split"))
+    return spread(t.documents).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"), split_of(F.col("doc_id")).alias("split"))
 
 
 @lru_cache(maxsize=4)
@@ -45,12 +45,12 @@ def _risk_model(spark: SparkSession, directory: str) -> risk.RiskModel:
 
 @query
 def word_ngrams(t: Tables) -> DataFrame:
-    return text.gram_digest(text.word_gram_counts(t.documents))
+    return text.gram_digest(text.word_gram_counts(spread(t.documents)))
 
 
 @query
 def char_ngrams(t: Tables) -> DataFrame:
-    return text.gram_digest(text.char_gram_counts(t.documents))
+    return text.gram_digest(text.char_gram_counts(spread(t.documents)))
 
 
 @query

@@ -125,12 +125,12 @@ def pack_categories(t: Tables) -> DataFrame:
 
 @query
 def complaint_view(t: Tables) -> DataFrame:
-    return queue.complaint_view(E.complaints(t, [*E.CORE_COLUMNS, "title", "body"]), E.users(t), E.AS_OF)
+    return queue.complaint_view(E.complaints(t, [*E.CORE_COLUMNS, "title", "body"]), E.users(t), E.as_of())
 
 
 @query
 def overdue(t: Tables) -> DataFrame:
-    return queue.overdue(E.complaints(t, ["id", "status", "due_at", "resolved_at"]), E.AS_OF).drop("resolved_at")
+    return queue.overdue(E.complaints(t, ["id", "status", "due_at", "resolved_at"]), E.as_of()).drop("resolved_at")
 
 
 @query
@@ -141,7 +141,7 @@ def my_complaints(t: Tables) -> DataFrame:
 
 @query
 def agent_queue(t: Tables) -> DataFrame:
-    return queue.agent_queue(E.complaints(t), E.domains(t), E.AS_OF)
+    return queue.agent_queue(E.complaints(t), E.domains(t), E.as_of())
 
 
 @query
@@ -180,12 +180,12 @@ def legal_actions(t: Tables) -> DataFrame:
 
 @query
 def queue_display(t: Tables) -> DataFrame:
-    return queue.queue_display(E.complaints(t), E.domains(t), E.categories(t), E.users(t), E.AS_OF)
+    return queue.queue_display(E.complaints(t), E.domains(t), E.categories(t), E.users(t), E.as_of())
 
 
 @query
 def intake_defaults(t: Tables) -> DataFrame:
-    return keyed.new_complaints(keyed.validate_intake(E.intake_requests(t), E.domains(t)).filter("accepted"), E.AS_OF)
+    return keyed.new_complaints(keyed.validate_intake(E.intake_requests(t), E.domains(t)).filter("accepted"), E.as_of())
 
 
 @query
@@ -367,7 +367,7 @@ def submitted_parts(t: Tables) -> DataFrame:
     at = F.col("created_at")
     return E.complaints(t, ["id", "created_at"]).select(
         "id", F.hour(at).cast("long").alias("submitted_hour"), F.weekday(at).cast("long").alias("submitted_weekday"),
-        F.round(fn.seconds_between(at, E.AS_OF) / 3600, 6).alias("age_hours"),
+        F.round(fn.seconds_between(at, E.as_of()) / 3600, 6).alias("age_hours"),
     )
 
 

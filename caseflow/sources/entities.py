@@ -15,7 +15,11 @@ from caseflow import schema as S
 from caseflow.functions.scalar import due_at, hours
 from caseflow.sources.tables import Tables
 
-AS_OF = F.lit("2001-08-03 00:00:00").cast("timestamp_ntz")
+
+def as_of() -> Column:
+    """The fixed clock of all checked queries."""
+    return F.lit("2001-08-03 00:00:00").cast("timestamp_ntz")
+
 
 # market segment -> (category number inside its domain, sla_hours)
 SEGMENTS = {
