@@ -29,6 +29,8 @@ def first_accepted(marks: DataFrame, settled: DataFrame) -> DataFrame:
     """
     all_marks = open_marks = pin(marks, "marks")
     settled = pin(settled, "settled")
+    if all_marks.isEmpty():
+        return settled
     lo = all_marks.groupBy("complaint_id").agg(F.min("order").alias("lo"))
     bounds = lo.withColumn("hi", F.lit(None).cast(lo.schema["lo"].dataType))
     parts = [settled]

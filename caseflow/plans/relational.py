@@ -86,10 +86,11 @@ def append_conflicts(t: Tables) -> DataFrame:
 
 @query
 def cascade_delete(t: Tables) -> DataFrame:
-    gone = _closed(t)
+    stored = E.stored_complaints(t)
+    gone = stored.filter(F.col("status") == "closed").select("id")
     parts = [
         keyed.cascade_delete(child.select("id", "complaint_id"), "complaint_id", gone).withColumn("child", F.lit(name))
-        for name, child in (("event", E.history(t)), ("prediction", E.predictions(t)))
+        for name, child in (("event", E.history(t, stored)), ("prediction", E.predictions(t, stored)))
     ]
     return parts[0].unionByName(parts[1])
 
@@ -157,7 +158,7 @@ def triage_validate(t: Tables) -> DataFrame:
 
 @query
 def unknown_refs(t: Tables) -> DataFrame:
-    c, m = E.complaints(t, dirty=True), E.commands(t)
+    c, m = E.damaged(E.stored_complaints(t)), E.commands(t)
     key = F.col("id")
     return keyed.unknown_refs({
         "assignee": (c, F.col("assignee_id"), E.users(t), key),
@@ -206,9 +207,10 @@ def queue_page(t: Tables) -> DataFrame:
 
 @query
 def risk_queue(t: Tables) -> DataFrame:
-    risk = evidence.latest_predictions(E.predictions(t).filter(F.col("kind") == "risk"))
+    stored = E.stored_complaints(t)
+    risk = evidence.latest_predictions(E.predictions(t, stored).filter(F.col("kind") == "risk"))
     scores = risk.select(F.col("complaint_id").alias("id"), fn.payload_score(F.col("payload")).alias("score"))
-    rows = queue.open_queue(E.complaints(t, ["id", "status", "due_at"])).join(scores, "id", "left")
+    rows = queue.open_queue(stored.select("id", "status", "due_at")).join(scores, "id", "left")
     return global_position(rows, [F.col("score").desc_nulls_last(), F.col("due_at").asc_nulls_first(), F.col("id").asc()])
 
 
@@ -248,13 +250,16 @@ def visible_counts(t: Tables) -> DataFrame:
 # --- evidence -----------------------------------------------------------------------------------
 
 
-def _judged(t: Tables, kinds: tuple[str, ...] = ("category", "duplicate")) -> DataFrame:
-    return evidence.verdicts(E.history(t).filter(F.col("kind").isin(*kinds)), E.predictions(t))
+def _judged(t: Tables, *kinds: str) -> DataFrame:
+    stored = E.stored_complaints(t)
+    # Only these kinds of event answer a prediction, and only these kinds of prediction get a verdict.
+    return evidence.verdicts(E.history(t, stored).filter(F.col("kind").isin(*(kinds or ("category", "duplicate")))), E.predictions(t, stored))
 
 
 @query
 def complaint_history(t: Tables) -> DataFrame:
-    return queue.complaint_history(E.history(t), E.users(t), E.predictions(t))
+    stored = E.stored_complaints(t)
+    return queue.complaint_history(E.history(t, stored), E.users(t), E.predictions(t, stored))
 
 
 @query
@@ -274,7 +279,7 @@ def acceptance_rate(t: Tables) -> DataFrame:
 
 @query
 def override_corpus(t: Tables) -> DataFrame:
-    return evidence.override_corpus(_judged(t, ("category",)), E.complaints(t, ["id", "title", "body"]))
+    return evidence.override_corpus(_judged(t, "category"), E.complaints(t, ["id", "title", "body"]))
 
 
 @query
@@ -289,7 +294,8 @@ def model_registry(t: Tables) -> DataFrame:
 
 @query
 def history_replay_diff(t: Tables) -> DataFrame:
-    return evidence.history_replay_diff(E.complaints(t, dirty=True), E.history(t))
+    stored = E.stored_complaints(t)
+    return evidence.history_replay_diff(E.damaged(stored), E.history(t, stored))
 
 
 @query
@@ -344,12 +350,12 @@ def category_history(t: Tables) -> DataFrame:
 
 @query
 def category_history_asof(t: Tables) -> DataFrame:
-    return sla.category_history_asof(E.complaints(t))
+    return sla.category_history_asof(E.stored_complaints(t))
 
 
 @query
 def queue_depth(t: Tables) -> DataFrame:
-    return sla.queue_depth(E.complaints(t))
+    return sla.queue_depth(E.stored_complaints(t))
 
 
 @query
@@ -385,7 +391,7 @@ def text_lengths(t: Tables) -> DataFrame:
 
 @query
 def risk_features(t: Tables) -> DataFrame:
-    return sla.risk_features(E.complaints(t), text_lengths(t))
+    return sla.risk_features(E.stored_complaints(t), text_lengths(t))
 
 
 @query
@@ -445,7 +451,8 @@ def canonical_root(t: Tables) -> DataFrame:
 
 @query
 def integrity_report(t: Tables) -> DataFrame:
-    return integrity.integrity_report(E.complaints(t, dirty=True), E.domains(t), E.categories(t), E.history(t), E.predictions(t))
+    stored = E.stored_complaints(t)
+    return integrity.integrity_report(E.damaged(stored), E.domains(t), E.categories(t), E.history(t, stored), E.predictions(t, stored))
 
 
 @query
@@ -457,16 +464,18 @@ def taxonomy_drift(t: Tables) -> DataFrame:
 # --- evaluation ---------------------------------------------------------------------------------
 
 
-def _graded(t: Tables) -> DataFrame:
-    answers = E.predictions(t).filter((F.col("kind") == "triage") & (F.col("model_version") != "v0")).select(
+def _graded(t: Tables, stored: DataFrame | None = None) -> DataFrame:
+    stored = E.stored_complaints(t) if stored is None else stored
+    answers = E.predictions(t, stored).filter((F.col("kind") == "triage") & (F.col("model_version") != "v0")).select(
         F.col("complaint_id").alias("id"), fn.payload_slug(F.col("payload")).alias("predicted")
     )
-    return answers.join(E.complaints(t, ["id", "category_slug"]).withColumnRenamed("category_slug", "label"), "id")
+    return answers.join(stored.select("id", "category_slug").withColumnRenamed("category_slug", "label"), "id")
 
 
-def _ranked(t: Tables) -> DataFrame:
-    scores = E.predictions(t).filter(F.col("kind") == "risk").select(F.col("complaint_id").alias("id"), fn.payload_score(F.col("payload")).alias("score"))
-    labels = E.complaints(t, ["id", "due_at", "resolved_at"]).filter(F.col("resolved_at").isNotNull()).select("id", fn.is_breach().alias("label"))
+def _ranked(t: Tables, stored: DataFrame | None = None) -> DataFrame:
+    stored = E.stored_complaints(t) if stored is None else stored
+    scores = E.predictions(t, stored).filter(F.col("kind") == "risk").select(F.col("complaint_id").alias("id"), fn.payload_score(F.col("payload")).alias("score"))
+    labels = stored.filter(F.col("resolved_at").isNotNull()).select("id", fn.is_breach().alias("label"))
     return scores.join(labels, "id")
 
 
@@ -520,7 +529,8 @@ def calibration_curve(t: Tables) -> DataFrame:
 
 @query
 def metric_floor(t: Tables) -> DataFrame:
+    stored = E.stored_complaints(t)
     return evaluate.metric_floor(
-        {"roc_auc": evaluate.roc_auc(_ranked(t)), "macro_f1": evaluate.macro_f1(_graded(t)), "top3_accuracy": evaluate.top_n_accuracy(_shortlists(t), 3, "top3_accuracy").select("top3_accuracy")},
+        {"roc_auc": evaluate.roc_auc(_ranked(t, stored)), "macro_f1": evaluate.macro_f1(_graded(t, stored)), "top3_accuracy": evaluate.top_n_accuracy(_shortlists(t), 3, "top3_accuracy").select("top3_accuracy")},
         FLOORS,
     )

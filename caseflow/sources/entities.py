@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from caseflow import schema as S
 from caseflow.functions.scalar import due_at, hours
+from caseflow.session import pin
 from caseflow.sources.tables import Tables
 
 
@@ -66,6 +67,16 @@ def categories(t: Tables) -> DataFrame:
     )
 
 
+def stored_complaints(t: Tables) -> DataFrame:
+    """The complaint table written once, for queries that look at it from several sides."""
+    return pin(complaints(t), "complaints")
+
+
+def damaged(stored: DataFrame) -> DataFrame:
+    """``stored`` with rows that break the audited rules."""
+    return _damage(stored)
+
+
 def complaints(t: Tables, columns: Sequence[str] | None = None, dirty: bool = False) -> DataFrame:
     columns = list(columns or CORE_COLUMNS)
     need = set(columns) | (_DIRTY_NEEDS if dirty else set())
@@ -204,7 +215,8 @@ def _json_text(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit('"'), value, F.lit('"')), F.lit("null"))
 
 
-def predictions(t: Tables) -> DataFrame:
+def predictions(t: Tables, stored: DataFrame | None = None) -> DataFrame:
+    """``stored`` saves deriving the complaints again where a query has them already."""
     cid, triaged = F.col("id"), F.col("category_slug").isNotNull()
     confidence = (cid % 100) / 100
     triage_payload = F.concat(
@@ -236,7 +248,7 @@ def predictions(t: Tables) -> DataFrame:
         row(4, "triage", triage_payload, F.lit("v0"), F.when(cid % 10 == 0, later).otherwise(F.col("created_at")), scored & (cid % 5 == 0)),
     )
     return (
-        complaints(t, _PREDICTION_NEEDS)
+        (complaints(t, _PREDICTION_NEEDS) if stored is None else stored)
         .select(cid.alias("complaint_id"), "domain_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("p"))
         .select("p.id", "complaint_id", "domain_id", "p.kind", "p.payload", "p.model_name", "p.model_version", "p.created_at")
     )
@@ -245,7 +257,7 @@ def predictions(t: Tables) -> DataFrame:
 _HISTORY_NEEDS = ["id", "domain_id", "category_slug", "priority", "status", "submitted_by", "duplicate_of", "created_at", "triaged_at", "resolved_at"]
 
 
-def history(t: Tables) -> DataFrame:
+def history(t: Tables, stored: DataFrame | None = None) -> DataFrame:
     """The audit trail that the complaints' stored state implies."""
     cid, status = F.col("id"), F.col("status")
     triaged = F.col("category_slug").isNotNull()
@@ -275,7 +287,7 @@ def history(t: Tables) -> DataFrame:
     )
     actor = F.when(cid % 11 != 0, F.col("submitted_by"))
     return (
-        complaints(t, _HISTORY_NEEDS)
+        (complaints(t, _HISTORY_NEEDS) if stored is None else stored)
         .select(cid.alias("complaint_id"), "domain_id", actor.alias("actor_id"),
                 F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("e"))
         .select("e.id", "complaint_id", "domain_id", "e.kind", "e.from_value", "e.to_value", "actor_id", "e.prediction_id", "e.note", "e.created_at")

@@ -19,35 +19,37 @@ def _ms(moment: pd.Timestamp) -> int:
 class DueDateWatch(StatefulProcessor):
     """Per complaint, one timer at its current deadline; resolving cancels it, re-triage moves it.
 
-    State is one deadline and one flag, whatever the number of changes.
+    State is one deadline, the moment that set it, and one flag, whatever the number of changes.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("watch", "due_ms LONG, resolved BOOLEAN")
+        self.state = handle.getValueState("watch", "due_ms LONG, set_ms LONG, resolved BOOLEAN")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changes = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        due, resolved = self.state.get() if self.state.exists() else (-1, False)
+        due, set_at, resolved = self.state.get() if self.state.exists() else (-1, -1, False)
         before = due if not resolved else -1
-        for kind, moment in zip(changes["kind"], changes["due_at"]):
-            if kind == "triage" and not pd.isna(moment):
-                due = _ms(moment)
-            elif kind == "resolved":
-                # The first resolution stands: reopening does not bring the deadline back.
-                resolved = True
-        self.state.update((due, resolved))
+        # Chunk by chunk: a busy complaint's rows are never held together.
+        for chunk in rows:
+            triaged = chunk[(chunk["kind"] == "triage") & chunk["due_at"].notna()]
+            if len(triaged):
+                last = triaged.sort_values("ts", kind="stable").iloc[-1]
+                if _ms(last["ts"]) >= set_at:
+                    due, set_at = _ms(last["due_at"]), _ms(last["ts"])
+            # The first resolution stands: reopening does not bring the deadline back.
+            resolved = resolved or bool((chunk["kind"] == "resolved").any())
+        self.state.update((due, set_at, resolved))
         after = due if not resolved else -1
         if after != before:
-            if before >= 0 and before in list(self.handle.listTimers()):
-                self.handle.deleteTimer(before)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
             if after >= 0:
                 # A deadline already behind the watermark fires as soon as possible.
                 self.handle.registerTimer(max(after + 1, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame({"complaint_id": [], "due_at": [], "alerted_at": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due, resolved = self.state.get()
+        due, _, resolved = self.state.get()
         if due >= 0 and not resolved:
             yield pd.DataFrame({
                 "complaint_id": [key[0]],
