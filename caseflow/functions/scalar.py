@@ -66,3 +66,12 @@ def payload_match_ids(payload: Column) -> Column:
 
 def payload_score(payload: Column) -> Column:
     return F.from_json(payload, S.RISK_PAYLOAD)["score"]
+
+
+def join_key(key: Column, row_id: Column) -> Column:
+    """A nullable foreign key (of non-negative ids) for an outer join.
+
+    Null keys match nothing but would all be shuffled to one task, so each becomes one of many
+    negative numbers, which match nothing either.
+    """
+    return F.coalesce(key, -1 - F.pmod(F.xxhash64(row_id), F.lit(1 << 20)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import schema as S
-from caseflow.functions.scalar import payload_match_ids, payload_slug
+from caseflow.functions.scalar import join_key, payload_match_ids, payload_slug
 
 
 def verdicts(events: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def verdicts(events: DataFrame, predictions: DataFrame) -> DataFrame:
     The rule follows the kind of the prediction, never the kind of the event.
     """
     p = predictions.select(
-        F.col("id").alias("prediction_id"), F.col("kind").alias("prediction_kind"), "payload", "model_version"
+        F.col("id").alias("_prediction"), F.col("kind").alias("prediction_kind"), "payload", "model_version"
     )
     accepted = F.when(
         F.col("prediction_kind") == "triage", payload_slug(F.col("payload")).eqNullSafe(F.col("to_value"))
@@ -23,7 +23,8 @@ def verdicts(events: DataFrame, predictions: DataFrame) -> DataFrame:
         F.col("prediction_kind") == "dedup",
         F.coalesce(F.array_contains(payload_match_ids(F.col("payload")), F.col("to_value")), F.lit(False)),
     )
-    return events.join(p, "prediction_id", "left").withColumn("accepted", accepted)
+    keyed = events.withColumn("_prediction", join_key(F.col("prediction_id"), F.col("id")))
+    return keyed.join(p, "_prediction", "left").drop("_prediction").withColumn("accepted", accepted)
 
 
 def acceptance_rate(judged: DataFrame) -> DataFrame:

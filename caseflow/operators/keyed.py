@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import schema as S
-from caseflow.functions.scalar import content_hash
+from caseflow.functions.scalar import content_hash, join_key
 
 
 def validate_intake(requests: DataFrame, domains: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def unknown_refs(references: dict[str, tuple[DataFrame, Column, DataFrame, Colum
 
 def insert_if_absent(target: DataFrame, incoming: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """``target`` plus the incoming rows whose key it lacks; among equal incoming keys the lowest ``order`` wins."""
-    fresh = incoming.join(target.select(*key), list(key), "left_anti")
+    fresh = incoming.join(target.select(*key).distinct(), list(key), "left_anti")
     winners = fresh.groupBy(*key).agg(F.min(order).alias(order))
     return target.unionByName(fresh.join(winners, [*key, order], "left_semi").select(*target.columns))
 
@@ -77,7 +77,8 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: Sequence[str],
 def ingest_new(batch: DataFrame, loaded: DataFrame, order: str) -> DataFrame:
     """Rows of a batch not yet loaded, one per external id. Running it again on its own result gives nothing."""
     # Choose winners on the narrow key first: texts never enter the aggregation.
-    winners = batch.select("external_id", order).join(loaded.select("external_id"), "external_id", "left_anti").groupBy("external_id").agg(F.min(order).alias(order))
+    known = loaded.select("external_id").distinct()
+    winners = batch.select("external_id", order).groupBy("external_id").agg(F.min(order).alias(order)).join(known, "external_id", "left_anti")
     return batch.join(winners, ["external_id", order], "left_semi")
 
 
@@ -113,8 +114,9 @@ def cascade_delete(children: DataFrame, parent_key: str, deleted: DataFrame) ->
 
 
 def set_null_on_delete(rows: DataFrame, column: str, deleted: DataFrame) -> DataFrame:
-    gone = deleted.select(F.col("id").alias(column), F.lit(True).alias("_gone")).distinct()
-    return rows.join(gone, column, "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
+    gone = deleted.select(F.col("id").alias("_key"), F.lit(True).alias("_gone")).distinct()
+    keyed = rows.withColumn("_key", join_key(F.col(column), F.col("id")))
+    return keyed.join(gone, "_key", "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone", "_key")
 
 
 def protected_delete(deleted: DataFrame, children: DataFrame, column: str) -> DataFrame:

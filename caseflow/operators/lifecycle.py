@@ -159,7 +159,7 @@ def run(
     closed = rows.filter(closes).groupBy("complaint_id").agg(F.min("order").alias("closed_order"))
 
     if known is None:
-        known = rows.groupBy("complaint_id").agg(F.first("domain_id").alias("domain_id"))
+        known = rows.groupBy("complaint_id").agg(F.min("domain_id").alias("domain_id"))
     canon = known.select(F.col("complaint_id").alias("canonical_id"), F.col("domain_id").alias("canonical_domain"))
     marks = (
         rows.filter(op == "mark_duplicate")

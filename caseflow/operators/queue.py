@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import schema as S
-from caseflow.functions.scalar import is_overdue
+from caseflow.functions.scalar import is_overdue, join_key
 from caseflow.operators.scan import global_position
 
 # Pages this deep or less come from a top-n; later ones are found by position.
@@ -65,12 +65,13 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int = S.PAGE_S
 def queue_display(complaints: DataFrame, domains: DataFrame, categories: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
     d = domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain"))
     c = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    u = users.select(F.col("id").alias("assignee_id"), F.col("username").alias("assignee_name"))
+    u = users.select(F.col("id").alias("_assignee"), F.col("username").alias("assignee_name"))
     return (
         open_queue(complaints)
+        .withColumn("_assignee", join_key(F.col("assignee_id"), F.col("id")))
         .join(d, "domain_id")
         .join(c, "category_id", "left")
-        .join(u, "assignee_id", "left")
+        .join(u, "_assignee", "left")
         .select(
             "id",
             "domain",
@@ -128,9 +129,10 @@ def category_options(complaints: DataFrame, domains: DataFrame, categories: Data
 
 def complaint_history(events: DataFrame, users: DataFrame, predictions: DataFrame) -> DataFrame:
     """Audit trail with actor and prediction; both may be gone."""
-    u = users.select(F.col("id").alias("actor_id"), F.col("username").alias("actor"))
-    p = predictions.select(F.col("id").alias("prediction_id"), F.col("kind").alias("prediction_kind"), "model_version")
-    return events.join(u, "actor_id", "left").join(p, "prediction_id", "left").select(
+    u = users.select(F.col("id").alias("_actor"), F.col("username").alias("actor"))
+    p = predictions.select(F.col("id").alias("_prediction"), F.col("kind").alias("prediction_kind"), "model_version")
+    keyed = events.withColumns({"_actor": join_key(F.col("actor_id"), F.col("id")), "_prediction": join_key(F.col("prediction_id"), F.col("id"))})
+    return keyed.join(u, "_actor", "left").join(p, "_prediction", "left").select(
         F.col("id").alias("event_id"), "complaint_id", "kind", S.label(F.col("kind"), S.EVENT_KINDS).alias("kind_label"),
         "from_value", "to_value", "actor", "prediction_kind", "model_version", "note", "created_at",
     )

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from caseflow import schema as S
 from caseflow.operators import lifecycle
+from caseflow.session import pin
 
 STATE = (
     "complaint_id LONG, domain_id LONG, status STRING, category_id LONG, category_slug STRING, priority STRING, assignee STRING,"
@@ -15,11 +16,13 @@ STATE = (
 )
 
 
-def latest_state(spark: SparkSession, state_path: str, before_batch: int | None = None) -> DataFrame:
-    """Each complaint's newest state row, optionally as it stood before a batch."""
+def latest_state(spark: SparkSession, state_path: str, before_batch: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Each complaint's newest state row, optionally as it stood before a batch and of some complaints only."""
     rows = spark.read.schema(STATE).parquet(state_path)
     if before_batch is not None:
         rows = rows.filter(F.col("batch_id") < before_batch)
+    if only is not None:
+        rows = rows.join(only, "complaint_id", "left_semi")
     columns = [c for c in rows.columns if c not in ("complaint_id", "batch_id")]
     newest = rows.groupBy("complaint_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("s"))
     return newest.select("complaint_id", "s.*")
@@ -33,22 +36,28 @@ def apply_batch(batch: DataFrame, batch_id: int, categories: DataFrame, root: st
     """
     spark = batch.sparkSession
     state_path = f"{root}/state"
-    for name, ddl in (("state", STATE),):
+    if batch_id == 0:
         # An empty first folder gives the reader a table to look at.
-        spark.createDataFrame([], ddl).drop("batch_id").write.mode("overwrite").parquet(f"{root}/{name}/batch_id=-1")
-    before = latest_state(spark, state_path, batch_id)
-    # Every complaint's domain must be known to judge duplicate marks; state is only carried in for
-    # complaints the batch touches or points at.
-    touched = batch.select("complaint_id").unionByName(
+        spark.createDataFrame([], STATE).drop("batch_id").write.mode("overwrite").parquet(f"{state_path}/batch_id=-1")
+    # State is carried in for the complaints the batch touches or points at.
+    touched = pin(batch.select("complaint_id").unionByName(
         batch.filter(F.col("canonical_id").isNotNull()).select(F.col("canonical_id").alias("complaint_id"))
-    ).distinct()
-    snapshot = before.join(touched, "complaint_id", "left_semi")
+    ).distinct(), "touched")
+    snapshot = latest_state(spark, state_path, batch_id, touched)
     folded = lifecycle.run(batch, categories, snapshot=snapshot)
     changed = folded.state().join(batch.select("complaint_id").distinct(), "complaint_id", "left_semi")
     for name, df in (("state", changed), ("events", folded.events()), ("refusals", folded.refusals())):
         df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
 
 
+def compact(spark: SparkSession, root: str, target: str, batch_id: int) -> None:
+    """Write the state as of ``batch_id`` as one table, so that later reads need not look at all batches.
+
+    The stream is then started on ``target``; the old folder is left alone.
+    """
+    latest_state(spark, f"{root}/state", batch_id + 1).write.mode("overwrite").parquet(f"{target}/state/batch_id={batch_id}")
+
+
 def start(commands: DataFrame, categories: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Run the lifecycle over a command stream. Commands must reach it in (ts, seq) order across batches."""
     return (
