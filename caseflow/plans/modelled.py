@@ -29,15 +29,8 @@ def _triage_model(spark: SparkSession, directory: str) -> triage.TriageModel:
     return triage.fit(_documents(Tables(spark, directory)))
 
 
-@lru_cache(maxsize=4)
-def _risk_table(spark: SparkSession, directory: str) -> DataFrame:
-    features = risk_features(Tables(spark, directory))
-    return pin(features.withColumn("split", split_of(F.col("id"))), "risk-features")
-
-
-@lru_cache(maxsize=4)
-def _risk_model(spark: SparkSession, directory: str) -> risk.RiskModel:
-    return risk.fit(_risk_table(spark, directory).filter(F.col("split") != "held_out"))
+def _risk_table(t: Tables) -> DataFrame:
+    return pin(risk_features(t).withColumn("split", split_of(F.col("id"))), "risk-features")
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -145,11 +138,12 @@ def recall_at_k(t: Tables) -> DataFrame:
 
 @query
 def risk_scores(t: Tables) -> DataFrame:
-    scored = _risk_model(t.spark, t.directory).predict(_risk_table(t.spark, t.directory), RISK_BANDS)
+    rows = _risk_table(t)
+    scored = risk.fit(rows.filter(F.col("split") != "held_out")).predict(rows, RISK_BANDS)
     return scored.select("id", "split", F.round("risk.score", 6).alias("score"), "risk.band", "breached")
 
 
 @query
 def transfer_report(t: Tables) -> DataFrame:
-    rows = _risk_table(t.spark, t.directory)
+    rows = _risk_table(t)
     return risk.transfer_report(rows.drop("split"), F.col("domain_id") <= 1, split_of(F.col("id")))

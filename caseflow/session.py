@@ -46,13 +46,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 _pinned: list[str] = []
 
 
-def pin(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and continue from the written table."""
+def pin(df: DataFrame, label: str, read_as: str | None = None) -> DataFrame:
+    """Write ``df`` once and continue from the written table, under another schema if ``read_as`` gives one."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _pinned.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(read_as or df.schema).parquet(path)
 
 
 def release_pins(spark: SparkSession) -> int:
