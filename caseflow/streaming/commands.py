@@ -36,9 +36,8 @@ def apply_batch(batch: DataFrame, batch_id: int, categories: DataFrame, root: st
     """
     spark = batch.sparkSession
     state_path = f"{root}/state"
-    if batch_id == 0:
-        # An empty first folder gives the reader a table to look at.
-        spark.createDataFrame([], STATE).drop("batch_id").write.mode("overwrite").parquet(f"{state_path}/batch_id=-1")
+    # Without any earlier state an empty first folder gives the reader a table to look at.
+    spark.createDataFrame([], STATE).drop("batch_id").write.mode("ignore").parquet(f"{state_path}/batch_id=-1")
     # State is carried in for the complaints the batch touches or points at.
     touched = pin(batch.select("complaint_id").unionByName(
         batch.filter(F.col("canonical_id").isNotNull()).select(F.col("canonical_id").alias("complaint_id"))
@@ -50,12 +49,12 @@ def apply_batch(batch: DataFrame, batch_id: int, categories: DataFrame, root: st
         df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
 
 
-def compact(spark: SparkSession, root: str, target: str, batch_id: int) -> None:
-    """Write the state as of ``batch_id`` as one table, so that later reads need not look at all batches.
+def compact(spark: SparkSession, root: str, target: str) -> None:
+    """Write the newest state as the starting state of a new folder, so that reads need not look at all batches.
 
-    The stream is then started on ``target``; the old folder is left alone.
+    A stream started on ``target``, with a checkpoint of its own, goes on from there.
     """
-    latest_state(spark, f"{root}/state", batch_id + 1).write.mode("overwrite").parquet(f"{target}/state/batch_id={batch_id}")
+    latest_state(spark, f"{root}/state").write.parquet(f"{target}/state/batch_id=-1")
 
 
 def start(commands: DataFrame, categories: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -40,13 +40,14 @@ def test_stream_without_marks_is_identical(spark, tmp_path):
     rows = [r for r in sorted(random_commands(12, 300, 20), key=lambda r: (r[1], r[0])) if r[4] != "mark_duplicate"]
     categories = spark.createDataFrame(CATEGORIES, S.CATEGORY)
     half = len(rows) // 2
-    for i, part in enumerate((rows[:half], rows[half:])):
-        command_stream.apply_batch(spark.createDataFrame(part, S.COMMAND), i, categories, str(tmp_path / "out"))
+    command_stream.apply_batch(spark.createDataFrame(rows[:half], S.COMMAND), 0, categories, str(tmp_path / "first"))
+    command_stream.compact(spark, str(tmp_path / "first"), str(tmp_path / "out"))
+    command_stream.apply_batch(spark.createDataFrame(rows[half:], S.COMMAND), 0, categories, str(tmp_path / "out"))
     expected, events, refusals = interpret(rows)
     got = {r.complaint_id: (r.status, r.category_slug, r.assignee, r.due_at, r.resolved_at) for r in command_stream.latest_state(spark, str(tmp_path / "out/state")).collect()}
     assert got == {c: (s["status"], s["slug"], s["assignee"], s["due"], s["resolved"]) for c, s in expected.items()}
-    assert spark.read.parquet(str(tmp_path / "out/events")).count() == len(events)
-    assert spark.read.parquet(str(tmp_path / "out/refusals")).count() == len(refusals)
+    for name, expected_rows in (("events", events), ("refusals", refusals)):
+        assert sum(spark.read.parquet(str(tmp_path / part / name)).count() for part in ("first", "out")) == len(expected_rows)
 
 
 def test_overdue_alerts(spark, tmp_path):
