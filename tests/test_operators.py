@@ -10,7 +10,7 @@ from caseflow.functions import scalar as fn
 from caseflow.models.base import ScorerRegistry, null_risk, null_triage, with_null_scores
 from caseflow.operators import access, evaluate, evidence, keyed, queue, sla
 from caseflow.operators.scan import global_position, last_before, running_totals
-from caseflow.session import checkpoint_root, pin
+from caseflow.session import checkpoint_root, pin, release_pins
 from caseflow.sources import packs
 
 T0 = datetime(2024, 1, 1)
@@ -33,6 +33,15 @@ def test_pins_live_in_the_configured_folder(spark):
     assert checkpoint_root(spark) in path
 
 
+def test_pins_are_deleted_only_on_request(spark, tmp_path):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    folder = Path(urlparse(pin(spark.range(3), "probe").inputFiles()[0]).path).parent
+    assert folder.exists() and release_pins(spark) >= 1 and not folder.exists()
+    assert release_pins(spark) == 0
+
+
 def test_permission_matrix(spark):
     users = spark.createDataFrame([(i, g, False) for i, (g, _) in enumerate(MATRIX)] + [(9, "nobody", False), (10, "root", True)], "id LONG, username STRING, is_superuser BOOLEAN")
     roles = spark.createDataFrame([(i, g) for i, (g, _) in enumerate(MATRIX)], "user_id LONG, group_name STRING")
