@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import archive, decontaminate, reputation, shards
+from caseflow.llm import archive, decontaminate, quality, reputation, secrets, shards
 from caseflow.session import checkpoint_root
 from caseflow.sources.tables import Tables
 
@@ -16,6 +16,24 @@ from caseflow.sources.tables import Tables
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_quality(Tables(spark, sf_dir).documents)
+    failed = quality.base_failed()
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "posterior",
+    )
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(Tables(spark, sf_dir).documents)
+    number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"),
+        F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"),
+    )
+
+
 def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url; a page's labelled outcome is the quality label of the document of the same id (0: bad)."""
     t = Tables(spark, sf_dir)
@@ -61,5 +79,5 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_host_reputation, op5_decontaminate, op9_warc_archive, op10_hilbert_shards)
+    f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_host_reputation, op5_decontaminate, op9_warc_archive, op10_hilbert_shards)
 }
