@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import archive, decontaminate, quality, reputation, secrets, shards
+from caseflow.llm import archive, decontaminate, packing, quality, reputation, secrets, shards
 from caseflow.session import checkpoint_root
 from caseflow.sources.tables import Tables
 
@@ -52,6 +52,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file that the packing query is agreed on; it is read in place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(Tables(spark, sf_dir).documents, tokenizer_path())
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/warc-{uuid.uuid4().hex}"
     archive.write_archive(Tables(spark, sf_dir).pages, path)
@@ -79,5 +90,5 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_host_reputation, op5_decontaminate, op9_warc_archive, op10_hilbert_shards)
+    f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_host_reputation, op5_decontaminate, op8_best_fit_packing, op9_warc_archive, op10_hilbert_shards)
 }

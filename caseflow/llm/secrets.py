@@ -156,9 +156,10 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         holders.select("_list", F.explode(F.array_distinct("_list")).alias("token")).join(random, "token")
         .groupBy("_list").agg(F.collect_set("token").alias("_random"))
     )
-    joined = found.withColumn("_list", F.when(F.size("_tokens") > 0, F.col("_tokens.token"))).join(verdicts, "_list", "left")
     extra = "transform(filter(_tokens, x -> array_contains(coalesce(_random, array()), x.token)), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"
-    return joined.withColumn("spans", in_order(f"concat(base, {extra})")).select(*keep, "base", "spans")
+    joined = found.filter(F.size("_tokens") > 0).withColumn("_list", F.col("_tokens.token")).join(verdicts, "_list", "left")
+    others = found.filter(F.size("_tokens") == 0).select(*keep, "base", F.col("base").alias("spans"))
+    return joined.withColumn("spans", in_order(f"concat(base, {extra})")).select(*keep, "base", "spans").unionByName(others)
 
 
 def redact(name: str, spans_name: str, mark: str) -> Column:
