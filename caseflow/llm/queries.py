@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import archive, decontaminate, packing, quality, reputation, secrets, shards
+from caseflow.llm import archive, decontaminate, jaccard, packing, quality, reputation, secrets, shards
 from caseflow.session import checkpoint_root
 from caseflow.sources.tables import Tables
 
@@ -52,6 +52,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(Tables(spark, sf_dir).documents)
+
+
 def tokenizer_path() -> str:
     """The public vocabulary file that the packing query is agreed on; it is read in place."""
     import public_tokenizers
@@ -90,5 +94,5 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_host_reputation, op5_decontaminate, op8_best_fit_packing, op9_warc_archive, op10_hilbert_shards)
+    f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_host_reputation, op5_decontaminate, op6_jaccard_join, op8_best_fit_packing, op9_warc_archive, op10_hilbert_shards)
 }
