@@ -32,28 +32,38 @@ ODD_BLANKS = re.compile("[\x1c-\x1f]")
 TAIL = ".,;:?*$%&|>#"
 
 
+#: How byte-level vocabularies write a byte as a character: printable ones as themselves, the others from 256 on.
+_own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in _own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _own)}
+
+
 class WordIds(dict):
     """Word -> its ids as little-endian 32-bit bytes, remembered up to ``most`` words per Python worker.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words. It also lower-cases, and
+    splits letters from the marks after them; words of small Latin letters go straight to its model, all others through the whole of it.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.path, self.most, self.tokenizer = path, most, Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        # Letters and marks that follow them are tokenised apart, and case doesn't count.
         core = word.rstrip(TAIL)
-        if core and core != word and core.isalpha():
+        if core and core.isalpha() and core != word:
             ids = self[core] + self[word[len(core) :]]
-        elif core == word and word.isascii() and word.isalpha() and not word.islower():
-            ids = self[word.lower()]
+        elif core == word and core.islower() and core.isalpha() and max(core) < "\u0100":
+            if not core.isascii():
+                word_bytes = "".join(map(BYTE_LETTERS.__getitem__, core.encode()))
+            else:
+                word_bytes = core
+            ids = array("I", [t.id for t in self.model.tokenize(word_bytes)]).tobytes()
         else:
             ids = self.encode(word)
         if len(self) >= self.most:
@@ -66,6 +76,11 @@ class WordIds(dict):
             return b""
         if ODD_BLANKS.search(text):
             return self.encode(text)
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # character by character in this range, as the tokenizer does it
+        except UnicodeEncodeError:
+            pass
         return b"".join(map(self.__getitem__, text.split()))
 
 
