@@ -7,8 +7,9 @@ the next ones that a similar larger set can lie in. Parts that are empty say not
 agreement might be among empty parts only also signs with its smallest shingles (prefix filter), so no pair is lost.
 
 Sets with a common signature are checked exactly. Sets that are equal are one node. What is wanted are components, so a group of
-N sets never yields N**2 pairs: each member is checked against the group's smallest, and then, where a group still spans several
-components, pairs across those. Memory is bounded: groups pass as sorted streams, hubs with many members are cut into blocks.
+N sets never yields N**2 pairs: each member is checked against the group's smallest. Where a group then still spans several
+components, small groups yield their pairs across components, and large ones are compared as blocks of sets by matrix products.
+Memory is bounded: groups pass as sorted streams, hubs with many members and large groups are cut into blocks.
 
 Null ids are kept but linked with nothing (component null); texts without words have no set, and their component is their own id. Rows
 with one id count as one document. Repeated rows and extra columns do no harm; an empty table gives an empty result.
@@ -30,6 +31,9 @@ from caseflow.session import pin
 
 #: Members of one hub that meet in one task.
 BLOCK = 2000
+#: Members up to which a signature's group yields pairs; larger ones are compared in blocks of that many sets and shingles.
+PAIRED = 32
+BLOCK_SETS, BLOCK_SHINGLES, SLICE = 1024, 400_000, 4096
 #: Rows of candidate pairs up to which they are sent to all tasks instead of moving the texts; about 60 bytes each.
 SENT_ROWS = 400_000
 
@@ -161,24 +165,39 @@ def shared(signed: DataFrame) -> DataFrame:
     return signed.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(run, "sig long, hub long, doc long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar. Sets are built once per document and meet in blocks of one a."""
-    pairs = pin(pairs, "pairs")
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    spread = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.col("b").alias("doc"))
-    heads = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc"))
-    wanted = spread.withColumn("head", F.lit(0)).unionByName(heads.withColumn("head", F.lit(1)))
-    wanted = pin(wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "block", "head")).alias("meets")), "wanted")
-    small = pairs.count() <= SENT_ROWS
+def send_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The set of each document at each place where it is wanted: (a, block, place, doc, found), sorted within partitions.
+
+    ``wanted`` has (doc, a, block, place). Each set is built once. Few rows go to all tasks, many are joined by a shuffle.
+    """
+    wanted = pin(wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "block", "place")).alias("meets")), "wanted")
+    small = (wanted.agg(F.sum(F.size("meets"))).first()[0] or 0) <= SENT_ROWS
     texts = docs.withColumnRenamed("doc_id", "doc").join(F.broadcast(wanted) if small else wanted, "doc").select("doc", "text", "meets")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         for batch in batches:
             ids, meets = batch.column(0).to_pylist(), batch.column(2)
             for first, sets in _sets(batch, 1, width):
-                rows = [(m["a"], m["block"], 1 - m["head"], ids[first + i], s.tobytes()) for i, s in enumerate(sets) for m in meets[first + i].as_py()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "block", "place", "doc", "found"])
+                rows = [(m["a"], m["block"], m["place"], ids[first + i], s.tobytes()) for i, s in enumerate(sets) for m in meets[first + i].as_py()]
+                for at in range(0, len(rows), 4096):
+                    columns = zip(*rows[at : at + 4096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "block", "place", "doc", "found"])
+
+    built = texts.mapInArrow(build, "a long, block long, place int, doc long, found binary")
+    return built.repartition("a", "block").sortWithinPartitions("a", "block", "place")
+
+
+def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar, each a meeting its partners in blocks."""
+    pairs = pin(pairs, "pairs")
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    spread = pairs.join(blocks, "a").select(F.col("b").alias("doc"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("place"))
+    heads = blocks.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("place"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, None
@@ -197,11 +216,69 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
                     both = int((large[at] == small).sum())
                     if 100 * both >= percent * (len(small) + len(large) - both):
                         out.append((a, doc))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield _links(out)
 
-    built = texts.mapInArrow(build, "a long, block long, place int, doc long, found binary")
-    met = built.repartition("a", "block").sortWithinPartitions("a", "block", "place")
-    return pin(met.mapInArrow(compare, "a long, b long").distinct(), "similar")
+    return pin(send_sets(docs, spread.unionByName(heads), width).mapInArrow(compare, "a long, b long").distinct(), "similar")
+
+
+def spanning_links(docs: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect the same of these sets as all links between them do."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    _, name, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(seen > 1)  # a shingle of one set only is in no intersection
+    rename = np.full(len(seen), -1)
+    rename[common] = np.arange(len(common))
+    name = rename[name]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, len(common), SLICE):
+        inside = (name >= low) & (name < low + SLICE)
+        has = np.zeros((n, min(SLICE, len(common) - low)), np.float32)
+        has[owner[inside], name[inside] - low] = 1
+        both += has @ has.T  # counts below 2**24 are exact
+    shared_count = both.astype(np.int64)
+    linked = 100 * shared_count >= percent * (sizes[:, None] + sizes[None, :] - shared_count)
+    label = np.arange(n)
+    while True:
+        near = np.where(linked, label[None, :], n).min(1)
+        near = np.minimum(near, label)[np.minimum(near, label)]
+        if (near == label).all():
+            break
+        label = near
+    return [(docs[i], docs[int(j)]) for i, j in enumerate(label) if i != j]
+
+
+def compare_blocks(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within each cluster, enough to connect what all its links connect. ``clusters`` has (doc, cluster, n_shingles).
+
+    A cluster is cut into blocks of bounded size, and each pair of blocks meets in one task. What one task holds is bounded; the
+    work of a large cluster of sets that are near but not similar is quadratic, and spread evenly.
+    """
+    clusters = pin(clusters, "clusters")
+    sizes = clusters.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")
+    )
+    at = clusters.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    wanted = at.select("doc", F.col("cluster").alias("a"), "mine", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    wanted = wanted.select("doc", "a", (low * F.col("blocks") + high).alias("block"), F.lit(0).alias("place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+        for batch in batches:
+            out = []
+            for a, block, _, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (a, block):
+                    out += spanning_links(ids, sets, percent) if len(ids) > 1 else []
+                    key, ids, sets = (a, block), [], []
+                ids.append(doc)
+                sets.append(np.frombuffer(raw, U64))
+            yield _links(out)
+        if len(ids) > 1:
+            yield _links(spanning_links(ids, sets, percent))
+
+    return pin(send_sets(docs, wanted, width).mapInArrow(run, "a long, b long").distinct(), "block-links")
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -235,11 +312,34 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     label = pin(nodes.join(named.withColumnRenamed("node", "first"), "first", "left").groupBy("doc").agg(F.min(F.coalesce("component", "first")).alias("label")), "label")
     members = groups.select("sig", "doc").union(groups.select("sig", F.col("hub").alias("doc")).distinct()).join(label, "doc")
     members = pin(members, "members")
-    mixed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("sig")
-    open_ = pin(members.join(mixed, "sig", "left_semi"), "open")
-    one, other = (open_.select("sig", F.col("doc").alias(d), F.col("label").alias(f"label_{d}")) for d in "ab")
+    mixed = pin(
+        members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("sig", "n"), "mixed"
+    )
+    few = pin(members.join(mixed.filter(F.col("n") <= PAIRED).select("sig"), "sig", "left_semi"), "few")
+    one, other = (few.select("sig", F.col("doc").alias(d), F.col("label").alias(f"label_{d}")) for d in "ab")
     across = one.join(other, "sig").filter("label_a != label_b AND a < b").select("a", "b").distinct()
-    more = as_nodes(verify(usable, across.join(tried, ["a", "b"], "left_anti"), width, percent))
+    more = verify(usable, across.join(tried, ["a", "b"], "left_anti"), width, percent)
+    many = groups.join(mixed.filter(F.col("n") > PAIRED).select("sig"), "sig", "left_semi")
+    size = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    large = components(many.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
+    large = large.join(size, F.col("node") == F.col("doc_id")).select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "n_shingles")
+    more = as_nodes(more.unionByName(compare_blocks(usable, large, width, percent)))
     named = components(links.unionByName(more))
     final = nodes.join(named.withColumnRenamed("node", "first"), "first", "left").groupBy("doc").agg(F.min(F.coalesce("component", "first")).alias("component_id"))
     return sized.join(final.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id, and one row of each id. Rows without an id all stay.
+
+    Only the ids to remove meet the texts; few are sent to all tasks, many are joined by a shuffle.
+    """
+    named = pin(similar_components(docs, doc_id, text, width, percent), "components").filter("doc_id IS NOT NULL")
+    gone = pin(named.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "gone")
+    again = pin(named.filter("component_id = doc_id").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id), "again")
+    few = gone.count() <= SENT_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, doc_id, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    repeated = kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id])
+    return kept.join(again, doc_id, "left_anti").unionByName(repeated)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import archive, decontaminate, jaccard, packing, quality, reputation, secrets, shards
+from caseflow.llm import archive, decontaminate, jaccard, packing, quality, repeats, reputation, secrets, shards, surrogates
 from caseflow.session import checkpoint_root
 from caseflow.sources.tables import Tables
 
@@ -25,6 +25,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a parameter of the operator; a fixed one makes the query repeatable."""
+    replaced = surrogates.replace_entities(Tables(spark, sf_dir).documents, key="caseflow")
+    kinds = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",")
+    return replaced.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("entities"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(Tables(spark, sf_dir).documents)
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
@@ -56,6 +63,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(Tables(spark, sf_dir).documents)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(Tables(spark, sf_dir).documents).drop("spans")
+
+
 def tokenizer_path() -> str:
     """The public vocabulary file that the packing query is agreed on; it is read in place."""
     import public_tokenizers
@@ -94,5 +105,8 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_host_reputation, op5_decontaminate, op6_jaccard_join, op8_best_fit_packing, op9_warc_archive, op10_hilbert_shards)
+    f.__name__: f for f in (
+        op1_quality_rules, op2_pii_surrogates, op3_secret_scan, op4_host_reputation, op5_decontaminate,
+        op6_jaccard_join, op7_suffix_dedup, op8_best_fit_packing, op9_warc_archive, op10_hilbert_shards,
+    )
 }

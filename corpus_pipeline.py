@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input.
+
+Order: quality rules, near-duplicate removal, benchmark decontamination, secret redaction, packing. Every stage works on all that
+its predecessor kept, and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,25 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseflow.llm import decontaminate
+from caseflow.llm import decontaminate, jaccard, packing, quality, secrets
+from caseflow.llm.queries import tokenizer_path
 from caseflow.session import checkpoint_root
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MARK = "[secret]"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the label model takes for good ones and that fail no basic limit."""
+    return quality.keep_good(docs).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of similar documents; documents without an id stay."""
+    return jaccard.keep_first(docs).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +37,28 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return found.filter("n_hit = 0").select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Stage]] = [("benchmark decontamination", benchmark_decontamination)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of every secret; n_chars follows the text."""
+    found = secrets.find_secrets(docs, keep=COLUMNS)
+    hit = F.size("spans") > 0
+    text = F.when(hit, secrets.redact("text", "spans", MARK)).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all remaining documents and their places in sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: The quality model and the packing are beyond SQL.
+#: The label model, the tokenizer and the packing are beyond SQL; tests compare with a plain version.
 ORACLE_SQL: str | None = None
 
 
