@@ -62,33 +62,23 @@ def first_accepted(marks: DataFrame, settled: DataFrame) -> DataFrame:
     return result
 
 
-def canonical_roots(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(id, root, hops): the end of every chain of ``duplicate_of`` links.
+def canonical_roots(edges: DataFrame) -> DataFrame:
+    """(id, root, hops): the end of every chain of ``duplicate_of`` links; members of a cycle, and rows leading to one, have null for both.
 
-    Pointer doubling: each round replaces a link by the link of its target, so a chain of length n
-    takes log2(n) rounds. Links that still move after ``max_rounds`` lie on a cycle; their root is null.
+    Pointer doubling: each round replaces every link by the link of its target, so after round r a link has walked 2**r steps. A
+    chain has no more steps than there are links, so what has not ended after log2(links) rounds never will. One table
+    holds all links, ended ones included.
     """
     links = edges.filter(F.col("duplicate_of").isNotNull() & (F.col("duplicate_of") != F.col("id")))
-    moving = pin(links.select("id", F.col("duplicate_of").alias("root"), F.lit(1).cast("long").alias("hops")), "links")
-    done: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if moving.isEmpty():
-            break
-        # The targets of a round are all links as they stood before it, finished ones included.
-        targets = moving
-        for part in done:
-            targets = targets.unionByName(part)
-        ahead = targets.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("hops").alias("more"))
-        stepped = pin(
-            moving.join(ahead, "root", "left").select(
-                "id", F.coalesce("next", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
-                F.col("next").isNull().alias("ended"),
-            ),
-            "links",
+    state = pin(links.select("id", F.col("duplicate_of").alias("root"), F.lit(1).cast("long").alias("hops"), F.lit(False).alias("ended")), "links")
+    for _ in range(state.count().bit_length()):
+        ahead = state.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("hops").alias("more"), F.col("ended").alias("next_ended"))
+        moving = state.filter("NOT ended").join(ahead, "root", "left").select(
+            "id", F.coalesce("next", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+            F.coalesce("next_ended", F.lit(True)).alias("ended"),
         )
-        done.append(stepped.filter("ended").drop("ended"))
-        moving = stepped.filter(~F.col("ended")).drop("ended")
-    result = moving.withColumn("root", F.lit(None).cast("long"))
-    for part in done:
-        result = result.unionByName(part)
-    return result
+        state = pin(state.filter("ended").unionByName(moving), "links")
+        if state.filter("NOT ended").isEmpty():
+            break
+    ended = F.col("ended")
+    return state.select("id", F.when(ended, F.col("root")).alias("root"), F.when(ended, F.col("hops")).alias("hops"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseflow import schema as S
 from caseflow.functions.scalar import content_hash, join_key
+from caseflow.session import pin
 
 
 def validate_intake(requests: DataFrame, domains: DataFrame) -> DataFrame:
@@ -67,15 +68,27 @@ def unknown_refs(references: dict[str, tuple[DataFrame, Column, DataFrame, Colum
     return out
 
 
+def missing_key(incoming: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows that a keyed write can't take because part of their key is null, with the first part that is."""
+    part = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(k)) for k in key])
+    return incoming.filter(part.isNotNull()).withColumn("missing", part)
+
+
 def insert_if_absent(target: DataFrame, incoming: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """``target`` plus the incoming rows whose key it lacks; among equal incoming keys the lowest ``order`` wins."""
+    """``target`` plus the incoming rows whose key it lacks; among equal incoming keys the lowest ``order`` wins.
+
+    Rows with a null in their key are not written; ``missing_key`` lists them.
+    """
     fresh = incoming.join(target.select(*key).distinct(), list(key), "left_anti")
     winners = fresh.groupBy(*key).agg(F.min(order).alias(order))
     return target.unionByName(fresh.join(winners, [*key, order], "left_semi").select(*target.columns))
 
 
 def ingest_new(batch: DataFrame, loaded: DataFrame, order: str) -> DataFrame:
-    """Rows of a batch not yet loaded, one per external id. Running it again on its own result gives nothing."""
+    """Rows of a batch not yet loaded, one per external id. Running it again on its own result gives nothing.
+
+    Rows without an external id are not loaded; ``missing_key`` lists them.
+    """
     # Choose winners on the narrow key first: texts never enter the aggregation.
     known = loaded.select("external_id").distinct()
     winners = batch.select("external_id", order).groupBy("external_id").agg(F.min(order).alias(order)).join(known, "external_id", "left_anti")
@@ -98,11 +111,13 @@ def dataset_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def append_conflicts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows that would rewrite stored ones; the append is allowed only when there are none."""
-    return incoming.join(stored.select("id"), "id", "left_semi")
+    """Incoming rows that would rewrite stored ones or one another; the append is allowed only when there are none."""
+    repeated = incoming.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    return incoming.join(stored.select("id").unionByName(repeated), "id", "left_semi")
 
 
 def append_only(stored: DataFrame, incoming: DataFrame, path: str) -> None:
+    incoming = pin(incoming, "append")  # what is checked is what is written
     if not append_conflicts(stored, incoming).isEmpty():
         raise ValueError("append-only table: rows cannot be updated")
     incoming.write.mode("append").parquet(path)

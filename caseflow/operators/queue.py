@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow import schema as S
 from caseflow.functions.scalar import is_overdue, join_key
 from caseflow.operators.scan import global_position
 
-# Pages this deep or less come from a top-n; later ones are found by position.
-TOP_N_PAGES = 400
-
 
 def complaint_view(complaints: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
     names = users.select(F.col("id").alias("submitted_by"), F.col("username").alias("submitter"))
@@ -56,10 +53,9 @@ def agent_queue(complaints: DataFrame, domains: DataFrame, as_of: Column) -> Dat
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = S.PAGE_SIZE) -> DataFrame:
-    if number <= TOP_N_PAGES:
-        return rows.orderBy(*order).offset((number - 1) * size).limit(size)
-    placed = global_position(rows, order, "_pos")
-    return placed.filter(F.col("_pos").between((number - 1) * size + 1, number * size)).drop("_pos")
+    """Page ``number`` (from 1), found by position: a deep page costs what the first one does."""
+    first = (number - 1) * size
+    return global_position(rows, order, "_pos").filter(F.col("_pos").between(first + 1, first + size)).drop("_pos")
 
 
 def queue_display(complaints: DataFrame, domains: DataFrame, categories: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
@@ -120,11 +116,14 @@ def legal_actions(complaints: DataFrame, permission_flags: DataFrame) -> DataFra
 
 
 def category_options(complaints: DataFrame, domains: DataFrame, categories: DataFrame) -> DataFrame:
-    """Per domain in use, its categories in listing order with the number of complaints they are offered to."""
+    """Per domain in use, its categories with their place in the listing (by name) and the number of complaints they are offered to."""
     used = complaints.groupBy("domain_id").agg(F.count("*").alias("n_complaints"))
     d = domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain"))
     c = categories.select("domain_id", F.col("id").alias("category_id"), F.col("name").alias("category"), "sla_hours")
-    return used.join(d, "domain_id").join(c, "domain_id").select("domain", "category", "category_id", "sla_hours", "n_complaints")
+    place = F.row_number().over(Window.partitionBy("domain_id").orderBy("category", "category_id")).cast("long")
+    return used.join(d, "domain_id").join(c.withColumn("place", place), "domain_id").select(
+        "domain", "place", "category", "category_id", "sla_hours", "n_complaints"
+    )
 
 
 def complaint_history(events: DataFrame, users: DataFrame, predictions: DataFrame) -> DataFrame:

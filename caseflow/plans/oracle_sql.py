@@ -52,9 +52,15 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN id % 113 = 0 THEN category_id + 10 ELSE category_id END AS category_id,
           CASE WHEN id % 127 = 0 THEN 'urgent' ELSE priority END AS priority,
           CASE WHEN id % 131 = 0 THEN assignee_id + 1000000000 ELSE assignee_id END AS assignee_id) FROM complaints"""),
-    "chains": (["damaged"], """
-        SELECT id, duplicate_of AS root, 1::BIGINT AS hops FROM damaged WHERE duplicate_of IS NOT NULL AND duplicate_of <> id
-        UNION ALL SELECT c.id, d.duplicate_of, c.hops + 1 FROM chains c JOIN damaged d ON d.id = c.root WHERE d.duplicate_of IS NOT NULL AND d.duplicate_of <> d.id"""),
+    "batch": (["complaints"], "SELECT id * 10 + CASE WHEN id % 3 = 0 THEN 1 ELSE 9 END AS id FROM complaints WHERE category_slug IS NOT NULL"),
+    "export": ([], "SELECT CASE WHEN doc_id % 97 <> 5 THEN md5(text) END AS external_id, doc_id, n_chars, source FROM documents"),
+    "keyed_intake": (["validated"], "SELECT id, title, CASE WHEN id % 29 <> 3 THEN submitted_by END AS submitted_by, domain_id FROM validated WHERE reason IS NULL"),
+    "looped": (["damaged"], """
+        SELECT id, CASE WHEN id % 1000 = 0 THEN id + 1 WHEN id % 1000 IN (1, 2) THEN id - 1 ELSE duplicate_of END AS duplicate_of FROM damaged"""),
+    # Sixty steps are more than any chain has; what still moves then is on a cycle or leads to one.
+    "chains": (["looped"], """
+        SELECT id, duplicate_of AS root, 1::BIGINT AS hops FROM looped WHERE duplicate_of IS NOT NULL AND duplicate_of <> id
+        UNION ALL SELECT c.id, d.duplicate_of, c.hops + 1 FROM chains c JOIN looped d ON d.id = c.root WHERE d.duplicate_of IS NOT NULL AND d.duplicate_of <> d.id AND c.hops < 60"""),
     "users": ([], "SELECT c_custkey AS id, c_name AS username, c_custkey = 0 AS is_superuser, c_acctbal FROM customer"),
     "elevated": ([], """
         SELECT c_custkey AS user_id, CASE WHEN c_custkey % 20 = 0 THEN 'Admin' ELSE 'Agent' END AS group_name FROM customer WHERE c_custkey % 20 <= 3"""),
@@ -147,8 +153,19 @@ TABLES: dict[str, tuple[list[str], str]] = {
             CASE WHEN NOT known THEN 'unknown_canonical' WHEN m.canonical_id = m.complaint_id THEN 'self_duplicate' WHEN list_contains(w.dups, m.canonical_id) THEN 'canonical_is_duplicate'
               WHEN m.canonical_id % 5 <> m.domain_id THEN 'cross_domain' WHEN list_contains(w.dups, m.complaint_id) OR m.base NOT IN ('submitted','in_review','in_progress') THEN 'status' END AS reason
           FROM walk w JOIN marks m ON m.n = w.n + 1)"""),
-    "graded": (["predictions", "complaints"], """
-        SELECT p.complaint_id, c.category_slug AS label, coalesce(p.slug, '(abstained)') AS predicted FROM predictions p JOIN complaints c ON c.id = p.complaint_id WHERE p.kind = 'triage' AND p.model_version <> 'v0'"""),
+    # Commands after an accepted mark: no transition is legal any more.
+    "marked": (["folded", "walk"], """
+        SELECT * EXCLUDE (late) REPLACE (CASE WHEN late THEN 'duplicate' ELSE status_before END AS status_before, CASE WHEN late THEN 'duplicate' ELSE status END AS status,
+          CASE WHEN late AND op = 'transition' THEN 'illegal_transition' ELSE reason END AS reason)
+        FROM (SELECT f.*, coalesce(f.ts > w.ts OR (f.ts = w.ts AND f.seq > w.seq), FALSE) AS late FROM folded f LEFT JOIN (SELECT complaint_id, ts, seq FROM walk WHERE reason IS NULL AND seq IS NOT NULL) w USING (complaint_id))"""),
+    "ended": (["folded", "walk"], """
+        SELECT m.complaint_id, m.complaint_id % 5 AS domain_id, CASE WHEN w.seq IS NOT NULL THEN 'duplicate' ELSE coalesce(f.status, 'submitted') END AS status, f.category_id, f.slug AS category_slug, f.priority, f.assignee,
+          w.canonical_id AS duplicate_of, f.triaged_at, f.triaged_at + to_hours(f.sla) AS due_at, CASE WHEN w.seq IS NULL OR f.resolved_at < w.ts THEN f.resolved_at END AS resolved_at
+        FROM (SELECT DISTINCT complaint_id FROM commands) m
+          LEFT JOIN (SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY complaint_id ORDER BY rn DESC) = 1) f USING (complaint_id)
+          LEFT JOIN (SELECT * FROM walk WHERE reason IS NULL AND seq IS NOT NULL) w USING (complaint_id)"""),
+    "graded": (["latest", "complaints"], """
+        SELECT p.complaint_id, c.category_slug AS label, coalesce(p.slug, '(abstained)') AS predicted FROM latest p JOIN complaints c ON c.id = p.complaint_id WHERE p.kind = 'triage'"""),
     "shortlists": (["complaints"], """
         SELECT id, category_slug AS label, id % 5 AS shift, CASE category_slug WHEN 'automobile' THEN 0 WHEN 'building' THEN 1 WHEN 'furniture' THEN 2 WHEN 'household' THEN 3 ELSE 4 END AS place
         FROM complaints WHERE category_slug IS NOT NULL"""),
@@ -216,18 +233,23 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "scan_complaints": (["complaints"], f"SELECT {_C} FROM complaints"),
     "ingest_finance": (["finance"], "SELECT * FROM finance"),
     "ingest_civic": (["civic"], "SELECT * FROM civic"),
-    "ingest_idempotent": ([], """
-        SELECT md5(text) AS external_id, min(doc_id) AS doc_id, min(n_chars) AS n_chars FROM documents
-        WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE source IN ('src0','src1','src2')) GROUP BY 1"""),
+    "ingest_idempotent": (["export"], """
+        SELECT external_id, min(doc_id) AS doc_id, min(n_chars) AS n_chars FROM export
+        WHERE external_id NOT IN (SELECT external_id FROM export WHERE external_id IS NOT NULL AND source IN ('src0','src1','src2')) GROUP BY 1"""),
+    "ingest_rejects": (["export"], "SELECT external_id, doc_id, n_chars, 'external_id' AS missing FROM export WHERE external_id IS NULL"),
+    "finance_tolerant": (["finance"], "SELECT * FROM finance WHERE external_id::BIGINT % 41 NOT IN (7, 8)"),
+    "finance_rejects": ([], """
+        SELECT doc_id::VARCHAR AS external_id, CASE doc_id % 41 WHEN 7 THEN 'n/a' ELSE '2024-02-31' END AS value, 'unreadable_date' AS reason FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 41 IN (7, 8)"""),
     "dataset_hash": ([], """
         SELECT count(*) AS n_rows, bit_xor(h) AS xor_hash, sum(h::DECIMAL(38,0))::VARCHAR AS sum_hash FROM (
           SELECT ('0x' || substr(md5(concat_ws(chr(31), doc_id::VARCHAR, text, lang, source)), 1, 15))::BIGINT AS h FROM documents)"""),
-    "upsert_if_absent": (["validated"], """
-        SELECT id, title, submitted_by FROM validated WHERE reason IS NULL AND domain_id <= 1
-        UNION ALL SELECT min(id), title, submitted_by FROM validated v WHERE reason IS NULL
-          AND NOT EXISTS (SELECT 1 FROM validated w WHERE w.reason IS NULL AND w.domain_id <= 1 AND w.title = v.title AND w.submitted_by = v.submitted_by) GROUP BY title, submitted_by"""),
-    "append_conflicts": (["predictions", "complaints"], """
-        SELECT id * 10 + 1 AS id FROM complaints WHERE category_slug IS NOT NULL AND id * 10 + 1 IN (SELECT id FROM predictions)"""),
+    "upsert_if_absent": (["keyed_intake"], """
+        SELECT id, title, submitted_by FROM keyed_intake WHERE domain_id <= 1
+        UNION ALL SELECT min(id), title, submitted_by FROM keyed_intake v WHERE submitted_by IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM keyed_intake w WHERE w.domain_id <= 1 AND w.title = v.title AND w.submitted_by = v.submitted_by) GROUP BY title, submitted_by"""),
+    "upsert_rejects": (["keyed_intake"], "SELECT id, title, submitted_by, 'submitted_by' AS missing FROM keyed_intake WHERE submitted_by IS NULL"),
+    "append_conflicts": (["predictions", "batch"], """
+        SELECT id FROM (SELECT id FROM batch UNION ALL SELECT id FROM batch WHERE id % 50 = 19) WHERE id IN (SELECT id FROM predictions) OR id % 50 = 19"""),
     "cascade_delete": (["history", "predictions", "complaints"], """
         SELECT 'event' AS child, id, complaint_id FROM history WHERE complaint_id NOT IN (SELECT id FROM complaints WHERE status = 'closed')
         UNION ALL SELECT 'prediction', id, complaint_id FROM predictions WHERE complaint_id NOT IN (SELECT id FROM complaints WHERE status = 'closed')"""),
@@ -262,7 +284,7 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         UNION ALL SELECT 'domain', count(*) FROM damaged WHERE domain_id NOT IN (SELECT id FROM domains)
         UNION ALL SELECT 'duplicate_of', count(*) FROM damaged WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT id FROM damaged)"""),
     "category_options": (["complaints", "domains", "categories"], """
-        SELECT d.name AS domain, k.name AS category, k.id AS category_id, k.sla_hours, n AS n_complaints FROM (SELECT domain_id, count(*) AS n FROM complaints GROUP BY 1) u
+        SELECT d.name AS domain, row_number() OVER (PARTITION BY d.id ORDER BY k.name, k.id) AS place, k.name AS category, k.id AS category_id, k.sla_hours, n AS n_complaints FROM (SELECT domain_id, count(*) AS n FROM complaints GROUP BY 1) u
         JOIN domains d ON d.id = u.domain_id JOIN categories k ON k.domain_id = u.domain_id"""),
     "legal_actions": (["complaints", "grants"], """
         SELECT id, status, submitted_by, coalesce(t, FALSE) AND status IN ('in_review','resolved') AS can_start_work, coalesce(a, FALSE) AND status NOT IN ('closed','duplicate') AS can_assign,
@@ -351,25 +373,24 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         SELECT id, NULL::VARCHAR AS category_slug, 0.0::DOUBLE AS confidence, 0::BIGINT AS n_matches, 0.0::DOUBLE AS score, 'unknown' AS band, 'null' AS model_version FROM complaints"""),
     "retriage_due": (["checked"], """
         SELECT seq, complaint_id, first_value(ts) OVER w AS triaged_at, first_value(ts) OVER w + to_hours(sla_hours) AS due_at FROM checked WHERE op = 'triage' AND refusal IS NULL WINDOW w AS (PARTITION BY complaint_id ORDER BY ts, seq)"""),
-    "lifecycle_state": (["folded"], """
-        SELECT complaint_id, complaint_id % 5 AS domain_id, status, category_id, slug AS category_slug, priority, assignee, triaged_at, triaged_at + to_hours(sla) AS due_at, resolved_at
-        FROM folded QUALIFY row_number() OVER (PARTITION BY complaint_id ORDER BY rn DESC) = 1"""),
-    "lifecycle_refusals": (["folded"], "SELECT complaint_id, seq, ts, op, status_before, reason FROM folded WHERE reason IS NOT NULL"),
-    "lifecycle_events": (["folded"], """
+    "lifecycle_state": (["ended"], "SELECT * EXCLUDE (duplicate_of) FROM ended"),
+    "lifecycle_refusals": (["marked", "walk"], """
+        SELECT complaint_id, seq, ts, op, status_before, reason FROM marked WHERE reason IS NOT NULL
+        UNION ALL SELECT complaint_id, seq, ts, 'mark_duplicate', status_before, reason FROM walk WHERE reason IS NOT NULL"""),
+    "lifecycle_events": (["marked", "walk", "commands"], """
         SELECT complaint_id, seq, row_number() OVER (PARTITION BY seq ORDER BY o) - 1 AS ord, kind, from_value, to_value, actor_id, note, ts AS created_at FROM (
-          SELECT complaint_id, seq, 0 AS o, 'category' AS kind, old_slug AS from_value, slug AS to_value, actor_id, '' AS note, ts FROM folded WHERE op = 'triage' AND reason IS NULL
-          UNION ALL SELECT complaint_id, seq, 1, 'priority', old_priority, priority, actor_id, '', ts FROM folded WHERE op = 'triage' AND reason IS NULL
-          UNION ALL SELECT complaint_id, seq, 2, 'status', 'submitted', 'in_review', actor_id, 'Triaged', ts FROM folded WHERE op = 'triage' AND reason IS NULL AND status_before = 'submitted'
-          UNION ALL SELECT complaint_id, seq, 3, 'assignment', old_assignee, assignee, actor_id, '', ts FROM folded WHERE op = 'assign'
-          UNION ALL SELECT complaint_id, seq, 4, 'status', status_before, status, actor_id, '', ts FROM folded WHERE op = 'transition' AND reason IS NULL)"""),
-    "lifecycle_duplicates": (["folded", "walk"], """
-        SELECT m.complaint_id, m.complaint_id % 5 AS domain_id, CASE WHEN w.seq IS NOT NULL THEN 'duplicate' ELSE coalesce(f.status, 'submitted') END AS status, f.category_id, f.slug AS category_slug, f.priority, f.assignee,
-          w.canonical_id AS duplicate_of, f.triaged_at, f.triaged_at + to_hours(f.sla) AS due_at, CASE WHEN w.seq IS NULL OR f.resolved_at < w.ts THEN f.resolved_at END AS resolved_at
-        FROM (SELECT DISTINCT complaint_id FROM commands) m
-          LEFT JOIN (SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY complaint_id ORDER BY rn DESC) = 1) f USING (complaint_id)
-          LEFT JOIN (SELECT * FROM walk WHERE reason IS NULL AND seq IS NOT NULL) w USING (complaint_id)"""),
+          SELECT complaint_id, seq, 0 AS o, 'category' AS kind, old_slug AS from_value, slug AS to_value, actor_id, '' AS note, ts FROM marked WHERE op = 'triage' AND reason IS NULL
+          UNION ALL SELECT complaint_id, seq, 1, 'priority', old_priority, priority, actor_id, '', ts FROM marked WHERE op = 'triage' AND reason IS NULL
+          UNION ALL SELECT complaint_id, seq, 2, 'status', 'submitted', 'in_review', actor_id, 'Triaged', ts FROM marked WHERE op = 'triage' AND reason IS NULL AND status_before = 'submitted'
+          UNION ALL SELECT complaint_id, seq, 3, 'assignment', old_assignee, assignee, actor_id, '', ts FROM marked WHERE op = 'assign'
+          UNION ALL SELECT complaint_id, seq, 4, 'status', status_before, status, actor_id, '', ts FROM marked WHERE op = 'transition' AND reason IS NULL
+          UNION ALL SELECT w.complaint_id, w.seq, e.o, e.kind, e.old, e.new, m.actor_id, '', w.ts FROM walk w JOIN commands m USING (seq),
+            LATERAL (VALUES (5, 'status', w.status_before, 'duplicate'), (6, 'duplicate', NULL, w.canonical_id::VARCHAR)) e(o, kind, old, new) WHERE w.reason IS NULL)"""),
+    "lifecycle_duplicates": (["ended"], "SELECT * FROM ended"),
     "duplicate_refusals": (["walk"], "SELECT complaint_id, seq, ts, 'mark_duplicate' AS op, status_before, reason FROM walk WHERE reason IS NOT NULL"),
-    "canonical_root": (["chains"], "SELECT id, root, hops FROM chains QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops DESC) = 1"),
+    "canonical_root": (["chains"], """
+        SELECT id, CASE WHEN NOT moving THEN root END AS root, CASE WHEN NOT moving THEN hops END AS hops FROM (
+          SELECT *, root IN (SELECT id FROM looped WHERE duplicate_of IS NOT NULL AND duplicate_of <> id) AS moving FROM chains QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops DESC) = 1)"""),
     "transition_matrix": (["complaints"], """
         SELECT f.s AS from_status, t.s AS to_status, (f.s, t.s) IN (('submitted','in_review'),('submitted','duplicate'),('in_review','in_progress'),('in_review','duplicate'),('in_progress','resolved'),('in_progress','duplicate'),('resolved','closed'),('resolved','in_progress')) AS allowed,
           (SELECT count(*) FROM complaints WHERE status = f.s) AS n_complaints FROM (VALUES ('submitted'),('in_review'),('in_progress'),('resolved'),('closed'),('duplicate')) f(s), (VALUES ('submitted'),('in_review'),('in_progress'),('resolved'),('closed'),('duplicate')) t(s)"""),
@@ -409,11 +430,12 @@ QUERIES: dict[str, tuple[list[str], str]] = {
           SELECT doc_id, 'truncate' AS kind, array_to_string(w[1:greatest(1, floor(len(w) * 6 / 10)::BIGINT)], ' ') AS t FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
           UNION ALL SELECT doc_id, 'typos', array_to_string(list_transform(w, lambda x, i: CASE WHEN (doc_id * 31 + (i - 1) * 17) % 10 = 0 AND length(x) >= 3 THEN substr(x, 1, 1) || substr(x, 3, 1) || substr(x, 2, 1) || substr(x, 4) ELSE x END), ' ')
             FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))"""),
+    "embedding_decode": ([], "SELECT vec_id AS id, len(embedding) AS n_dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) AS total FROM embeddings"),
     "dedup_topk": ([], """
         SELECT query_id, match_id, similarity, rank FROM (
           SELECT a.vec_id AS query_id, b.vec_id AS match_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
             row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank
-          FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5 AND similarity >= 0.3"""),
+          FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 5 AND similarity >= 0.3"""),
     "risk_features": (["complaints", "past", "depths", "loads"], """
         SELECT c.id, c.domain_id, sla_hours::BIGINT AS sla_hours, coalesce(CASE WHEN n_resolved > 0 THEN round(s / n_resolved / 3600, 6) END, 0.0) AS category_mean_resolution_hours,
           coalesce(CASE WHEN n_resolved > 0 THEN round(b / n_resolved, 6) END, 0.0) AS category_breach_rate,

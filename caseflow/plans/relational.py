@@ -59,28 +59,67 @@ def ingest_civic(t: Tables) -> DataFrame:
     return packs.civic_adapter(E.civic_records(t))
 
 
+def _export_batch(t: Tables) -> DataFrame:
+    """Documents as an export whose key is missing now and then."""
+    key = F.when(F.col("doc_id") % 97 != 5, F.md5("text"))
+    return t.documents.select(key.alias("external_id"), "doc_id", "n_chars", "source")
+
+
+def _unreadable(raw: DataFrame) -> DataFrame:
+    """A raw export some of whose dates are no dates."""
+    odd = F.col("Complaint ID").cast("long") % 41
+    return raw.withColumn("Date received", F.when(odd == 7, "n/a").when(odd == 8, "2024-02-31").otherwise(F.col("Date received")))
+
+
 @query
 def ingest_idempotent(t: Tables) -> DataFrame:
-    batch = t.documents.select(F.md5("text").alias("external_id"), "doc_id", "n_chars", "source")
+    batch = _export_batch(t)
     loaded = batch.filter(F.col("source").isin("src0", "src1", "src2"))
     return keyed.ingest_new(batch, loaded, "doc_id").drop("source")
 
 
+@query
+def ingest_rejects(t: Tables) -> DataFrame:
+    return keyed.missing_key(_export_batch(t).drop("source"), ["external_id"])
+
+
+@query
+def finance_rejects(t: Tables) -> DataFrame:
+    return packs.finance_rejects(_unreadable(E.finance_records(t)))
+
+
+@query
+def finance_tolerant(t: Tables) -> DataFrame:
+    return packs.finance_adapter(_unreadable(E.finance_records(t)))
+
+
 @query
 def dataset_hash(t: Tables) -> DataFrame:
     return keyed.dataset_hash(t.documents, ["doc_id", "text", "lang", "source"])
 
 
+def _keyed_intake(t: Tables) -> DataFrame:
+    accepted = keyed.validate_intake(E.intake_requests(t), E.domains(t)).filter("accepted")
+    return accepted.withColumn("submitted_by", F.when(F.col("id") % 29 != 3, F.col("submitted_by")))
+
+
+@query
+def upsert_rejects(t: Tables) -> DataFrame:
+    return keyed.missing_key(_keyed_intake(t).select("id", "title", "submitted_by"), ["title", "submitted_by"])
+
+
 @query
 def upsert_if_absent(t: Tables) -> DataFrame:
-    accepted = keyed.validate_intake(E.intake_requests(t), E.domains(t)).filter("accepted")
+    accepted = _keyed_intake(t)
     target = accepted.filter(F.col("domain_id") <= 1).select("id", "title", "submitted_by")
     return keyed.insert_if_absent(target, accepted.select("id", "title", "submitted_by"), ["title", "submitted_by"], "id")
 
 
 @query
 def append_conflicts(t: Tables) -> DataFrame:
-    incoming = E.complaints(t, ["id", "category_slug"]).filter(F.col("category_slug").isNotNull()).select((F.col("id") * 10 + 1).alias("id"))
+    """A batch that holds some ids twice, and many that are stored already."""
+    incoming = E.complaints(t, ["id", "category_slug"]).filter(F.col("category_slug").isNotNull()).select((F.col("id") * 10 + F.when(F.col("id") % 3 == 0, 1).otherwise(9)).alias("id"))
+    incoming = incoming.unionByName(incoming.filter(F.col("id") % 50 == 19))
     return keyed.append_conflicts(E.predictions(t), incoming)
 
 
@@ -404,34 +443,34 @@ def holdout_split(t: Tables) -> DataFrame:
 # --- lifecycle ----------------------------------------------------------------------------------
 
 
-def _lifecycle(t: Tables, with_duplicates: bool) -> lifecycle.Lifecycle:
+def _lifecycle(t: Tables) -> lifecycle.Lifecycle:
     known = E.commands(t).groupBy("complaint_id").agg(F.min("domain_id").alias("domain_id"))
-    return lifecycle.run(E.commands(t, with_duplicates), E.categories(t), known)
+    return lifecycle.run(E.commands(t), E.categories(t), known)
 
 
 @query
 def lifecycle_state(t: Tables) -> DataFrame:
-    return _lifecycle(t, False).state().drop("duplicate_of")
+    return _lifecycle(t).state().drop("duplicate_of")
 
 
 @query
 def lifecycle_events(t: Tables) -> DataFrame:
-    return _lifecycle(t, False).events().drop("prediction_id")
+    return _lifecycle(t).events().drop("prediction_id")
 
 
 @query
 def lifecycle_refusals(t: Tables) -> DataFrame:
-    return _lifecycle(t, False).refusals()
+    return _lifecycle(t).refusals()
 
 
 @query
 def lifecycle_duplicates(t: Tables) -> DataFrame:
-    return _lifecycle(t, True).state()
+    return _lifecycle(t).state()
 
 
 @query
 def duplicate_refusals(t: Tables) -> DataFrame:
-    return _lifecycle(t, True).refusals().filter(F.col("op") == "mark_duplicate")
+    return _lifecycle(t).refusals().filter(F.col("op") == "mark_duplicate")
 
 
 @query
@@ -443,7 +482,10 @@ def retriage_due(t: Tables) -> DataFrame:
 
 @query
 def canonical_root(t: Tables) -> DataFrame:
-    return duplicates.canonical_roots(E.complaints(t, ["id", "duplicate_of"], dirty=True))
+    """Chains of the damaged links, with cycles of two put in and a row that leads to each."""
+    place, link = F.col("id") % 1000, F.col("id")
+    looped = F.when(place == 0, link + 1).when(place.isin(1, 2), link - 1).otherwise(F.col("duplicate_of"))
+    return duplicates.canonical_roots(E.complaints(t, ["id", "duplicate_of"], dirty=True).withColumn("duplicate_of", looped))
 
 
 # --- integrity ----------------------------------------------------------------------------------
@@ -466,7 +508,7 @@ def taxonomy_drift(t: Tables) -> DataFrame:
 
 def _graded(t: Tables, stored: DataFrame | None = None) -> DataFrame:
     stored = E.stored_complaints(t) if stored is None else stored
-    answers = E.predictions(t, stored).filter((F.col("kind") == "triage") & (F.col("model_version") != "v0")).select(
+    answers = evidence.latest_predictions(E.predictions(t, stored)).filter(F.col("kind") == "triage").select(
         F.col("complaint_id").alias("id"), fn.payload_slug(F.col("payload")).alias("predicted")
     )
     return answers.join(stored.select("id", "category_slug").withColumnRenamed("category_slug", "label"), "id")

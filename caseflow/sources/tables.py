@@ -18,16 +18,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a scan that has fewer splits than the cluster has cores.
-
-    Work per text is heavy, and a lone small file is one split. A large input has more splits than
-    cores and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scan_entity(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A stored entity table under its enforced schema."""
     return spark.read.schema(ddl).parquet(path)

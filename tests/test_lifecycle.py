@@ -197,8 +197,18 @@ def test_snapshot_gives_the_same_as_one_run(spark, categories):
 
 
 def test_roots_of_chains_and_cycles(spark):
-    edges = [(i, i - 1) for i in range(1, 40)] + [(0, None), (100, 101), (101, 100), (200, 200), (201, 200)]
-    got = {r.id: (r.root, r.hops) for r in canonical_roots(spark.createDataFrame(edges, "id LONG, duplicate_of LONG"), max_rounds=8).collect()}
+    edges = [(i, i - 1) for i in range(1, 40)] + [(0, None), (100, 101), (101, 100), (102, 100), (103, 102), (200, 200), (201, 200)]
+    got = {r.id: (r.root, r.hops) for r in canonical_roots(spark.createDataFrame(edges, "id LONG, duplicate_of LONG")).collect()}
     assert all(got[i] == (0, i) for i in range(1, 40))
-    assert got[100][0] is None and got[101][0] is None
+    assert got[100] == got[101] == got[102] == got[103] == (None, None)
     assert got[201] == (200, 1) and 200 not in got
+
+
+def test_roots_of_a_cycle_alone_take_few_rounds(spark, monkeypatch):
+    from caseflow.operators import duplicates
+
+    pins = []
+    monkeypatch.setattr(duplicates, "pin", lambda df, label, original=duplicates.pin: pins.append(label) or original(df, label))
+    rows = canonical_roots(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id LONG, duplicate_of LONG")).collect()
+    assert {(r.id, r.root, r.hops) for r in rows} == {(1, None, None), (2, None, None), (3, None, None)}
+    assert len(pins) <= 4

@@ -71,7 +71,7 @@ def test_queue_order_puts_untriaged_first(spark):
     df = spark.createDataFrame(rows, "id LONG, due_at TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ")
     assert [r.id for r in global_position(df, queue.queue_order()).orderBy("pos").collect()] == [3, 2, 5, 4, 1]
     assert [r.id for r in queue.page(df, queue.queue_order(), 2, size=2).collect()] == [5, 4]
-    deep = queue.page(df, queue.queue_order(), queue.TOP_N_PAGES + 1, size=2)
+    deep = queue.page(df, queue.queue_order(), 401, size=2)
     assert deep.count() == 0
 
 
@@ -191,3 +191,34 @@ def test_metrics(spark):
     assert evaluate.roc_auc(ranked).first()[0] == 0.875
     assert evaluate.roc_auc(ranked.filter("label")).first()[0] is None
     assert evaluate.metric_floor({"roc_auc": evaluate.roc_auc(ranked)}, {"roc_auc": 0.9}).first().failed
+
+
+def test_rows_without_a_key_are_listed_not_lost(spark):
+    incoming = spark.createDataFrame([(1, "a", 1), (2, None, 1), (3, "b", None), (4, "a", 1)], "id LONG, title STRING, submitted_by LONG")
+    key = ["title", "submitted_by"]
+    written = keyed.insert_if_absent(incoming.filter("false"), incoming, key, "id")
+    assert [r.id for r in written.collect()] == [1]
+    assert {(r.id, r.missing) for r in keyed.missing_key(incoming, key).collect()} == {(2, "title"), (3, "submitted_by")}
+
+
+def test_ids_repeated_in_a_batch_conflict(spark, tmp_path):
+    stored = spark.createDataFrame([(1,)], "id LONG")
+    batch = spark.createDataFrame([(1,), (2,), (2,), (3,)], "id LONG")
+    assert sorted(r.id for r in keyed.append_conflicts(stored, batch).collect()) == [1, 2, 2]
+    with pytest.raises(ValueError):
+        keyed.append_only(stored.filter("false"), batch.filter("id > 1"), str(tmp_path / "p"))
+
+
+def test_unreadable_dates_and_unmapped_labels(spark):
+    columns = ["Unique Key", "Descriptor", "Complaint Type", "Created Date", "Closed Date"]
+    rows = [
+        ("1", "x", "Noise - Residential", "01/02/2024 03:00:00 AM", "01/02/2024 04:00:00 AM"), ("2", "x", "Noise", "bad date", None),
+        ("3", "x", "Noise", "01/02/2024 03:00:00 AM", "13/13/2024"), ("4", "x", "Noise", "01/02/2024 03:00:00 AM", ""),
+    ]
+    raw = spark.createDataFrame(rows, ", ".join(f"`{c}` STRING" for c in columns))
+    assert {(r.external_id, r.value) for r in packs.civic_rejects(raw).collect()} == {("2", "bad date"), ("3", "13/13/2024")}
+    assert {r.external_id: r.sla_met for r in packs.civic_adapter(raw).collect()} == {"1": None, "4": None}
+    mapped = packs.civic_adapter(raw, {"Noise - Residential": "Noise"}).collect()
+    assert {r.external_id: r.sla_met for r in mapped} == {"1": True, "4": None}
+    assert [tuple(r) for r in packs.unmapped_labels(raw).collect()] == [("Noise - Residential", 1)]
+    assert packs.unmapped_labels(raw, {"Noise - Residential": "Noise"}).isEmpty()
