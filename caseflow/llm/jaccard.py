@@ -31,6 +31,8 @@ from caseflow.session import pin
 
 #: Members of one hub that meet in one task.
 BLOCK = 2000
+#: Shingles of all sets to a bucket of signatures; sets have about 0.6 signatures to a shingle.
+BUCKET_SHINGLES = 800_000
 #: Members up to which a signature's group yields pairs; larger ones are compared in blocks of that many sets and shingles.
 PAIRED = 32
 BLOCK_SETS, BLOCK_SHINGLES, SLICE = 1024, 400_000, 4096
@@ -119,13 +121,27 @@ def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int,
         yield first, shingle_sets(texts, width)
 
 
-def sign(docs: DataFrame, width: int, scheme: Scheme, copies_known: int = 200_000) -> DataFrame:
-    """(sig, doc) of all sets; a task signs once for equal sets as long as it remembers them."""
+def sign(docs: DataFrame, width: int, scheme: Scheme, buckets: int, copies_known: int = 200_000) -> DataFrame:
+    """Signatures of all sets as packed columns per bucket: (bucket, sig, hub, doc).
+
+    A task signs once for equal sets as long as it remembers them. Within a run of texts only a signature's first document stands
+    for it; the others are listed with it as their hub (``hub`` null: the rows are first ones). So however many documents share
+    a signature, each run sends one row of it to the bucket's task. Signatures keep 48 bits, six bytes each: accidental meetings
+    only cost a check. Columns are packed because rows of two numbers would shuffle several times as many bytes.
+    """
+    names = ["bucket", "sig", "hub", "doc"]
+
+    def packed(place: np.ndarray, sig: np.ndarray, hub: np.ndarray | None, doc: np.ndarray) -> Iterator[tuple]:
+        order = np.lexsort((doc, place))
+        edges = np.flatnonzero(np.diff(place[order])) + 1
+        for rows in np.split(order, edges) if len(order) else ():
+            raw = sig[rows].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            yield int(place[rows[0]]), raw, None if hub is None else hub[rows].tobytes(), doc[rows].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, sets in _sets(batch, 1, width):
                 fresh = []
                 for i, s in enumerate(sets):
@@ -136,38 +152,68 @@ def sign(docs: DataFrame, width: int, scheme: Scheme, copies_known: int = 200_00
                 if len(known) > copies_known:
                     known.clear()
                 owner, sig = signatures([sets[i] for i in fresh], scheme)
-                at = first + np.array(fresh, np.int64)[owner] if len(owner) else owner
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[at].astype(np.int64))], names=["sig", "doc"])
+                if not len(owner):
+                    continue
+                doc, sig = ids[first + np.array(fresh, np.int64)[owner]], (sig >> U64(16)).astype(np.int64)
+                order = np.lexsort((doc, sig))
+                doc, sig = doc[order], sig[order]
+                new = np.concatenate(([True], sig[1:] != sig[:-1]))
+                hub = doc[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+                place = sig % buckets
+                rest = ~new & (doc != hub)
+                rows = [*packed(place[new], sig[new], None, doc[new]), *packed(place[rest], sig[rest], hub[rest], doc[rest])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
 
-    return docs.mapInArrow(run, "sig long, doc long")
+    return docs.mapInArrow(run, "bucket long, sig binary, hub binary, doc binary")
 
 
 def shared(signed: DataFrame) -> DataFrame:
-    """(sig, hub, doc) for each signature of several documents: hub is the smallest, doc each of the others.
+    """(sig, hub, doc) for each signature of several documents: hub is one of them, and doc each of the others.
 
-    A streaming pass over sorted partitions: it holds one batch, whatever the size of a group.
+    Lists of documents that already have a hub pass straight through; a bucket's first rows are sorted together.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig, hub, last_doc = None, None, None
-        for batch in batches:
-            sig, doc = (batch.column(i).to_numpy() for i in (0, 1))
-            if not len(sig):
-                continue
-            new = np.concatenate(([last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]))
-            head = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            hubs = np.where(head < 0, hub if hub is not None else 0, doc[np.maximum(head, 0)])
-            repeated = np.concatenate(([not new[0] and doc[0] == last_doc], (doc[1:] == doc[:-1]) & ~new[1:]))
-            keep = ~new & ~repeated
-            last_sig, hub, last_doc = sig[-1], hubs[-1], doc[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(hubs[keep]), pa.array(doc[keep])], names=["sig", "hub", "doc"])
+    def unpacked(raw: bytes) -> np.ndarray:
+        wide = np.zeros((len(raw) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        return wide.view("<i8").ravel()
 
-    return signed.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(run, "sig long, hub long, doc long")
+    def batch_of(sig: np.ndarray, hub: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(hub), pa.array(doc)], names=["sig", "hub", "doc"])
 
+    def grouped(sigs: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+        sig, doc = np.concatenate(sigs), np.concatenate(docs)
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        new = np.concatenate(([True], sig[1:] != sig[:-1]))
+        hub = doc[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        keep = np.concatenate(([False], (doc[1:] != doc[:-1]) | new[1:])) & ~new
+        return batch_of(sig[keep], hub[keep], doc[keep])
 
-def send_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, sigs, docs = None, [], []
+        for batch in batches:
+            for at, sig, hub, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != bucket and sigs:
+                    yield grouped(sigs, docs)
+                    sigs, docs = [], []
+                bucket = at
+                if hub is None:
+                    sigs.append(unpacked(sig))
+                    docs.append(np.frombuffer(doc, np.int64))
+                else:
+                    yield batch_of(unpacked(sig), np.frombuffer(hub, np.int64), np.frombuffer(doc, np.int64))
+        if sigs:
+            yield grouped(sigs, docs)
+
+    return signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig long, hub long, doc long")
+
+
+def send_sets(docs: DataFrame, wanted: DataFrame, width: int, short: bool = False) -> DataFrame:
     """The set of each document at each place where it is wanted: (a, block, place, doc, found), sorted within partitions.
 
+    ``short`` sends the first 24 bits of each hash only.
+
     ``wanted`` has (doc, a, block, place). Each set is built once. Few rows go to all tasks, many are joined by a shuffle.
     """
     wanted = pin(wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "block", "place")).alias("meets")), "wanted")
@@ -179,7 +225,8 @@ def send_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids, meets = batch.column(0).to_pylist(), batch.column(2)
             for first, sets in _sets(batch, 1, width):
-                rows = [(m["a"], m["block"], m["place"], ids[first + i], s.tobytes()) for i, s in enumerate(sets) for m in meets[first + i].as_py()]
+                sent = [_short(s) if short else s.tobytes() for s in sets]
+                rows = [(m["a"], m["block"], m["place"], ids[first + i], s) for i, s in enumerate(sent) for m in meets[first + i].as_py()]
                 for at in range(0, len(rows), 4096):
                     columns = zip(*rows[at : at + 4096], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "block", "place", "doc", "found"])
@@ -188,23 +235,40 @@ def send_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return built.repartition("a", "block").sortWithinPartitions("a", "block", "place")
 
 
+def _short(found: np.ndarray) -> bytes:
+    return (found >> U64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
 def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar, each a meeting its partners in blocks."""
-    pairs = pin(pairs, "pairs")
+    """Those of ``pairs`` (a, b) whose sets are similar.
+
+    A first pass compares shortened hashes, which can only make sets look more alike, and leaves few pairs for the exact one.
+    """
+    return _compared(docs, _compared(docs, pin(pairs, "pairs"), width, percent, True), width, percent, False)
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, width: int, percent: int, short: bool) -> DataFrame:
+    """``pairs`` that pass, each a meeting its partners in blocks."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     spread = pairs.join(blocks, "a").select(F.col("b").alias("doc"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("place"))
     heads = blocks.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("place"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, None
         for batch in batches:
             out = []
             for a, block, place, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = np.frombuffer(raw, U64)
+                found = _long(raw) if short else np.frombuffer(raw, U64)
                 if place == 0:
                     key, head = (a, block), found
                 elif key == (a, block):
@@ -218,7 +282,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
                         out.append((a, doc))
             yield _links(out)
 
-    return pin(send_sets(docs, spread.unionByName(heads), width).mapInArrow(compare, "a long, b long").distinct(), "similar")
+    return pin(send_sets(docs, spread.unionByName(heads), width, short).mapInArrow(run, "a long, b long").distinct(), "similar")
 
 
 def spanning_links(docs: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -297,7 +361,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     firsts = pin(known.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     nodes = pin(known.join(firsts, "digest").select(F.col("doc_id").alias("doc"), "first"), "nodes")
     usable = rows.filter(F.col("doc_id").isNotNull())
-    groups = pin(shared(sign(usable, width, scheme)), "groups")
+    shingles = sized.agg(F.sum("n_shingles")).first()[0] or 0
+    groups = pin(shared(sign(usable, width, scheme, 1 + shingles // BUCKET_SHINGLES)).filter("hub != doc"), "groups")
 
     def as_nodes(links: DataFrame) -> DataFrame:
         left = links.join(nodes.select(F.col("doc").alias("a"), F.col("first").alias("x")), "a")

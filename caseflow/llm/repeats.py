@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from caseflow.session import pin
 
 GRAM = 48
 DIGITS = 4
+#: Windows that a task sorts at once.
+WINDOWS = 500_000
 TOP = U64(2**64 - 1)
 
 
@@ -88,14 +91,17 @@ def repeated_windows(group: np.ndarray, contexts: list[bytes], anchor: np.ndarra
     low[many], high[many] = np.maximum(0, anchor[first_of][many] + gram - length), np.minimum(last_start[many], anchor[first_of][many])
     _, group_of, members = np.unique(group[first_of], return_inverse=True, return_counts=True)
     rivals = np.flatnonzero(usable & (members[group_of] > 1))
-    if len(rivals):
-        source = first_of[rivals]
-        begin = np.maximum(0, anchor[source] + gram - length)
-        count = np.minimum(sizes[source] - length, anchor[source]) - begin + 1
-        row = np.repeat(np.arange(len(rivals)), np.maximum(0, count))
-        start = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(0, count)) - np.maximum(0, count), np.maximum(0, count)) + begin[row]
-        flat = base[source][row] + start
-        name = mix(group[source].astype(U64)[row] * U64(BASE) + (anchor[source][row] - start).astype(U64))
+    # Windows at different distances from their gram never meet, so a few distances at a time are sorted, and memory stays small.
+    at_once = max(1, WINDOWS // max(1, len(rivals)))
+    for nearest in range(0, length - gram + 1 if len(rivals) else 0, at_once):
+        far = np.arange(nearest, min(nearest + at_once, length - gram + 1))
+        row, distance = np.repeat(np.arange(len(rivals)), len(far)), np.tile(far, len(rivals))
+        source = first_of[rivals][row]
+        start = anchor[source] - distance
+        inside = (start >= 0) & (start + length <= sizes[source])
+        row, source, start, distance = row[inside], source[inside], start[inside], distance[inside]
+        flat = base[source] + start
+        name = mix(group[source].astype(U64) * U64(BASE) + distance.astype(U64))
         step = -(-length // DIGITS)
         for digit in range(0, length, step):
             size = min(step, length - digit)
@@ -189,25 +195,43 @@ def _frequent(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _contexts(placed: DataFrame, length: int) -> DataFrame:
-    """(hash, block, key, pos, anchor, context) from (key, text, marks)."""
+    """(hash, block, key, pos, anchor, context, last) from (key, text, marks).
+
+    Where a text has one context several times, as periodic texts do, only its first place is sent to be sorted; the windows of
+    all of its places are repeated anyway, which rows with ``last`` (the last start of a repeated window) and no context say.
+    """
+    names = ["hash", "block", "key", "pos", "anchor", "context", "last"]
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+
+    def rows_of(key: bytes, text: str, marks: list[dict]) -> Iterator[tuple]:
+        raw, first = text.encode("utf-8", "surrogatepass"), {}
+        for m in marks:
+            begin = max(0, m["pos"] + GRAM - length)
+            anchor, context = m["pos"] - begin, raw[begin : m["pos"] + length]
+            again = first.get((m["hash"], anchor, context), -1)
+            last = min(len(context) - length, anchor)
+            if again < 0:
+                first[m["hash"], anchor, context] = m["pos"]
+                yield m["hash"], m["block"], key, m["pos"], anchor, context, None
+            elif last >= 0:
+                yield m["hash"], m["block"], key, m["pos"], anchor, None, last
+                if again != m["pos"]:
+                    yield m["hash"], m["block"], key, again, anchor, None, last
+                    first[m["hash"], anchor, context] = m["pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hash", "block", "key", "pos", "anchor", "context"]
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             rows = []
-            for key, text, marks in zip(*(c for c in (batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                for m in marks.as_py():
-                    begin = max(0, m["pos"] + GRAM - length)
-                    rows.append((m["hash"], m["block"], key, m["pos"], m["pos"] - begin, raw[begin : m["pos"] + length]))
-                if len(rows) >= 8192:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows = []
+            for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                for row in rows_of(key, text.as_py(), marks.as_py()):
+                    rows.append(row)
+                    if len(rows) >= 8192:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return placed.select("key", "text", "marks").mapInArrow(run, "hash long, block long, key binary, pos int, anchor int, context binary")
+    return placed.select("key", "text", "marks").mapInArrow(run, "hash long, block long, key binary, pos int, anchor int, context binary, last int")
 
 
 def _sorted_in_tasks(contexts: DataFrame, length: int, at_once: int = 6000) -> DataFrame:
@@ -227,7 +251,11 @@ def _sorted_in_tasks(contexts: DataFrame, length: int, at_once: int = 6000) -> D
             )
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
+            known = pc.is_null(batch.column(5))
+            sure = batch.filter(known)
+            begin = pc.subtract(sure.column(3), sure.column(4)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([sure.column(2), begin, pc.add(begin, pc.add(sure.column(6), length).cast(pa.int64()))], names=["key", "start", "end"])
+            columns = [batch.filter(pc.invert(known)).column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
             for row in zip(*columns, strict=True):
                 if rows and row[0] == rows[-1][0] and row[1:3] == rows[-1][1:3]:
                     continue  # the same place of the same text again
@@ -247,16 +275,18 @@ def _sorted_across_tasks(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, pos, anchor, context in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                last = min(len(context) - length, anchor)
+            for key, pos, anchor, context, sure in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
+                last = sure if context is None else min(len(context) - length, anchor)
                 starts = list(range(last + 1))
-                windows = [hashlib.blake2b(context[s : s + length], digest_size=16).digest() for s in starts]
+                # Windows known to be repeated need no name: null ones are not looked up.
+                windows = [None if context is None else hashlib.blake2b(context[s : s + length], digest_size=16).digest() for s in starts]
                 yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array([key] * len(starts), pa.binary()), pa.array([pos - anchor + s for s in starts], pa.int64())], names=["window", "key", "start"])
 
     windows = pin(contexts.mapInArrow(run, "window binary, key binary, start long").distinct(), "hot-windows")
     place = F.struct("key", "start")
-    again = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("window")
-    return windows.join(again, "window", "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
+    again = windows.filter("window IS NOT NULL").groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("window")
+    found = windows.join(again, "window", "left_semi").unionByName(windows.filter("window IS NULL"))
+    return found.select("key", "start", (F.col("start") + length).alias("end"))
 
 
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, block: int = 50_000) -> DataFrame:
