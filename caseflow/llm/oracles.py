@@ -1,3 +1,58 @@
-"""DuckDB SQL for those queries of this subpackage that SQL can express."""
+"""DuckDB SQL for those queries of this subpackage that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others rest on a fitted label model, a keyed permutation, a tokenizer, approximate quantiles or byte windows; tests compare
+them with plain versions.
+"""
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op4_host_reputation": f"""
+        WITH parted AS (
+          SELECT page_id, {_LOWER.format("CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*') END")} AS host,
+            coalesce(CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END, '') AS path FROM pages),
+        marked AS (SELECT p.*, 1 - q AS outcome, regexp_extract(host, '[^.]*\\.?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix
+          FROM parted p LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) ON doc_id = page_id),
+        hosts AS (SELECT host, domain, suffix, count(outcome) AS n, coalesce(sum(outcome), 0)::BIGINT AS bad FROM marked GROUP BY ALL),
+        domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
+        suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY ALL),
+        s1 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM suffixes) AS m FROM suffixes),
+        k1 AS (SELECT sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) AS e, sum(n * (n - 1) * m * (1 - m)) AS s FROM s1),
+        s2 AS (SELECT suffix, (bad + k * m) / (n + k) AS rate FROM s1, (SELECT CASE WHEN s <> 0 AND e / s > 0 THEN least(1000.0, greatest(1.0, s / e - 1)) ELSE 1000.0 END AS k FROM k1)),
+        d1 AS (SELECT d.*, rate AS m FROM domains d JOIN s2 USING (suffix)),
+        k2 AS (SELECT sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) AS e, sum(n * (n - 1) * m * (1 - m)) AS s FROM d1),
+        d2 AS (SELECT domain, (bad + k * m) / (n + k) AS rate FROM d1, (SELECT CASE WHEN s <> 0 AND e / s > 0 THEN least(1000.0, greatest(1.0, s / e - 1)) ELSE 1000.0 END AS k FROM k2)),
+        h1 AS (SELECT h.*, rate AS m FROM hosts h JOIN d2 USING (domain)),
+        k3 AS (SELECT sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) AS e, sum(n * (n - 1) * m * (1 - m)) AS s FROM h1),
+        h2 AS (SELECT host, n, bad, (bad + k * m) / (n + k) AS rate, k FROM h1, (SELECT CASE WHEN s <> 0 AND e / s > 0 THEN least(1000.0, greatest(1.0, s / e - 1)) ELSE 1000.0 END AS k FROM k3)),
+        judged AS (SELECT *, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) AS low FROM h2),
+        rules(decision, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+        fitting AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(decision, length(rule)) AS decision FROM parted JOIN rules
+          ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY 1)
+        SELECT p.page_id, p.host, p.path, rule, coalesce(decision, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, n, bad, round(rate, 6) AS rate, round(low, 6) AS low
+        FROM parted p JOIN judged USING (host) LEFT JOIN fitting USING (page_id)""",
+    "op5_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+          FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) WHERE len(w) > 0),
+        places AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT * FROM d, (SELECT DISTINCT n FROM windows)), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+        hits AS (SELECT DISTINCT doc_id, i, n, item_id FROM places JOIN windows USING (n, s)),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, LATERAL (SELECT unnest(range(i, i + n)) AS p) GROUP BY 1),
+        listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+    "op6_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        reach AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT b, root FROM reach JOIN links ON a = id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(root) AS component_id FROM reach GROUP BY 1) ON id = doc_id""",
+    "op9_warc_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, strlen(body) AS payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + i * 5 // 4, 2))::INTEGER) >> (3 - (i * 5 % 4))::INTEGER) & 31)::INTEGER, 1)), '') AS payload_digest
+        FROM p""",
+}

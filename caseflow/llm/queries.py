@@ -46,7 +46,8 @@ def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     labels = t.labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("quality"))
     pages = t.pages.select("page_id", "url").join(labels, "page_id", "left").withColumn("outcome", 1 - F.col("quality"))
-    return reputation.judge_urls(pages, "outcome", URL_RULES)
+    judged = reputation.judge_urls(pages, "outcome", URL_RULES)
+    return judged.withColumns({c: F.round(c, 6) for c in ("rate", "low")})
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
+        F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
