@@ -41,10 +41,10 @@ def overrides(judged: DataFrame) -> DataFrame:
 
 
 def override_corpus(judged: DataFrame, complaints: DataFrame) -> DataFrame:
-    """Every text a human labelled differently from the model: the retraining set."""
+    """Every text on which a human decided differently from a prediction, of any kind: the retraining set."""
     texts = complaints.select(F.col("id").alias("complaint_id"), "title", "body")
-    return overrides(judged).filter(F.col("kind") == "category").join(texts, "complaint_id").select(
-        "complaint_id", F.col("to_value").alias("human_label"), "model_version", "title", "body"
+    return overrides(judged).join(texts, "complaint_id").select(
+        "complaint_id", "kind", F.col("to_value").alias("human_label"), "model_version", "title", "body"
     )
 
 

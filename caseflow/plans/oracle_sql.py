@@ -327,7 +327,7 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         SELECT domain_id, prediction_kind, model_version, count(*) AS n_decisions, count(*) FILTER (WHERE accepted) AS n_accepted, round(count(*) FILTER (WHERE accepted) / count(*), 6) AS acceptance_rate
         FROM judged WHERE accepted IS NOT NULL GROUP BY ALL"""),
     "override_corpus": (["judged", "titled"], """
-        SELECT complaint_id, to_value AS human_label, model_version, title, body FROM judged JOIN titled t ON t.id = complaint_id WHERE NOT accepted AND kind = 'category'"""),
+        SELECT complaint_id, kind, to_value AS human_label, model_version, title, body FROM judged JOIN titled t ON t.id = complaint_id WHERE NOT accepted"""),
     "category_history": (["complaints"], """
         SELECT domain_id, category_slug, count(*) AS n_resolved, round(sum(epoch(resolved_at - triaged_at)) / count(*) / 3600, 6) AS mean_resolution_hours, round(count(*) FILTER (WHERE resolved_at > due_at) / count(*), 6) AS breach_rate
         FROM complaints WHERE resolved_at IS NOT NULL AND category_id IS NOT NULL GROUP BY ALL"""),
