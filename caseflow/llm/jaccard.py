@@ -35,7 +35,7 @@ BLOCK = 2000
 BUCKET_SHINGLES = 800_000
 #: Members up to which a signature's group yields pairs; larger ones are compared in blocks of that many sets and shingles.
 PAIRED = 32
-BLOCK_SETS, BLOCK_SHINGLES, SLICE = 1024, 400_000, 4096
+BLOCK_SETS, BLOCK_SHINGLES, SLICE = 1536, 2_000_000, 2048
 #: Rows of candidate pairs up to which they are sent to all tasks instead of moving the texts; about 60 bytes each.
 SENT_ROWS = 400_000
 
@@ -116,6 +116,21 @@ def signatures(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.n
     return np.concatenate(owners), np.concatenate(found)
 
 
+def filled_parts(sets: list[np.ndarray], scheme: Scheme) -> list[tuple[int, int, int, int]]:
+    """For each set its first and last band, and how many signatures of single parts it has in each (none: 0)."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    first, last = scheme.bands(sizes)
+    out = []
+    for s, *bands in zip(sets, first.tolist(), last.tolist(), strict=True):
+        place = mix(s ^ U64(0x5851F42D4C957F2D)) >> U64(33) if len(s) else s
+        counts = []
+        for band in bands:
+            parts, width = scheme.parts(band) if len(s) else (1, 2)
+            counts.append(int(np.count_nonzero(np.bincount((place % U64(parts)).astype(np.int64), minlength=parts))) if width == 1 else 0)
+        out.append((*bands, *counts))
+    return out
+
+
 def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for first, texts in chunks(batch.column(column).to_pylist()):
         yield first, shingle_sets(texts, width)
@@ -301,11 +316,11 @@ def spanning_links(docs: list[int], sets: list[np.ndarray], percent: int) -> lis
         has = np.zeros((n, min(SLICE, len(common) - low)), np.float32)
         has[owner[inside], name[inside] - low] = 1
         both += has @ has.T  # counts below 2**24 are exact
-    shared_count = both.astype(np.int64)
-    linked = 100 * shared_count >= percent * (sizes[:, None] + sizes[None, :] - shared_count)
-    label = np.arange(n)
+    # 100 * both >= percent * (sum of sizes - both), in whole numbers below 2**24.
+    linked = both >= np.ceil(percent * (sizes[:, None] + sizes[None, :]) / (100 + percent) - 1e-6).astype(np.float32)
+    label = np.arange(n, dtype=np.int32)
     while True:
-        near = np.where(linked, label[None, :], n).min(1)
+        near = np.where(linked, label[None, :], np.int32(n)).min(1)
         near = np.minimum(near, label)[np.minimum(near, label)]
         if (near == label).all():
             break
@@ -350,13 +365,19 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scheme = Scheme(percent)
 
+    columns = ["first_band", "last_band", "first_parts", "last_parts"]
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, part in _sets(batch, 1, width) for s in part]
-            digests = [set_digest(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "digest"])
-
-    sized = pin(rows.mapInArrow(digest, "doc_id long, n_shingles long, digest binary"), "digests")
+            sizes, digests, parts = [], [], []
+            for _, sets in _sets(batch, 1, width):
+                sizes += map(len, sets)
+                digests += [set_digest(s) if len(s) else None for s in sets]
+                parts += filled_parts(sets, scheme)
+            numbers = [pa.array([x[i] for x in parts], pa.int32()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *numbers], names=["doc_id", "n_shingles", "digest", *columns])
+
+    sized = pin(rows.mapInArrow(digest, "doc_id long, n_shingles long, digest binary, " + ", ".join(f"{c} int" for c in columns)), "digests")
     known = sized.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     firsts = pin(known.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     nodes = pin(known.join(firsts, "digest").select(F.col("doc_id").alias("doc"), "first"), "nodes")
@@ -368,7 +389,28 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         left = links.join(nodes.select(F.col("doc").alias("a"), F.col("first").alias("x")), "a")
         return left.join(nodes.select(F.col("doc").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    tried = groups.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    # Of any two documents of a group the larger id is a ``doc`` there, so two documents share at most as many signatures as the
+    # larger has rows. Two similar sets differ in at most ``differ`` shingles, hence in as many parts, and share all other
+    # signatures that the one has in the band of the larger set. Pairs that can't are dropped before any set is moved.
+    rows_of = groups.groupBy("doc").agg(F.count(F.lit(1)).alias("rows"))
+    heads_of = groups.select("sig", "hub").distinct().groupBy(F.col("hub").alias("doc")).agg(F.count(F.lit(1)).alias("heads"))
+    traits = known.groupBy(F.col("doc_id").alias("doc")).agg(
+        F.max("n_shingles").alias("n"), (F.min("digest") != F.max("digest")).alias("several"), *(F.max(c).alias(c) for c in columns)
+    )
+    none = F.lit(0).cast("long")
+    traits = pin(
+        traits.join(rows_of, "doc", "left").join(heads_of, "doc", "left").withColumns({"rows": F.coalesce("rows", none), "heads": F.coalesce("heads", none)}), "traits"
+    )
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        left = traits.select(F.col("doc").alias("a"), F.struct("n", "several", "first_band").alias("x"))
+        both = pairs.join(left, "a").join(traits.select(F.col("doc").alias("b"), F.struct(*traits.columns).alias("y")), "b")
+        differ = F.expr(f"(x.n + y.n) * {100 - percent} div {100 + percent}")
+        parts = F.expr("CASE WHEN y.first_band >= x.first_band THEN y.first_parts WHEN y.last_band >= x.first_band THEN y.last_parts ELSE 0 END")
+        fits = F.expr(f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}") & (F.col("y.rows") >= parts - differ)
+        return both.filter(F.col("x.several") | F.col("y.several") | fits).select("a", "b")
+
+    tried = pin(possible(groups.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()), "tried")
     # Rows of one id may have several sets, and then join several nodes.
     joined = nodes.groupBy("doc").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a != b").select("a", "b")
     links = as_nodes(verify(usable, tried, width, percent)).unionByName(joined)
@@ -383,11 +425,13 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     few = pin(members.join(mixed.filter(F.col("n") <= PAIRED).select("sig"), "sig", "left_semi"), "few")
     one, other = (few.select("sig", F.col("doc").alias(d), F.col("label").alias(f"label_{d}")) for d in "ab")
     across = one.join(other, "sig").filter("label_a != label_b AND a < b").select("a", "b").distinct()
-    more = verify(usable, across.join(tried, ["a", "b"], "left_anti"), width, percent)
+    more = verify(usable, possible(across).join(tried, ["a", "b"], "left_anti"), width, percent)
     many = groups.join(mixed.filter(F.col("n") > PAIRED).select("sig"), "sig", "left_semi")
-    size = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    # The same bound for one document and its largest possible partner.
+    furthest = F.expr(f"(n + n * 100 div {percent}) * {100 - percent} div {100 + percent}")
+    lonely = ~F.col("several") & (F.col("rows") + F.col("heads") < F.least("first_parts", "last_parts") - furthest)
     large = components(many.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
-    large = large.join(size, F.col("node") == F.col("doc_id")).select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "n_shingles")
+    large = large.withColumnRenamed("node", "doc").join(traits.filter(~lonely), "doc").select("doc", F.col("component").alias("cluster"), F.col("n").alias("n_shingles"))
     more = as_nodes(more.unionByName(compare_blocks(usable, large, width, percent)))
     named = components(links.unionByName(more))
     final = nodes.join(named.withColumnRenamed("node", "first"), "first", "left").groupBy("doc").agg(F.min(F.coalesce("component", "first")).alias("component_id"))
