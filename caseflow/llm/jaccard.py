@@ -35,7 +35,7 @@ BLOCK = 2000
 BUCKET_SHINGLES = 800_000
 #: Members up to which a signature's group yields pairs; larger ones are compared in blocks of that many sets and shingles.
 PAIRED = 32
-BLOCK_SETS, BLOCK_SHINGLES, SLICE = 1536, 2_000_000, 2048
+BLOCK_SETS, BLOCK_SHINGLES, SLICE = 768, 1_000_000, 2048
 #: Rows of candidate pairs up to which they are sent to all tasks instead of moving the texts; about 60 bytes each.
 SENT_ROWS = 400_000
 
@@ -316,11 +316,14 @@ def spanning_links(docs: list[int], sets: list[np.ndarray], percent: int) -> lis
         has = np.zeros((n, min(SLICE, len(common) - low)), np.float32)
         has[owner[inside], name[inside] - low] = 1
         both += has @ has.T  # counts below 2**24 are exact
-    # 100 * both >= percent * (sum of sizes - both), in whole numbers below 2**24.
-    linked = both >= np.ceil(percent * (sizes[:, None] + sizes[None, :]) / (100 + percent) - 1e-6).astype(np.float32)
+    linked = np.zeros((n, n), bool)
+    some = [slice(i, i + 256) for i in range(0, n, 256)]  # rows at a time, for the memory of what is made on the way
+    for rows in some:  # 100 * both >= percent * (sum of sizes - both)
+        linked[rows] = (100 + percent) * both[rows].astype(np.int64) >= percent * (sizes[rows, None] + sizes[None, :])
+    del both
     label = np.arange(n, dtype=np.int32)
     while True:
-        near = np.where(linked, label[None, :], np.int32(n)).min(1)
+        near = np.concatenate([np.where(linked[rows], label[None, :], np.int32(n)).min(1) for rows in some])
         near = np.minimum(near, label)[np.minimum(near, label)]
         if (near == label).all():
             break

@@ -16,7 +16,7 @@ _seed = np.random.default_rng(20240229)
 BYTE_VALUES = _seed.integers(0, 2**64, 256, dtype=U64)
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _powers: dict[str, np.ndarray] = {}
 
