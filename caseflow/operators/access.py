@@ -67,8 +67,34 @@ def assignable_users(users: DataFrame, grants: DataFrame) -> DataFrame:
     return users.join(pool, users["id"] == pool["user_id"], "left_semi").select("id", "username")
 
 
-def visible_to(complaints: DataFrame, viewer_id: int, may_view_queue: bool) -> DataFrame:
-    return complaints if may_view_queue else complaints.filter(F.col("submitted_by") == viewer_id)
+def command_access(commands: DataFrame, grants: DataFrame, complaints: DataFrame, assignees: DataFrame) -> DataFrame:
+    """``commands`` with ``denied``, why a command may not even be tried: permission first, then visibility, then unknown references.
+
+    ``complaints`` (complaint_id, submitted_by) are the existing ones, ``assignees`` (assignee) who may be assigned. What an
+    actor can't see is to them as unknown as what doesn't exist. Pass on the commands with no ``denied`` to the lifecycle.
+    """
+    op, to = F.col("op"), F.col("to_status")
+    needed = (
+        F.when((op == "triage") | ((op == "transition") & to.isin("in_review", "in_progress")), FLAG_PERMISSIONS["can_triage"])
+        .when(op == "assign", FLAG_PERMISSIONS["can_assign"])
+        .when(op == "mark_duplicate", FLAG_PERMISSIONS["can_mark_duplicate"])
+        .otherwise(FLAG_PERMISSIONS["can_resolve"])
+    )
+    held = grants.groupBy(F.col("user_id").alias("actor_id")).agg(F.collect_set("permission").alias("_held"))  # a few names per user
+    known = complaints.select("complaint_id", F.col("submitted_by").alias("_owner")).distinct()
+    pool = assignees.select("assignee", F.lit(True).alias("_assignable")).distinct()
+    # Commands without an assignee get one of many names that nobody has, so they don't meet in one task.
+    nobody = F.concat(F.lit("\0"), F.pmod(F.xxhash64("seq"), F.lit(1 << 20)).cast("string"))
+    rows = commands.withColumn("_key", F.coalesce("assignee", nobody))
+    rows = rows.join(held, "actor_id", "left").join(known, "complaint_id", "left").join(pool.withColumnRenamed("assignee", "_key"), "_key", "left")
+    may = lambda permission: F.coalesce(F.array_contains("_held", permission), F.lit(False))
+    sees = may(F.lit(VIEW_QUEUE)) | (F.col("_owner") == F.col("actor_id"))
+    denied = (
+        F.when(~may(needed), "forbidden")
+        .when(F.col("_owner").isNull() | ~sees, "not_found")
+        .when((op == "assign") & F.col("_assignable").isNull(), "unknown_assignee")
+    )
+    return rows.withColumn("denied", denied).drop("_key", "_held", "_owner", "_assignable")
 
 
 def visible_rows(complaints: DataFrame, viewers: DataFrame) -> DataFrame:

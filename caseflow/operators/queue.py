@@ -115,6 +115,17 @@ def legal_actions(complaints: DataFrame, permission_flags: DataFrame) -> DataFra
     )
 
 
+def own_list(rows: DataFrame) -> DataFrame:
+    """``rows`` (user_id, id, created_at and more) with each one's place in its user's list, newest first, and its page.
+
+    Places come from one total order over (user, newest first), so a user with very many complaints is no single task's work.
+    """
+    placed = global_position(rows, [F.col("user_id"), F.col("created_at").desc(), F.col("id").desc()], "_pos")
+    firsts = placed.groupBy("user_id").agg(F.min("_pos").alias("_first"))
+    pos = F.col("_pos") - F.col("_first") + 1
+    return placed.join(firsts, "user_id").withColumns({"pos": pos, "page": F.ceil(pos / S.PAGE_SIZE).cast("long")}).drop("_pos", "_first")
+
+
 def category_options(complaints: DataFrame, domains: DataFrame, categories: DataFrame) -> DataFrame:
     """Per domain in use, its categories with their place in the listing (by name) and the number of complaints they are offered to."""
     used = complaints.groupBy("domain_id").agg(F.count("*").alias("n_complaints"))

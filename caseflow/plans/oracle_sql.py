@@ -270,7 +270,8 @@ QUERIES: dict[str, tuple[list[str], str]] = {
           coalesce(due_at < {AS_OF} AND resolved_at IS NULL, FALSE) AS is_overdue FROM titled t JOIN users u ON u.id = t.submitted_by"""),
     "overdue": (["complaints"], f"SELECT id, status, due_at FROM complaints WHERE resolved_at IS NULL AND due_at < {AS_OF}"),
     "my_complaints": (["complaints", "grants"], """
-        SELECT submitted_by AS user_id, id, domain_id, status FROM complaints WHERE submitted_by NOT IN (SELECT user_id FROM grants WHERE permission = 'complaints.view_queue')"""),
+        SELECT *, ceil(pos / 25.0)::BIGINT AS page FROM (SELECT submitted_by AS user_id, id, domain_id, status, row_number() OVER (PARTITION BY submitted_by ORDER BY created_at DESC, id DESC) AS pos
+        FROM complaints) WHERE user_id NOT IN (SELECT user_id FROM grants WHERE permission = 'complaints.view_queue')"""),
     "agent_queue": (["complaints", "domains"], f"""
         SELECT c.id, d.slug AS domain_slug, category_slug, status, assignee_id, created_at, due_at, coalesce(due_at < {AS_OF} AND resolved_at IS NULL, FALSE) AS is_overdue,
           row_number() OVER (ORDER BY due_at ASC NULLS FIRST, created_at DESC, c.id DESC) AS pos
@@ -303,7 +304,13 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "complaint_history": (["history", "users", "predictions"], """
         SELECT h.id AS event_id, h.complaint_id, h.kind, CASE h.kind WHEN 'status' THEN 'Status change' WHEN 'category' THEN 'Category change' WHEN 'priority' THEN 'Priority change' ELSE 'Duplicate decision' END AS kind_label,
           from_value, to_value, username AS actor, p.kind AS prediction_kind, model_version, note, h.created_at FROM history h LEFT JOIN users u ON u.id = actor_id LEFT JOIN predictions p ON p.id = h.prediction_id"""),
-    "assignable_users": (["users", "grants"], "SELECT id, username FROM users WHERE id IN (SELECT user_id FROM grants WHERE permission = 'complaints.view_queue')"),
+    "command_access": (["commands", "users", "grants"], """
+        SELECT seq, complaint_id, op, actor_id, CASE
+          WHEN (actor_id, CASE WHEN op = 'triage' OR (op = 'transition' AND to_status IN ('in_review', 'in_progress')) THEN 'complaints.triage_complaint' WHEN op = 'assign' THEN 'complaints.assign_complaint'
+            WHEN op = 'mark_duplicate' THEN 'complaints.mark_duplicate' ELSE 'complaints.resolve_complaint' END) NOT IN (SELECT (user_id, permission) FROM grants) THEN 'forbidden'
+          WHEN complaint_id // 8 NOT IN (SELECT id FROM users) OR NOT (complaint_id // 8 = actor_id OR actor_id IN (SELECT user_id FROM grants WHERE permission = 'complaints.view_queue')) THEN 'not_found'
+          WHEN op = 'assign' AND assignee NOT IN ('agent0','agent1','agent2','agent3','agent4') THEN 'unknown_assignee' END AS denied FROM commands"""),
+    "assignable_users": (["users", "grants"], "SELECT id, username, row_number() OVER (ORDER BY username, id) AS pos FROM users WHERE id IN (SELECT user_id FROM grants WHERE permission = 'complaints.view_queue')"),
     "user_permissions": (["grants"], "SELECT user_id, permission FROM grants"),
     "permission_matrix": (["users", "grants", "all_permissions"], """
         SELECT id AS user_id, permission, (id, permission) IN (SELECT (user_id, permission) FROM grants) AS granted FROM users, all_permissions"""),

@@ -176,7 +176,8 @@ def overdue(t: Tables) -> DataFrame:
 @query
 def my_complaints(t: Tables) -> DataFrame:
     viewers = E.users(t).select(F.col("id").alias("user_id")).join(access.holders(_grants(t), access.VIEW_QUEUE), "user_id", "left_anti")
-    return access.visible_rows(E.complaints(t, ["id", "domain_id", "status", "submitted_by"]), viewers).select("user_id", "id", "domain_id", "status")
+    rows = access.visible_rows(E.complaints(t, ["id", "domain_id", "status", "submitted_by", "created_at"]), viewers)
+    return queue.own_list(rows.select("user_id", "id", "domain_id", "status", "created_at")).drop("created_at")
 
 
 @query
@@ -278,7 +279,18 @@ def permission_matrix(t: Tables) -> DataFrame:
 
 @query
 def assignable_users(t: Tables) -> DataFrame:
-    return access.assignable_users(E.users(t), _grants(t))
+    """With their place in the list, which is by name."""
+    return global_position(access.assignable_users(E.users(t), _grants(t)), [F.col("username"), F.col("id")])
+
+
+@query
+def command_access(t: Tables) -> DataFrame:
+    """Every command by its actor; a complaint exists if the customer it belongs to does."""
+    owner = F.floor(F.col("complaint_id") / 8).cast("long")
+    commands = E.commands(t)
+    owners = commands.select("complaint_id", owner.alias("submitted_by")).distinct().join(E.users(t).select(F.col("id").alias("submitted_by")), "submitted_by", "left_semi")
+    pool = t.spark.range(5).select(F.concat(F.lit("agent"), F.col("id").cast("string")).alias("assignee"))
+    return access.command_access(commands, _grants(t), owners, pool).select("seq", "complaint_id", "op", "actor_id", "denied")
 
 
 @query

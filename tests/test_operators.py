@@ -222,3 +222,15 @@ def test_unreadable_dates_and_unmapped_labels(spark):
     assert {r.external_id: r.sla_met for r in mapped} == {"1": True, "4": None}
     assert [tuple(r) for r in packs.unmapped_labels(raw).collect()] == [("Noise - Residential", 1)]
     assert packs.unmapped_labels(raw, {"Noise - Residential": "Noise"}).isEmpty()
+
+
+def test_commands_are_authorised_before_they_are_tried(spark):
+    grants = spark.createDataFrame([(1, p) for p in access.FLAG_PERMISSIONS.values()] + [(1, access.VIEW_QUEUE), (2, access.FLAG_PERMISSIONS["can_assign"])], "user_id LONG, permission STRING")
+    rows = [
+        (1, 10, "triage", None, None, 1), (2, 10, "triage", None, None, 3), (3, 99, "triage", None, None, 1), (4, 10, "assign", None, "ann", 2),
+        (5, 20, "assign", None, "ann", 2), (6, 20, "assign", None, "bob", 2), (7, 10, "transition", "resolved", None, 2), (8, 10, "transition", "closed", None, None),
+    ]
+    commands = spark.createDataFrame(rows, "seq LONG, complaint_id LONG, op STRING, to_status STRING, assignee STRING, actor_id LONG")
+    complaints = spark.createDataFrame([(10, 5), (20, 2)], "complaint_id LONG, submitted_by LONG")
+    got = {r.seq: r.denied for r in access.command_access(commands, grants, complaints, spark.createDataFrame([("ann",)], "assignee STRING")).collect()}
+    assert got == {1: None, 2: "forbidden", 3: "not_found", 4: "not_found", 5: None, 6: "unknown_assignee", 7: "forbidden", 8: "forbidden"}
