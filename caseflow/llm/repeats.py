@@ -30,7 +30,7 @@ from caseflow.session import pin
 GRAM = 48
 DIGITS = 4
 #: Windows that a task sorts at once.
-WINDOWS = 500_000
+WINDOWS = 250_000
 TOP = U64(2**64 - 1)
 
 
@@ -146,7 +146,7 @@ def _anchor_rows(docs: DataFrame, length: int, remembered: int = 200_000) -> Dat
                 texts.append(raw)
                 keys.append(key)
                 size += len(raw)
-                if size > CHUNK:
+                if size > CHUNK // 2:
                     yield found()
                     texts, keys, size = [], [], 0
             if texts:
@@ -234,7 +234,7 @@ def _contexts(placed: DataFrame, length: int) -> DataFrame:
     return placed.select("key", "text", "marks").mapInArrow(run, "hash long, block long, key binary, pos int, anchor int, context binary, last int")
 
 
-def _sorted_in_tasks(contexts: DataFrame, length: int, at_once: int = 6000) -> DataFrame:
+def _sorted_in_tasks(contexts: DataFrame, length: int, at_once: int = 4000) -> DataFrame:
     """(key, start, end) of what repeated windows cover around each occurrence; groups are sorted ``at_once`` occurrences together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
