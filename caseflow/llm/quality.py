@@ -146,12 +146,13 @@ def base_failed() -> Column:
 def keep_good(docs: DataFrame, text: str = "text", rules: dict[str, Column] | None = None, least: float = 0.5, rounds: int = 60) -> DataFrame:
     """The rows of ``docs`` that are good and don't fail the basic limits.
 
-    Texts are measured twice, for the model and for the verdict, which costs less than writing or moving them in between.
+    Texts are measured once; the rows wait in a written table until the model knows all votes.
     """
     rules = rules or default_rules()
     votes = F.array(*(v.cast("int") for v in rules.values())).alias("votes")
-    patterns = measure(docs.select(F.col(text).alias("_text")), "_text").select(votes).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
-    model = pin(fit_label_model(patterns, len(rules), rounds).select("votes", "posterior"), "model")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    judged = measure(rows, "_text").select("_row", votes, base_failed().alias("failed")).join(F.broadcast(model), "votes")
-    return judged.filter(~F.col("failed") & (F.col("posterior") >= least)).select("_row.*")
+    judged = pin(measure(rows, "_text").select("_row", votes, base_failed().alias("failed")), "judged")
+    patterns = judged.select("votes").groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    model = fit_label_model(patterns, len(rules), rounds).select("votes", "posterior")
+    kept = judged.filter(~F.col("failed")).join(F.broadcast(model), "votes")
+    return kept.filter(F.col("posterior") >= least).select("_row.*")
