@@ -135,8 +135,8 @@ def _anchor_rows(docs: DataFrame, length: int, remembered: int = 200_000) -> Dat
                 held = pa.array(keys, pa.binary()).take(pa.array(owner))
                 return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), held, pa.array(at.astype(np.int32))], names=["hash", "key", "pos"])
 
-            for text in batch.column(0).to_pylist():
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            for text in batch.column(0):  # one text at a time, not all of a batch as objects
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 key = hashlib.md5(raw).digest()
                 if len(raw) < length or key in known:
                     continue
@@ -313,8 +313,8 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, counts, kept, runs = [], [], [], [], []
-            for value, marks, n in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                raw = value.encode("utf-8", "surrogatepass")
+            for value, marks, n in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                raw = value.as_py().encode("utf-8", "surrogatepass")
                 merged: list[list[int]] = []
                 if n is not None and n > 1 and len(raw) >= length:
                     merged = [[0, len(raw)]]
