@@ -32,8 +32,13 @@ ENCODINGS = {
     "hex_upper": ("0123456789ABCDEF", "^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$"),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "^(?=.*[A-Z])(?=.*[2-7])[A-Z2-7]+=*$"),
     "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", "^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$"),
+    "base36_upper": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$"),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+=*$"),
     "base64url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+=*$"),
+    # What fits no encoding as a whole is tested by its letters and digits, unless they are plain words (capitals at most in front) or digits only.
+    "parts": ("0123456789abcdefghijklmnopqrstuvwxyz", "^(?=.*[0-9])(?=.*[a-z])[^A-Z]+$"),
+    "parts_upper": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "^(?=.*[0-9])(?=.*[A-Z])[^a-z]+$"),
+    "parts_mixed": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "^(?=.*[a-z])(?=.*[A-Z])(?=.*(?:[0-9]|[a-z][A-Za-z]*[A-Z])).+$"),
 }
 BINS_PER_DECADE = 64
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -77,7 +82,7 @@ def battery(tokens: DataFrame, token: str) -> DataFrame:
         encoding, alphabet = F.when(fits, F.lit(name)).otherwise(encoding), F.when(fits, F.lit(characters)).otherwise(alphabet)
     step = tokens.withColumns({"encoding": encoding, "_alphabet": alphabet})
     step = step.withColumn("_x", F.expr(
-        f"CASE WHEN encoding IS NOT NULL THEN transform(filter(split(rtrim('=', {token}), ''), c -> c != ''), c -> locate(c, _alphabet) - 1) END"
+        f"CASE WHEN encoding IS NOT NULL THEN transform(filter(split(rtrim('=', {token}), ''), c -> c != '' AND locate(c, _alphabet) > 0), c -> locate(c, _alphabet) - 1) END"
     ))
     step = step.withColumns({"n": F.size("_x"), "_a": F.length("_alphabet")})
     step = step.withColumn("_bins", F.expr("least(_a, greatest(2, n div 5))"))
@@ -112,15 +117,16 @@ def ordinary_thresholds(tested: DataFrame, rate: float) -> DataFrame:
     return ranked.filter(edge <= rate * F.col("rank") / F.col("m")).groupBy("band").agg(F.min("bin").alias("bin"))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: int = 24, rate: float = 0.05) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: int = 16, rate: float = 0.05) -> DataFrame:
     """``keep`` columns of every document with base (fixed patterns' spans) and spans (with those of random tokens), in order.
 
-    Random tokens are runs of ``[A-Za-z0-9+/_=-]`` of ``least`` or more characters that meet no base span.
+    Random tokens are runs of ``[A-Za-z0-9+/_-]`` of ``least`` or more characters, with ``=`` as trailing padding only, that are not
+    inside a base span; those that a base span covers in part are tested whole.
     """
     keep = tuple(c for c in keep if c not in {"base", "spans"})
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     none = F.expr(f"CAST(array() AS {SPAN})")
-    token = f"[A-Za-z0-9+/_=-]{{{least},}}"
+    token = f"[A-Za-z0-9+/_-]{{{least},}}+(?:={{1,6}}(?![A-Za-z0-9+/_=-]))?"
     t = F.col("_t")
 
     def when(seen: Column, found: Column) -> Column:
@@ -138,7 +144,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     in_order = lambda array: F.expr(f"transform(array_sort(transform({array}, x -> named_struct('start', x.start, 'k', {order}, 'end', x.end, 'kind', x.kind))), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))")
     found = found.withColumn("base", in_order("concat(_assign, _access, _hex)")).drop("_assign", "_access", "_hex")
     found = found.withColumn("_tokens", F.expr("""
-        transform(filter(_long, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end)),
+        transform(filter(_long, x -> NOT exists(base, b -> b.start <= x.start AND x.end <= b.end)),
             x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'token', substring(_t, CAST(x.start + 1 AS int), CAST(x.end - x.start AS int))))"""))
     found = pin(found.drop("_t", "_long"), "secrets")
     tokens = found.select(F.explode("_tokens").alias("x")).select("x.token").filter("token IS NOT NULL")

@@ -198,6 +198,34 @@ def test_random_tokens_found_and_ordinary_ones_left(spark):
     assert first.start == 6 and first.end == 54
 
 
+def test_random_tokens_of_every_shape(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda characters, n: "".join(rng.choice(list(characters), n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    shapes = {
+        "name=value": lambda: ("AWS_SECRET_ACCESS_KEY=", draw(upper + lower + digits, 40), ""),
+        "parameter": lambda: ("https://h.example.org/?sig=", draw(upper + lower + digits, 28), "&x=1"),
+        "padded": lambda: ("x ", draw(upper + lower + digits, 42) + "==", " y"),
+        "upper": lambda: ("x ", draw(upper + digits, 27) + "0189A", " y"),
+        "short": lambda: ("x ", draw(upper + lower + digits, 18), " y"),
+        "no digit": lambda: ("x ", draw(upper + lower, 24), " y"),
+        "parts": lambda: ("x ", draw(lower + digits, 12) + "-" + draw(lower + digits, 12), " y"),
+        "partly covered": lambda: ("x ", draw(upper + lower, 12) + "Z" + draw("0123456789abcdef", 16) + "Z" + draw(upper + lower, 12), " y"),
+    }
+    rows, due = [], []
+    for shape, make in shapes.items():
+        for _ in range(30):
+            before, token, after = make()
+            due.append((shape, len(before), len(before) + len(token)))
+            rows.append((len(rows), before + token + after))
+    plain = ["internationalisation", "Donaudampfschifffahrtsgesellschaft", "Nord-Ostsee-Kanal-Verwaltung", "1234567890123456789012", "a" * 40]
+    rows += [(len(rows) + i, t) for i, t in enumerate(plain)]
+    found = as_dict(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")))
+    hits = Counter(shape for i, (shape, a, b) in enumerate(due) if any((s.kind, s.start, s.end) == ("random", a, b) for s in found[i].spans))
+    assert all(hits[shape] >= 25 for shape in shapes), hits
+    assert not any(s.kind == "random" for i in range(len(due), len(rows)) for s in found[i].spans)
+
+
 def test_leaks(spark, smoke_dir, texts):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{smoke_dir}/benchmark.parquet").collect()]
     want = plain_leaks(texts, items)
