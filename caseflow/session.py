@@ -43,6 +43,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold about ``size`` bytes at most unless the session has a bound of its own.
+
+    Spark's other bound counts rows only, and ten thousand long texts are more than a Python worker should hold.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(size))
+    return df
+
+
 _pinned: list[str] = []
 
 
