@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import archive, decontaminate, jaccard, packing, quality, repeats, reputation, secrets, shards, surrogates
+from caseflow.llm import archive, decontaminate, jaccard, online_packing, packing, quality, repeats, reputation, runs, secrets, shards, spelling, surrogates
 from caseflow.session import checkpoint_root
 from caseflow.sources.tables import Tables
 
@@ -68,11 +68,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.find_repeats(Tables(spark, sf_dir).documents).drop("spans")
 
 
-def tokenizer_path() -> str:
-    """The public vocabulary file that the packing query is agreed on; it is read in place."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The public vocabulary file that a packing query is agreed on; it is read in place."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +105,55 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def variant_of_run() -> Column:
+    """The agreed word of a run: one in 199 loses a letter. Runs of documents without an id lose none."""
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    at = F.pmod(h, F.length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return F.when(h % 199 == 0, shorter).otherwise(F.col("run"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(Tables(spark, sf_dir).documents.select("doc_id", "text"), variant_of_run()))
+
+
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack_online(Tables(spark, sf_dir).documents, tokenizer_path("byte_bpe_50k.json"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The agreed documents: in one of ten, words from a place on repeat the first few of them. Documents without an id stay as they are."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(h: Column, w: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        copies = F.flatten(F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a.cast("int")), copies), F.lit(1), n.cast("int")), " ")
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # The array of one struct binds its fields, so that they are computed once.
+    planted = F.transform(F.array(F.struct(h.alias("h"), words.alias("w"))), lambda x: F.when(F.size(x["w"]) > 0, repeated(x["h"], x["w"])).otherwise(""))[0]
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_runs(Tables(spark, sf_dir).documents))
+    # length / period is compared exactly; runs come by start, then period, and the first of equal ones stays.
+    best = F.expr("aggregate(slice(runs, 2, greatest(size(runs), 1)), runs[0], (best, r) -> IF(r.length * best.period > best.length * r.period, r, best))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.select("doc_id", "runs", F.when(F.size("runs") > 0, best).alias("best"), listed.alias("listed"), "collapsed")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_pii_surrogates, op3_secret_scan, op4_host_reputation, op5_decontaminate,
         op6_jaccard_join, op7_suffix_dedup, op8_best_fit_packing, op9_warc_archive, op10_hilbert_shards,
+        op11_spelling_variants, op12_online_packing, op13_periodic_runs,
     )
 }
