@@ -29,29 +29,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseflow.llm.packing import BYTE_LETTERS
 from caseflow.session import bounded_batches
 
 #: Pieces that a byte-level tokenizer never joins: a word with the blank before it, or blanks.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space for this module's pattern that is none for the tokenizer.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
+MARKS = ".,;:?!*$%&|>#"
 
 
 class ChunkIds(dict):
-    """Chunk -> its ids as little-endian 32-bit bytes, remembered up to ``most`` chunks per Python worker."""
+    """Chunk -> its ids as little-endian 32-bit bytes, remembered up to ``most`` chunks per Python worker.
 
-    def __init__(self, path: str, most: int = 500_000):
+    Marks after letters are a piece of their own, so words are remembered without them; letters go straight to the tokenizer's model.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.most, self.tokenizer = most, Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokens = self.tokenizer.model.tokenize
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
+        core = chunk.rstrip(MARKS)
+        letters = core[1:] if core[:1] == " " else core
+        # One piece of letters for both Python and the tokenizer: Latin ones mean the same to every version of Unicode.
+        if letters.isalpha() and max(letters) < "\u0250":
+            if core != chunk:
+                return self[core] + self[chunk[len(core) :]]
+            ids = array("I", [t.id for t in self.tokens("".join(map(BYTE_LETTERS.__getitem__, core.encode())))]).tobytes()
+        else:
+            ids = self.encode(chunk)
         if len(chunk) <= 64:
             if len(self) >= self.most:
                 self.clear()
