@@ -55,4 +55,21 @@ ORACLES: dict[str, str] = {
         SELECT page_id, strlen(body) AS payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + i * 5 // 4, 2))::INTEGER) >> (3 - (i * 5 % 4))::INTEGER) & 31)::INTEGER, 1)), '') AS payload_digest
         FROM p""",
+    # DuckDB has no crc32, so it goes byte by byte through the usual table of remainders.
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+        runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+        coded AS (SELECT run, n, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM runs),
+        hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(0, length(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) AS h FROM coded, crc),
+        v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+        holes AS (SELECT word, n, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS s FROM places),
+        near AS (SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.p = b.p AND a.s = b.s AND a.word <> b.word
+          UNION SELECT a.word, v.word, v.n FROM holes a JOIN v ON v.word = a.p || a.s
+          UNION SELECT v.word, a.word, a.n FROM holes a JOIN v ON v.word = a.p || a.s),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS most FROM near GROUP BY 1),
+        forms AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN other END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n FROM v LEFT JOIN best USING (word)),
+        follow AS (SELECT word, word AS root, form FROM forms UNION ALL SELECT f.word, f.form, g.form FROM follow f JOIN forms g ON g.word = f.form)
+        SELECT f.*, root FROM forms f JOIN (SELECT word, root FROM follow WHERE form IS NULL) USING (word)""",
 }
