@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.shingles import BASE, BYTE_VALUES, CHUNK, U64, _power_tables, mix
-from caseflow.session import pin
+from caseflow.session import bounded_batches, pin
 
 GRAM = 48
 DIGITS = 4
@@ -152,7 +152,13 @@ def _anchor_rows(docs: DataFrame, length: int, remembered: int = 200_000) -> Dat
             if texts:
                 yield found()
 
-    return docs.select("text").mapInArrow(run, "hash long, key binary, pos int")
+    return bounded_batches(docs.select("text")).mapInArrow(run, "hash long, key binary, pos int")
+
+
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one width as rows of bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
 
 
 def _frequent(rows: DataFrame, block: int) -> DataFrame:
@@ -164,9 +170,7 @@ def _frequent(rows: DataFrame, block: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             value, pos = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            key = batch.column(1)
-            raw = np.frombuffer(key.buffers()[2], np.uint8)[: 16 * (key.offset + len(key))].reshape(-1, 16)[key.offset :]
-            parts = np.ascontiguousarray(raw).view(np.int64)
+            parts = np.ascontiguousarray(_fixed(batch.column(1), 16)).view(np.int64)
             if carried is not None:
                 value, pos, parts = np.concatenate(([carried[0]], value)), np.concatenate(([carried[2]], pos)), np.concatenate((carried[1][None], parts))
             fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (pos[1:] != pos[:-1]) | (parts[1:] != parts[:-1]).any(1)))
@@ -195,79 +199,97 @@ def _frequent(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _contexts(placed: DataFrame, length: int) -> DataFrame:
-    """(hash, block, key, pos, anchor, context, last) from (key, text, marks).
+    """(hash, key, pos, anchor, context, last) from (key, text, marks).
 
     Where a text has one context several times, as periodic texts do, only its first place is sent to be sorted; the windows of
     all of its places are repeated anyway, which rows with ``last`` (the last start of a repeated window) and no context say.
     """
-    names = ["hash", "block", "key", "pos", "anchor", "context", "last"]
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+    names = ["hash", "key", "pos", "anchor", "context", "last"]
+    types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
 
-    def rows_of(key: bytes, text: str, marks: list[dict]) -> Iterator[tuple]:
+    def rows_of(key: bytes, text: str, hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
         raw, first = text.encode("utf-8", "surrogatepass"), {}
-        for m in marks:
-            begin = max(0, m["pos"] + GRAM - length)
-            anchor, context = m["pos"] - begin, raw[begin : m["pos"] + length]
-            again = first.get((m["hash"], anchor, context), -1)
+        for value, pos in zip(hashes.tolist(), places.tolist(), strict=True):
+            begin = max(0, pos + GRAM - length)
+            anchor, context = pos - begin, raw[begin : pos + length]
+            # A text's contexts are told apart by their digests, so a long text is not held once more in pieces.
+            name = (value, anchor, hashlib.blake2b(context, digest_size=16).digest())
+            again = first.setdefault(name, pos)
             last = min(len(context) - length, anchor)
-            if again < 0:
-                first[m["hash"], anchor, context] = m["pos"]
-                yield m["hash"], m["block"], key, m["pos"], anchor, context, None
+            if again == pos:
+                yield value, key, pos, anchor, context, None
             elif last >= 0:
-                yield m["hash"], m["block"], key, m["pos"], anchor, None, last
-                if again != m["pos"]:
-                    yield m["hash"], m["block"], key, again, anchor, None, last
-                    first[m["hash"], anchor, context] = m["pos"]
+                yield value, key, pos, anchor, None, last
+                if again >= 0:
+                    yield value, key, again, anchor, None, last
+                    first[name] = -1
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                for row in rows_of(key, text.as_py(), marks.as_py()):
+            for key, text, marks in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                fields = marks.values  # the marks of this text as columns, not as objects
+                for row in rows_of(key.as_py(), text.as_py(), fields.field(0).to_numpy(), fields.field(1).to_numpy()):
                     rows.append(row)
-                    if len(rows) >= 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    if len(rows) >= 4096:
+                        yield batch_of(rows)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return placed.select("key", "text", "marks").mapInArrow(run, "hash long, block long, key binary, pos int, anchor int, context binary, last int")
-
-
-def _sorted_in_tasks(contexts: DataFrame, length: int, at_once: int = 4000) -> DataFrame:
-    """(key, start, end) of what repeated windows cover around each occurrence; groups are sorted ``at_once`` occurrences together."""
+                yield batch_of(rows)
+
+    return bounded_batches(placed.select("key", "text", "marks")).mapInArrow(run, "hash long, key binary, pos int, anchor int, context binary, last int")
+
+
+def _sorted_in_tasks(contexts: DataFrame, length: int, at_once: int = 2 << 20) -> DataFrame:
+    """(key, start, end) of what repeated windows cover around each occurrence; groups of about ``at_once`` bytes of contexts are sorted together."""
+    names = ["key", "start", "end"]
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All of these whole groups, whose contexts stay in Arrow's buffers but for the copy that is sorted."""
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        value, key, pos, anchor, context = (table.column(i) for i in range(5))
+        value, pos, anchor = value.to_numpy(), pos.to_numpy().astype(np.int64), anchor.to_numpy().astype(np.int64)
+        raw = _fixed(key.chunk(0), 16)
+        # The same place of the same text is there once; rows are in order.
+        fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (pos[1:] != pos[:-1]) | (raw[1:] != raw[:-1]).any(1)))
+        rows = np.flatnonzero(fresh)
+        low, high = repeated_windows(value[rows].view(U64), context.take(pa.array(rows)).to_pylist(), anchor[rows], length)
+        some = np.flatnonzero(low >= 0)
+        begin = (pos - anchor)[rows][some]
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(rows[some])).combine_chunks(), pa.array(begin + low[some]), pa.array(begin + high[some] + length)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            value, key, pos, anchor, context = zip(*rows, strict=True)
-            anchor_at = np.array(anchor, np.int64)
-            low, high = repeated_windows(np.array(value, np.int64).view(U64), list(context), anchor_at, length)
-            begin = np.array(pos, np.int64) - anchor_at
-            some = np.flatnonzero(low >= 0)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[i] for i in some], pa.binary()), pa.array((begin + low)[some]), pa.array((begin + high)[some] + length)], names=["key", "start", "end"]
-            )
-
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            known = pc.is_null(batch.column(5))
+            known = pc.is_null(batch.column(4))
             sure = batch.filter(known)
-            begin = pc.subtract(sure.column(3), sure.column(4)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([sure.column(2), begin, pc.add(begin, pc.add(sure.column(6), length).cast(pa.int64()))], names=["key", "start", "end"])
-            columns = [batch.filter(pc.invert(known)).column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
-            for row in zip(*columns, strict=True):
-                if rows and row[0] == rows[-1][0] and row[1:3] == rows[-1][1:3]:
-                    continue  # the same place of the same text again
-                if len(rows) >= at_once and row[0] != rows[-1][0]:
-                    yield flush(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield flush(rows)
+            begin = pc.subtract(sure.column(2), sure.column(3)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([sure.column(1), begin, pc.add(begin, pc.add(sure.column(5), length).cast(pa.int64()))], names=names)
+            batch = batch.filter(pc.invert(known)).select(list(range(5)))
+            if not batch.num_rows:
+                continue
+            size += batch.nbytes
+            if size > at_once:
+                value = batch.column(0).to_numpy()
+                # Groups end where the hash changes; the last one may go on in the next batch.
+                before = held[-1].column(0)[-1].as_py() if held else value[0]
+                changes = np.flatnonzero(np.concatenate(([value[0] != before], value[1:] != value[:-1])))
+                if len(changes):
+                    at = int(changes[-1])
+                    yield from flush([*held, batch.slice(0, at)] if at else held)
+                    held, batch = [], batch.slice(at)
+                    size = batch.nbytes
+            held.append(batch)
+        yield from flush(held)
 
     ordered = contexts.repartition("hash").sortWithinPartitions("hash", "key", "pos")
-    return ordered.mapInArrow(run, "key binary, start long, end long")
+    return bounded_batches(ordered, 2 << 20).mapInArrow(run, "key binary, start long, end long")
 
 
 def _sorted_across_tasks(contexts: DataFrame, length: int) -> DataFrame:
@@ -275,7 +297,7 @@ def _sorted_across_tasks(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, pos, anchor, context, sure in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
+            for key, pos, anchor, context, sure in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
                 last = sure if context is None else min(len(context) - length, anchor)
                 starts = list(range(last + 1))
                 # Windows known to be repeated need no name: null ones are not looked up.
@@ -300,7 +322,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     hot = pin(hot, "hot")
 
     def contexts(part: DataFrame) -> DataFrame:
-        marks = part.groupBy("key").agg(F.collect_list(F.struct("hash", "block", "pos")).alias("marks"))
+        marks = part.groupBy("key").agg(F.collect_list(F.struct("hash", "pos")).alias("marks"))
         return _contexts(texts.select("text", "key", "owner").join(marks.join(copies.select("key", "owner"), "key"), ["owner", "key"]), length)
 
     covered = _sorted_in_tasks(contexts(places.join(hot, "hash", "left_anti")), length)
@@ -338,4 +360,4 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(kept), pa.array(runs, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    return bounded_batches(joined).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
