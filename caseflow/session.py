@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,12 +71,39 @@ def pin(df: DataFrame, label: str, read_as: str | None = None) -> DataFrame:
     return spark.read.schema(read_as or df.schema).parquet(path)
 
 
-def release_pins(spark: SparkSession) -> int:
-    """Delete the tables ``pin`` wrote in this process, once no query needs them any more."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm = spark.sparkContext._jvm
     hadoop_conf = spark.sparkContext._jsc.hadoopConfiguration()
-    released = 0
-    while _pinned:
-        path = jvm.org.apache.hadoop.fs.Path(_pinned.pop())
-        released += bool(path.getFileSystem(hadoop_conf).delete(path, True))
-    return released
+    deleted = 0
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        deleted += bool(path.getFileSystem(hadoop_conf).delete(path, True))
+    return deleted
+
+
+def delete_table(spark: SparkSession, path: str) -> bool:
+    """Delete a table that this package wrote and that nothing reads any more."""
+    return bool(_delete(spark, [path]))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables pinned inside are deleted at the end, but for those written by the function that this yields, which are pins of what is around."""
+    global _pinned
+    outer, _pinned = _pinned, []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        kept = pin(df, label)
+        outer.append(_pinned.pop())
+        return kept
+
+    try:
+        yield keep
+    finally:
+        mine, _pinned = _pinned, outer
+        _delete(spark, mine)
+
+
+def release_pins(spark: SparkSession) -> int:
+    """Delete the tables ``pin`` wrote in this process, once no query needs them any more."""
+    return _delete(spark, _pinned)
