@@ -16,7 +16,7 @@ alone, so null and repeated ids do no harm.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.shingles import BASE, BYTE_VALUES, CHUNK, U64, _power_tables, mix
-from caseflow.session import bounded_batches, pin
+from caseflow.session import bounded_batches, pin, scratch
 
 GRAM = 48
 DIGITS = 4
 #: Windows that a task sorts at once.
 WINDOWS = 250_000
+#: Places of an anchor in one run of texts from which on they are spread, and over how many salts.
+OFTEN, SALTS = 16, 64
 TOP = U64(2**64 - 1)
 
 
@@ -123,7 +125,11 @@ def text_key(text: Column) -> Column:
 
 
 def _anchor_rows(docs: DataFrame, length: int, remembered: int = 200_000) -> DataFrame:
-    """(hash, key, pos) of all texts; a task passes over copies of texts it remembers."""
+    """(hash, salt, key, pos) of all texts; a task passes over copies of texts it remembers.
+
+    Where a run of texts has an anchor very often, it is repeated for sure. One of its places goes to the others of that hash with salt 0; the
+    rest get salts, so that they are spread over tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
@@ -132,8 +138,11 @@ def _anchor_rows(docs: DataFrame, length: int, remembered: int = 200_000) -> Dat
 
             def found() -> pa.RecordBatch:
                 owner, at, value = anchors(texts, length)
+                _, first, same, seen = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
+                salt = np.where(seen[same] >= OFTEN, 1 + np.arange(len(value)) % SALTS, 0)
+                salt[first] = 0
                 held = pa.array(keys, pa.binary()).take(pa.array(owner))
-                return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), held, pa.array(at.astype(np.int32))], names=["hash", "key", "pos"])
+                return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(salt.astype(np.int32)), held, pa.array(at.astype(np.int32))], names=["hash", "salt", "key", "pos"])
 
             for text in batch.column(0):  # one text at a time, not all of a batch as objects
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
@@ -152,7 +161,7 @@ def _anchor_rows(docs: DataFrame, length: int, remembered: int = 200_000) -> Dat
             if texts:
                 yield found()
 
-    return bounded_batches(docs.select("text")).mapInArrow(run, "hash long, key binary, pos int")
+    return bounded_batches(docs.select("text")).mapInArrow(run, "hash long, salt int, key binary, pos int")
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -161,41 +170,47 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
 
 
-def _frequent(rows: DataFrame, block: int) -> DataFrame:
-    """Anchors with more than one occurrence: (hash, block, key, pos), ``block`` occurrences to a block, in one streaming pass."""
+def _frequent(rows: DataFrame) -> DataFrame:
+    """Anchors with more than one occurrence: (hash, salt, key, pos), in one streaming pass over the rows sorted by hash."""
+    names, schema = ["hash", "salt", "key", "pos"], "hash long, salt int, key binary, pos int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried, count = None, 0  # the last row so far (with its number in its group)
+        carried, count = None, 0  # the last row so far, and its number in its group
         for batch in batches:
             if not batch.num_rows:
                 continue
-            value, pos = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            parts = np.ascontiguousarray(_fixed(batch.column(1), 16)).view(np.int64)
+            value, salt, pos = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            parts = np.ascontiguousarray(_fixed(batch.column(2), 16)).view(np.int64)
             if carried is not None:
-                value, pos, parts = np.concatenate(([carried[0]], value)), np.concatenate(([carried[2]], pos)), np.concatenate((carried[1][None], parts))
-            fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (pos[1:] != pos[:-1]) | (parts[1:] != parts[:-1]).any(1)))
-            value, pos, parts = value[fresh], pos[fresh], parts[fresh]
-            new = np.concatenate(([True], value[1:] != value[:-1]))
+                value, salt, parts, pos = (np.concatenate((x, y)) for x, y in zip(carried, (value, salt, parts, pos), strict=True))
+            fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (salt[1:] != salt[:-1]) | (pos[1:] != pos[:-1]) | (parts[1:] != parts[:-1]).any(1)))
+            value, salt, pos, parts = value[fresh], salt[fresh], pos[fresh], parts[fresh]
+            new = np.concatenate(([True], (value[1:] != value[:-1]) | (salt[1:] != salt[:-1])))
             begin = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
             number = np.arange(len(value)) - begin
             number[begin == 0] += count  # the first group goes on
             # A row is repeated if it isn't alone in its group; whether the last one is shows only with the next batch.
-            ends = np.concatenate((value[1:] != value[:-1], [False]))
-            keep = ~(new & ends & (number == 0))
+            ends = np.concatenate((new[1:], [False]))
+            keep = ~(new & ends & (number == 0)) | (salt > 0)
             keep[-1] = False
-            carried, count = (value[-1], parts[-1].copy(), pos[-1]), int(number[-1])
-            yield _batch(value, number // block, parts, pos, keep)
-        if carried is not None and count > 0:
-            yield _batch(np.array([carried[0]]), np.array([count // block]), carried[1][None], np.array([carried[2]]), np.array([True]))
+            carried, count = (value[-1:], salt[-1:], parts[-1:].copy(), pos[-1:]), int(number[-1])
+            yield made(value, salt, parts, pos, keep)
+        if carried is not None and (count > 0 or carried[1][0] > 0):
+            yield made(*carried, np.array([True]))
 
-    def _batch(value, number, parts, pos, keep) -> pa.RecordBatch:
+    def made(value, salt, parts, pos, keep) -> pa.RecordBatch:
         raw = np.ascontiguousarray(parts[keep]).tobytes()
-        keys = pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(value[keep]), pa.array(number[keep].astype(np.int64)), keys, pa.array(pos[keep].astype(np.int32))], names=["hash", "block", "key", "pos"]
-        )
+        offsets = pa.py_buffer(np.arange(0, len(raw) + 1, 16, dtype=np.int32).tobytes())
+        keys = pa.Array.from_buffers(pa.binary(), len(raw) // 16, [None, offsets, pa.py_buffer(raw)])
+        return pa.RecordBatch.from_arrays([pa.array(value[keep]), pa.array(salt[keep].astype(np.int32)), keys, pa.array(pos[keep].astype(np.int32))], names=names)
+
+    return rows.repartition("hash", "salt").sortWithinPartitions("hash", "salt", "key", "pos").mapInArrow(run, schema)
+
 
-    return rows.repartition("hash").sortWithinPartitions("hash", "key", "pos").mapInArrow(run, "hash long, block long, key binary, pos int")
+def _hot(places: DataFrame, block: int) -> DataFrame:
+    """Hashes of anchors with more than ``block`` places: (hash). Without salts an anchor has few places in any run of texts, and is looked for by its count."""
+    counts = places.groupBy("hash", (F.col("salt") > 0).alias("spread")).agg(F.count(F.lit(1)).alias("n"))
+    return pin(counts.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") > block).select("hash"), "hot")
 
 
 def _contexts(placed: DataFrame, length: int) -> DataFrame:
@@ -313,22 +328,26 @@ def _sorted_across_tasks(contexts: DataFrame, length: int) -> DataFrame:
 
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, block: int = 50_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans (maximal repeated runs in bytes)."""
+    with scratch(docs.sparkSession) as keep:
+        return _find_repeats(docs, doc_id, text, length, block, keep)
+
+
+def _find_repeats(docs: DataFrame, doc_id: str, text: str, length: int, block: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", text_key(F.col("text")).alias("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("owner"))
-    nodes = pin(texts.groupBy("owner", "key").agg(F.count(F.lit(1)).alias("n")), "texts")
+    nodes = keep(texts.groupBy("owner", "key").agg(F.count(F.lit(1)).alias("n")), "texts")
     copies = pin(nodes.groupBy("key").agg(F.sum("n").alias("copies"), F.min("owner").alias("owner")), "copies")
-    places = pin(_frequent(_anchor_rows(texts, length), block), "anchors")
-    hot = places.filter("block = 1").select("hash").distinct()
-    hot = pin(hot, "hot")
-
-    def contexts(part: DataFrame) -> DataFrame:
-        marks = part.groupBy("key").agg(F.collect_list(F.struct("hash", "pos")).alias("marks"))
-        return _contexts(texts.select("text", "key", "owner").join(marks.join(copies.select("key", "owner"), "key"), ["owner", "key"]), length)
-
-    covered = _sorted_in_tasks(contexts(places.join(hot, "hash", "left_anti")), length)
+    places = pin(_frequent(_anchor_rows(texts, length)), "anchors")
+    hot = _hot(places, block)
+    marks = places.groupBy("key").agg(F.collect_list(F.struct("hash", "pos")).alias("marks"))
+    contexts = _contexts(texts.select("text", "key", "owner").join(marks.join(copies.select("key", "owner"), "key"), ["owner", "key"]), length)
     if hot.limit(1).count():
-        covered = covered.unionByName(_sorted_across_tasks(contexts(places.join(hot, "hash", "left_semi")), length))
-    spans = pin(covered.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(copies.select("key", "copies"), "key", "right").filter("spans IS NOT NULL OR copies > 1"), "spans")
+        contexts = pin(contexts, "contexts")
+        covered = _sorted_in_tasks(contexts.join(hot, "hash", "left_anti"), length)
+        covered = covered.unionByName(_sorted_across_tasks(contexts.join(hot, "hash", "left_semi"), length))
+    else:
+        covered = _sorted_in_tasks(contexts, length)
+    spans = keep(covered.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(copies.select("key", "copies"), "key", "right").filter("spans IS NOT NULL OR copies > 1"), "spans")
     found = nodes.select("owner", "key").join(spans, "key")
     joined = texts.join(found, ["owner", "key"], "left").select("doc_id", "text", "spans", "copies")
 
