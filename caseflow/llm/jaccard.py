@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.components import components
+from caseflow.llm.components import components, smallest_reachable
 from caseflow.llm.shingles import BASE, U64, chunks, mix, set_digest, shingle_sets
-from caseflow.session import pin
+from caseflow.session import bounded_batches, pin, scratch
 
 #: Members of one hub that meet in one task.
 BLOCK = 2000
@@ -36,8 +36,8 @@ BUCKET_SHINGLES = 800_000
 #: Members up to which a signature's group yields pairs; larger ones are compared in blocks of that many sets and shingles.
 PAIRED = 32
 BLOCK_SETS, BLOCK_SHINGLES, SLICE = 768, 1_000_000, 2048
-#: Rows of candidate pairs up to which they are sent to all tasks instead of moving the texts; about 60 bytes each.
-SENT_ROWS = 400_000
+#: Bytes of a table up to which it is sent to all tasks instead of moving the texts, and what a row and an entry of an array take at most.
+SENT_BYTES, ROW_BYTES, ENTRY_BYTES = 24 << 20, 96, 48
 
 
 class Scheme:
@@ -179,7 +179,7 @@ def sign(docs: DataFrame, width: int, scheme: Scheme, buckets: int, copies_known
                 rows = [*packed(place[new], sig[new], None, doc[new]), *packed(place[rest], sig[rest], hub[rest], doc[rest])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
 
-    return docs.mapInArrow(run, "bucket long, sig binary, hub binary, doc binary")
+    return bounded_batches(docs).mapInArrow(run, "bucket long, sig binary, hub binary, doc binary")
 
 
 def shared(signed: DataFrame) -> DataFrame:
@@ -232,7 +232,8 @@ def send_sets(docs: DataFrame, wanted: DataFrame, width: int, short: bool = Fals
     ``wanted`` has (doc, a, block, place). Each set is built once. Few rows go to all tasks, many are joined by a shuffle.
     """
     wanted = pin(wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "block", "place")).alias("meets")), "wanted")
-    small = (wanted.agg(F.sum(F.size("meets"))).first()[0] or 0) <= SENT_ROWS
+    total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("meets")), F.lit(0))).first()
+    small = total[0] * ROW_BYTES + total[1] * ENTRY_BYTES <= SENT_BYTES
     texts = docs.withColumnRenamed("doc_id", "doc").join(F.broadcast(wanted) if small else wanted, "doc").select("doc", "text", "meets")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def send_sets(docs: DataFrame, wanted: DataFrame, width: int, short: bool = Fals
                     columns = zip(*rows[at : at + 4096], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "block", "place", "doc", "found"])
 
-    built = texts.mapInArrow(build, "a long, block long, place int, doc long, found binary")
+    built = bounded_batches(texts).mapInArrow(build, "a long, block long, place int, doc long, found binary")
     return built.repartition("a", "block").sortWithinPartitions("a", "block", "place")
 
 
@@ -300,71 +301,121 @@ def _compared(docs: DataFrame, pairs: DataFrame, width: int, percent: int, short
     return pin(send_sets(docs, spread.unionByName(heads), width, short).mapInArrow(run, "a long, b long").distinct(), "similar")
 
 
-def spanning_links(docs: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the same of these sets as all links between them do."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(n), sizes)
+def spanning_links(docs: list[int], sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect the same of these sets as all links between them do; with ``side`` (0 or 1), all links from one side to the other.
+
+    Sets may be of shortened hashes, and then hold one value several times: what that hides of an intersection is allowed for, so no link is missed.
+    """
+    sides = np.zeros(len(sets), np.int64) if side is None else np.array(side)
+    order = np.argsort(sides, kind="stable")
+    n = int((sides == 0).sum())
+    if not n:
+        return []
+    sizes = np.array([len(s) for s in sets], np.int64)[order]
+    sets = [np.unique(sets[i]) for i in order]
+    hidden = sizes - np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, name, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = np.flatnonzero(seen > 1)  # a shingle of one set only is in no intersection
+    cross = n < len(sets)
+    if cross:  # a shingle counts if both sides have it
+        seen = np.minimum(np.bincount(name[owner < n], minlength=len(seen)), np.bincount(name[owner >= n], minlength=len(seen))) + 1
+    common = np.flatnonzero(seen > 1)
     rename = np.full(len(seen), -1)
     rename[common] = np.arange(len(common))
     name = rename[name]
-    both = np.zeros((n, n), np.float32)
+    first, second = slice(0, n), slice(n, None) if cross else slice(0, n)
+    both = np.zeros((n, len(sets) - n if cross else n), np.float32)
     for low in range(0, len(common), SLICE):
         inside = (name >= low) & (name < low + SLICE)
-        has = np.zeros((n, min(SLICE, len(common) - low)), np.float32)
+        has = np.zeros((len(sets), min(SLICE, len(common) - low)), np.float32)
         has[owner[inside], name[inside] - low] = 1
-        both += has @ has.T  # counts below 2**24 are exact
-    linked = np.zeros((n, n), bool)
-    some = [slice(i, i + 256) for i in range(0, n, 256)]  # rows at a time, for the memory of what is made on the way
-    for rows in some:  # 100 * both >= percent * (sum of sizes - both)
-        linked[rows] = (100 + percent) * both[rows].astype(np.int64) >= percent * (sizes[rows, None] + sizes[None, :])
-    del both
-    label = np.arange(n, dtype=np.int32)
-    while True:
-        near = np.concatenate([np.where(linked[rows], label[None, :], np.int32(n)).min(1) for rows in some])
-        near = np.minimum(near, label)[np.minimum(near, label)]
-        if (near == label).all():
-            break
-        label = near
-    return [(docs[i], docs[int(j)]) for i, j in enumerate(label) if i != j]
+        both += has[first] @ has[second].T  # counts below 2**24 are exact
+    found = []
+    for at in range(0, n, 256):  # rows at a time, for the memory of what is made on the way
+        rows = slice(at, min(at + 256, n))
+        most = both[rows].astype(np.int64) + np.minimum(hidden[rows, None], hidden[None, second])
+        # 100 * both >= percent * (sum of sizes - both)
+        one, other = np.nonzero((100 + percent) * most >= percent * (sizes[rows, None] + sizes[None, second]))
+        found.append((one + at, other + (n if cross else 0)))
+    node, label = smallest_reachable(*(np.concatenate(c) for c in zip(*found, strict=True)))
+    return [(docs[order[i]], docs[order[j]]) for i, j in zip(node.tolist(), label.tolist(), strict=True) if i != j]
+
+
+def _meetings(clusters: DataFrame, percent: int) -> DataFrame:
+    """(doc, a, block, place): which sets of a cluster meet where. ``clusters`` has (doc, cluster, n_shingles).
+
+    A cluster is cut into bands of sizes, so wide that similar sets are in one band or in neighbouring ones, and each band into blocks of bounded size. Every two
+    blocks of a band, and of neighbouring bands, meet in one task.
+    """
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(edges[-1] * 100 // percent + 1)
+    banded = pin(clusters.withColumn("band", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n_shingles")))), "clusters")
+    blocks = pin(
+        banded.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")), "blocks"
+    )
+    at = banded.join(blocks, ["cluster", "band"]).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    for step, name in ((1, "above"), (-1, "below")):
+        at = at.join(blocks.select("cluster", (F.col("band") - step).alias("band"), F.col("blocks").alias(name)), ["cluster", "band"], "left")
+    at = pin(at, "meetings")
+    count = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    kinds = (
+        (at.select("*", F.explode(count("blocks")).alias("other")), "band", 0, low * F.col("blocks") + high, (F.col("mine") > F.col("other")).cast("int")),
+        (at.filter("above IS NOT NULL").select("*", F.explode(count("above")).alias("other")), "band", 1, F.col("mine") * F.col("above") + F.col("other"), F.lit(0)),
+        (at.filter("below IS NOT NULL").select("*", F.explode(count("below")).alias("other")), "band - 1", 1, F.col("other") * F.col("blocks") + F.col("mine"), F.lit(1)),
+    )
+    out = None
+    for rows, band, kind, number, place in kinds:
+        key = F.shiftleft(F.expr(f"CAST(2 * ({band}) + {kind} AS long)"), 48) + number
+        part = rows.select("doc", F.col("cluster").alias("a"), key.alias("block"), place.alias("place"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def compare_blocks(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """Links within each cluster, enough to connect what all its links connect. ``clusters`` has (doc, cluster, n_shingles).
 
-    A cluster is cut into blocks of bounded size, and each pair of blocks meets in one task. What one task holds is bounded; the
-    work of a large cluster of sets that are near but not similar is quadratic, and spread evenly.
+    Blocks of sets meet with shortened hashes, which may only link too much, and give links that connect each of their
+    components. These few links are checked exactly; where one of them fails, as next to none does, its cluster is compared with whole hashes.
+    What one task holds is bounded; the work of a large cluster of sets that are near but not similar is quadratic, and spread evenly.
     """
-    clusters = pin(clusters, "clusters")
-    sizes = clusters.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")
-    )
-    at = clusters.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    wanted = at.select("doc", F.col("cluster").alias("a"), "mine", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    wanted = wanted.select("doc", "a", (low * F.col("blocks") + high).alias("block"), F.lit(0).alias("place"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
-        for batch in batches:
-            out = []
-            for a, block, _, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (a, block):
-                    out += spanning_links(ids, sets, percent) if len(ids) > 1 else []
-                    key, ids, sets = (a, block), [], []
-                ids.append(doc)
-                sets.append(np.frombuffer(raw, U64))
-            yield _links(out)
-        if len(ids) > 1:
-            yield _links(spanning_links(ids, sets, percent))
+    def linked(clusters: DataFrame, short: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, ids, sets, side = None, [], [], []
+            for batch in batches:
+                out = []
+                for a, block, place, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if key != (a, block):
+                        out += spanning_links(ids, sets, percent, side) if len(ids) > 1 else []
+                        key, ids, sets, side = (a, block), [], [], []
+                    ids.append(doc)
+                    sets.append(_long(raw) if short else np.frombuffer(raw, U64))
+                    side.append(place)
+                yield _links(out)
+            if len(ids) > 1:
+                yield _links(spanning_links(ids, sets, percent, side))
+
+        return pin(bounded_batches(send_sets(docs, _meetings(clusters, percent), width, short)).mapInArrow(run, "a long, b long").distinct(), "block-links")
 
-    return pin(send_sets(docs, wanted, width).mapInArrow(run, "a long, b long").distinct(), "block-links")
+    clusters = pin(clusters, "clusters")
+    tried = linked(clusters, True)
+    exact = _compared(docs, tried, width, percent, False)
+    failed = tried.join(exact, ["a", "b"], "left_anti").select(F.col("a").alias("doc"))
+    again = pin(clusters.join(clusters.join(failed, "doc", "left_semi").select("cluster").distinct(), "cluster", "left_semi"), "again")
+    if not again.limit(1).count():
+        return exact
+    return exact.unionByName(linked(again, False))
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links). Tables made on the way are gone when it returns."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_similar_components(docs, doc_id, text, width, percent), "components")
+
+
+def _similar_components(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scheme = Scheme(percent)
 
@@ -380,7 +431,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             numbers = [pa.array([x[i] for x in parts], pa.int32()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *numbers], names=["doc_id", "n_shingles", "digest", *columns])
 
-    sized = pin(rows.mapInArrow(digest, "doc_id long, n_shingles long, digest binary, " + ", ".join(f"{c} int" for c in columns)), "digests")
+    sized = pin(bounded_batches(rows).mapInArrow(digest, "doc_id long, n_shingles long, digest binary, " + ", ".join(f"{c} int" for c in columns)), "digests")
     known = sized.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     firsts = pin(known.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     nodes = pin(known.join(firsts, "digest").select(F.col("doc_id").alias("doc"), "first"), "nodes")
@@ -441,17 +492,41 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return sized.join(final.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _own_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame | None:
+    """``docs`` with ``_key``: the id where one row has it, else a number of its own for each text of the id. None if no id is repeated."""
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    bare = docs.filter(F.col(doc_id).isNotNull())
+    several = bare.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(doc_id)
+    several = pin(several, "several")
+    if not several.limit(1).count():
+        return None
+    top = bare.agg(F.max(doc_id)).first()[0]
+    texts = docs.select(doc_id, digest.alias("_digest")).join(several, doc_id, "left_semi").distinct()
+    # Written before it is read, so that a task that is run again can't number its rows anew.
+    numbered = pin(texts.select(F.col(doc_id).alias("_id"), F.col("_digest").alias("_of"), (F.monotonically_increasing_id() + top + 1).alias("_number")), "numbered")
+    keyed = docs.withColumn("_digest", digest).join(numbered, (F.col(doc_id) == F.col("_id")) & (F.col("_digest") == F.col("_of")), "left")
+    return keyed.withColumn("_key", F.coalesce("_number", F.col(doc_id).cast("long"))).drop("_digest", "_id", "_of", "_number")
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id, and one row of each id. Rows without an id all stay.
+    """``docs`` with one document of each component, that of the smallest id, and of rows equal in id and text the least one by all columns.
 
+    Rows of one id with different texts are different documents; where they are first by id in one component, one of them stays. Rows without an id all stay.
     Only the ids to remove meet the texts; few are sent to all tasks, many are joined by a shuffle.
     """
-    named = pin(similar_components(docs, doc_id, text, width, percent), "components").filter("doc_id IS NOT NULL")
-    gone = pin(named.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "gone")
-    again = pin(named.filter("component_id = doc_id").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id), "again")
-    few = gone.count() <= SENT_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, doc_id, "left_anti")
-    if not again.limit(1).count():
-        return kept
-    repeated = kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.join(again, doc_id, "left_anti").unionByName(repeated)
+    def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+        gone = pin(gone, "gone")
+        return rows.join(F.broadcast(gone) if gone.count() * ROW_BYTES <= SENT_BYTES else gone, key, "left_anti")
+
+    columns, keyed = docs.columns, _own_keys(docs, doc_id, text)
+    if keyed is None:
+        named = similar_components(docs, doc_id, text, width, percent)
+        return without(docs, named.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)), doc_id).select(*columns)
+    again = pin(keyed.filter("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.first(doc_id).alias("_id")), "keys")
+    named = pin(similar_components(keyed, "_key", text, width, percent).distinct(), "components").filter("doc_id IS NOT NULL")
+    ids = named.join(again.select(F.col("_key").alias("doc_id"), "_id"), "doc_id")
+    firsts = ids.groupBy("component_id").agg(F.min(F.struct("_id", "doc_id")).alias("first"))
+    kept = without(keyed, ids.join(firsts, "component_id").filter("first.doc_id != doc_id").select(F.col("doc_id").alias("_key")), "_key")
+    copied = again.filter("n > 1").select("_key")
+    once = kept.join(copied, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
+    return kept.join(copied, "_key", "left_anti").select(*columns).unionByName(once)

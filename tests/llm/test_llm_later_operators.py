@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow.llm import online_packing, queries, runs, spelling
-from test_llm_operators import AWKWARD, CLASHES, DOCS, LONG
+from caseflow.llm import components, jaccard, online_packing, queries, runs, spelling
+from test_llm_operators import AWKWARD, CLASHES, DOCS, LONG, plain_components
 
 BYTE_BPE = queries.tokenizer_path("byte_bpe_50k.json")
 
@@ -293,3 +293,96 @@ def test_runs_of_awkward_rows(spark, awkward):
     assert {r.doc_id: r.text for r in planted if r.doc_id in (1, 2, None)} == {1: None, 2: "", None: AWKWARD[8][1]}
     with pytest.raises(ValueError):
         runs.find_in_words(np.zeros(20, np.int64), np.array([[0, 19]]), exponent=3)
+
+
+# --- similarity join: what was changed after the first tests --------------------------------------
+
+
+def linked_as(docs, sets, side, percent=80):
+    """Components of all links, by comparing every pair."""
+    label = {d: d for d in docs}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if (side is None or side[i] != side[j]) and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(docs[i]), root(docs[j])
+                label[max(a, b)] = min(a, b)
+    return {d: root(d) for d in docs}
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_spanning_links_say_what_all_links_say(sided):
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        base = [np.unique(rng.integers(0, 2**63, 30).astype(np.uint64)) for _ in range(3)]
+        sets = []
+        for _ in range(int(rng.integers(2, 25))):
+            s = base[rng.integers(0, 3)]
+            s = s[rng.random(len(s)) > rng.choice([0, 0.1, 0.3])]
+            sets.append(s if len(s) else base[0])
+        side = rng.integers(0, 2, len(sets)).tolist() if sided else None
+        if sided and len(set(side)) == 1:
+            continue
+        docs = rng.permutation(100)[: len(sets)].tolist()
+        got = jaccard.spanning_links(docs, sets, 80, side)
+        assert linked_as(docs, sets, side) == joined(docs, got)
+
+
+def joined(docs, links):
+    nodes, label = components.smallest_reachable(np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64))
+    return {d: d for d in docs} | dict(zip(nodes.tolist(), label.tolist(), strict=True))
+
+
+def test_shortened_hashes_miss_no_link():
+    """Values that become equal when shortened hide a part of an intersection."""
+    a = np.sort(np.array([5 << 40, (5 << 40) + 1, 6 << 40, 7 << 40, 8 << 40], np.uint64))
+    short = [jaccard._long(jaccard._short(s)) for s in (a, a[:4])]
+    assert len(np.unique(short[0])) == 4 and jaccard.spanning_links([1, 2], short, 80) == [(2, 1)] == jaccard.spanning_links([1, 2], [a, a[:4]], 80)
+
+
+@pytest.mark.parametrize("fail", [False, True])
+def test_clusters_are_compared_again_where_a_short_link_fails(spark, monkeypatch, fail):
+    """Whether the links of shortened hashes all pass the exact check or some seem to fail, what is connected is the same."""
+    if fail:
+        exact = jaccard._compared
+        monkeypatch.setattr(jaccard, "_compared", lambda *args: exact(*args).filter("a % 3 = 0"))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    rng = np.random.default_rng(8)
+    rows = []
+    for base in range(3):
+        first = [f"b{base}x{x}" for x in range(60)]
+        for _ in range(12):
+            copy = list(first)
+            for _ in range(int(rng.integers(0, 4))):
+                copy[int(rng.integers(0, 60))] = f"n{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy[: int(rng.integers(50, 61))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    sets = {i: len(set(zip(*(w[k:] for k in range(5)), strict=False))) for i, t in rows for w in [t.split()]}
+    clusters = spark.createDataFrame([(i, 0, n) for i, n in sets.items()], "doc long, cluster long, n_shingles long")
+    links = [(r.a, r.b) for r in jaccard.compare_blocks(docs, clusters, 5, 80).collect()]
+    want = {i: c for i, (_, c) in plain_components(dict(rows)).items()}
+    assert joined([i for i, _ in rows], links) == want and len(set(want.values())) > 3
+
+
+def test_keep_first_loses_no_text_of_a_repeated_id(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(1, text("a"), "x"), (2, text("b"), "x"), (2, text("c"), "x"), (3, text("d"), "x"), (3, text("d"), "w"), (4, text("a"), "x"), (4, text("e"), "x"), (None, text("a"), "x"), (0, text("c"), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter((r.doc_id, r.text, r.lang) for r in jaccard.keep_first(docs).collect())
+    assert got == Counter([(1, text("a"), "x"), (2, text("b"), "x"), (3, text("d"), "w"), (4, text("e"), "x"), (None, text("a"), "x"), (0, text("c"), "x")])
+
+
+def test_links_are_thinned_to_stars(spark, monkeypatch):
+    monkeypatch.setattr(components, "TOGETHER", 50)
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (400, 2))]
+    nodes = sorted({x for p in pairs for x in p})
+    got = {r.node: r.component for r in components.components(spark.createDataFrame([*pairs, (None, 3), (4, None)], "a long, b long").repartition(5)).collect()}
+    assert {n: n for n in nodes} | got == joined(nodes, pairs)
+    assert components.components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).collect() == []
