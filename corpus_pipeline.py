@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import decontaminate, jaccard, packing, quality, secrets
 from caseflow.llm.queries import tokenizer_path
-from caseflow.session import checkpoint_root
+from caseflow.session import checkpoint_root, delete_table, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -63,9 +63,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed documents. A stage's tables go once its result is written, and so does the result before it; the last two results stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    written: list[str] = []
     for number, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{number}")
-        docs = spark.read.parquet(f"{root}/{number}")
+        with scratch(spark):
+            path = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}-{number}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        written.append(path)
+        if len(written) > 2:
+            delete_table(spark, written.pop(0))
     return docs
