@@ -37,9 +37,10 @@ _BEGINNING = "0001-01-01 00:00:00"
 
 @dataclass
 class Lifecycle:
-    """One row per command (``steps``) and the three results derived from it."""
+    """One row per command (``steps``) and the three results derived from it; ``denied`` are commands that were not even tried."""
 
     steps: DataFrame
+    denied: DataFrame | None = None
 
     def state(self) -> DataFrame:
         order = F.col("order")
@@ -72,7 +73,10 @@ class Lifecycle:
         )
 
     def refusals(self) -> DataFrame:
-        return self.steps.filter(F.col("reason").isNotNull()).select("complaint_id", "seq", "ts", "op", "status_before", "reason")
+        refused = self.steps.filter(F.col("reason").isNotNull()).select("complaint_id", "seq", "ts", "op", "status_before", "reason")
+        if self.denied is None:
+            return refused
+        return refused.unionByName(self.denied.select("complaint_id", "seq", "ts", "op", F.lit(None).cast("string").alias("status_before"), F.col("denied").alias("reason")))
 
 
 def _event(kind: str, old: Column, new: Column, when: Column, prediction: Column | None = None, note: Column | None = None) -> Column:
@@ -175,6 +179,16 @@ def run(
     return Lifecycle(_judge(rows, closed, duplicates, canon))
 
 
+def run_authorised(judged: DataFrame, categories: DataFrame, known: DataFrame | None = None, snapshot: DataFrame | None = None) -> Lifecycle:
+    """``run`` over those of ``judged`` (commands with ``denied``, see ``access.command_access``) that are not denied.
+
+    The others change nothing and are listed among the refusals, without a status, as their actors were not shown one.
+    """
+    judged = pin(judged, "judged")
+    fold = run(judged.filter("denied IS NULL").drop("denied"), categories, known, snapshot)
+    return Lifecycle(fold.steps, judged.filter("denied IS NOT NULL"))
+
+
 def _judge(rows: DataFrame, closed: DataFrame, duplicates: DataFrame, canon: DataFrame) -> DataFrame:
     """Status before and after every command, and why it was refused."""
     op, order, to = F.col("op"), F.col("order"), F.col("to_status")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.models import dedup, risk, text, triage
+from caseflow.models import dedup, risk, text, triage, vectors
 from caseflow.models.base import split_of
 from caseflow.operators import evaluate, similar
-from caseflow.plans.relational import CONFIDENCE_THRESHOLD, RISK_BANDS, query, risk_features
+from caseflow.plans.relational import CONFIDENCE_THRESHOLD, FLOORS, RISK_BANDS, query, risk_features
 from caseflow.session import pin
+from caseflow.sources import entities as E
 from caseflow.sources.tables import Tables
 
 TOP_K = 5
@@ -45,14 +46,8 @@ def char_ngrams(t: Tables) -> DataFrame:
 
 @query
 def tfidf(t: Tables) -> DataFrame:
-    """Every text's hashed word TF-IDF vector: number of weights and their largest."""
-    from pyspark.ml.functions import vector_to_array
-
-    docs = _documents(t).select("id", "text")
-    vectors = text.word_tfidf_pipeline(1 << 12).fit(docs).transform(docs).select("id", vector_to_array("tfidf").alias("v"))
-    return vectors.select(
-        "id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("n_weights"), F.round(F.array_max("v"), 6).alias("max_weight")
-    )
+    """Every text's word TF-IDF vector of unit length, all grams included: number of weights and their largest."""
+    return vectors.summary(_documents(t).select("id", "text")).withColumn("max_weight", F.round("max_weight", 6))
 
 
 @query
@@ -72,10 +67,14 @@ def triage_scores(t: Tables) -> DataFrame:
     return _triaged(t).select("id", "label", "split", "triage.category_slug", F.round("triage.confidence", 6).alias("confidence"), "triage.model_version")
 
 
+def _held_out_triage(t: Tables) -> DataFrame:
+    return pin(_triaged(t).filter(F.col("split") == "held_out").select("label", "ranked", F.col("ranked")[0].alias("predicted")), "held-out")
+
+
 @query
 def triage_report(t: Tables) -> DataFrame:
     """Held-out quality beside the two baselines."""
-    held_out = pin(_triaged(t).filter(F.col("split") == "held_out").select("label", "ranked", F.col("ranked")[0].alias("predicted")), "held-out")
+    held_out = _held_out_triage(t)
     parts = [
         evaluate.macro_f1(held_out).select(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value")),
         evaluate.top_n_accuracy(held_out, 1, "v").select(F.lit("accuracy").alias("metric"), F.col("v").alias("value")),
@@ -125,7 +124,8 @@ def dedup_candidates(t: Tables) -> DataFrame:
 
 @query
 def dedup_tfidf(t: Tables) -> DataFrame:
-    return dedup.text_top_k(_documents(t).select("id", "text"), TOP_K, TEXT_THRESHOLD)
+    """The rows whose id is divisible by 20 are the queries, searched against all rows."""
+    return dedup.text_top_k(_documents(t).select("id", "text"), TOP_K, TEXT_THRESHOLD, asked=F.col("id") % 20 == 0)
 
 
 @query
@@ -141,14 +141,40 @@ def recall_at_k(t: Tables) -> DataFrame:
 # --- risk ---------------------------------------------------------------------------------------
 
 
+def _risk_model(rows: DataFrame) -> risk.RiskModel:
+    return risk.fit(rows.filter(F.col("split") != "held_out"))
+
+
 @query
 def risk_scores(t: Tables) -> DataFrame:
     rows = _risk_table(t)
-    scored = risk.fit(rows.filter(F.col("split") != "held_out")).predict(rows, RISK_BANDS)
+    scored = _risk_model(rows).predict(rows, RISK_BANDS)
     return scored.select("id", "split", F.round("risk.score", 6).alias("score"), "risk.band", "breached")
 
 
+def _held_out_risk(t: Tables) -> DataFrame:
+    rows = _risk_table(t)
+    return pin(risk.evaluated(_risk_model(rows), rows.filter(F.col("split") == "held_out")), "risk-held-out")
+
+
+@query
+def risk_report(t: Tables) -> DataFrame:
+    """How well the model's held-out scores rank and how far they can be taken as rates."""
+    return risk.report(_held_out_risk(t), [10, 100, 1000])
+
+
+@query
+def model_floors(t: Tables) -> DataFrame:
+    """The trained models' held-out metrics against their floors."""
+    held_out = _held_out_triage(t)
+    metrics = {
+        "roc_auc": evaluate.roc_auc(_held_out_risk(t)), "macro_f1": evaluate.macro_f1(held_out),
+        "top3_accuracy": evaluate.top_n_accuracy(held_out, 3, "top3_accuracy").select("top3_accuracy"),
+    }
+    return evaluate.metric_floor(metrics, FLOORS)
+
+
 @query
 def transfer_report(t: Tables) -> DataFrame:
-    rows = _risk_table(t)
-    return risk.transfer_report(rows.drop("split"), F.col("domain_id") <= 1, split_of(F.col("id")))
+    rows = _risk_table(t).join(E.untimely(t), "id", "left")
+    return risk.transfer_report(rows.drop("split"), F.col("domain_id") <= 1, split_of(F.col("id")), own_label="untimely")

@@ -5,6 +5,8 @@ Each query lists the shared tables it needs; ``statement`` prepends those and wh
 
 from __future__ import annotations
 
+import re
+
 AS_OF = "TIMESTAMP '2001-08-03 00:00:00'"
 
 TABLES: dict[str, tuple[list[str], str]] = {
@@ -113,6 +115,13 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN event_type = 'error' AND k >= 15 THEN 'agent' || (k % 7) END AS assignee,
           CASE WHEN event_type = 'error' AND k < 15 THEN CASE WHEN k < 10 THEN complaint_id + 5 * (k + 1) WHEN k % 2 = 0 THEN complaint_id ELSE complaint_id + 1 END END AS canonical_id,
           event_id % 50 AS actor_id FROM parsed"""),
+    "access": (["commands", "users", "grants"], """
+        SELECT *, CASE
+          WHEN (actor_id, CASE WHEN op = 'triage' OR (op = 'transition' AND to_status IN ('in_review', 'in_progress')) THEN 'complaints.triage_complaint' WHEN op = 'assign' THEN 'complaints.assign_complaint'
+            WHEN op = 'mark_duplicate' THEN 'complaints.mark_duplicate' ELSE 'complaints.resolve_complaint' END) NOT IN (SELECT (user_id, permission) FROM grants) THEN 'forbidden'
+          WHEN complaint_id // 8 NOT IN (SELECT id FROM users) OR NOT (complaint_id // 8 = actor_id OR actor_id IN (SELECT user_id FROM grants WHERE permission = 'complaints.view_queue')) THEN 'not_found'
+          WHEN op = 'assign' AND assignee NOT IN ('agent0','agent1','agent2','agent3','agent4') THEN 'unknown_assignee' END AS denied FROM commands"""),
+    "permitted_commands": (["access"], "SELECT * EXCLUDE (denied) FROM access WHERE denied IS NULL"),
     "checked": (["commands", "categories"], """
         SELECT m.*, c.slug AS category_slug, c.sla_hours,
           CASE WHEN op = 'triage' THEN CASE WHEN c.domain_id IS NULL THEN 'unknown_category' WHEN c.domain_id <> m.domain_id THEN 'foreign_category'
@@ -186,6 +195,17 @@ TABLES: dict[str, tuple[list[str], str]] = {
     "tokens": ([], r"SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents"),
     "words": (["tokens"], """
         SELECT doc_id, 1::BIGINT AS n, w AS grams FROM tokens UNION ALL SELECT doc_id, 2, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) FROM tokens"""),
+    "text_grams": (["words"], "SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest(grams) AS gram FROM words) GROUP BY ALL"),
+    "first_texts": (["tokens"], "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents JOIN tokens USING (doc_id) WHERE len(w) > 0"),
+    "first_weights": (["text_grams", "first_texts"], """
+        SELECT g.doc_id AS id, gram, tf * ln(((SELECT count(DISTINCT first) FROM first_texts) + 1) / (df + 1)) AS weight
+        FROM text_grams g JOIN (SELECT gram, count(*) AS df FROM text_grams WHERE doc_id IN (SELECT first FROM first_texts) GROUP BY 1) USING (gram) WHERE g.doc_id IN (SELECT first FROM first_texts)"""),
+    "first_vectors": (["first_weights"], "SELECT id, gram, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS x FROM first_weights"),
+    "text_weights": (["text_grams"], "SELECT doc_id, tf * ln(((SELECT count(DISTINCT doc_id) FROM text_grams) + 1) / (count(*) OVER (PARTITION BY gram) + 1)) AS weight FROM text_grams"),
+    "asked": (["first_texts"], "SELECT id, first FROM first_texts WHERE id % 20 = 0"),
+    "sims": (["first_vectors", "asked"], """
+        SELECT a.id AS a, b.id AS b, round(sum(a.x * b.x), 6) AS similarity FROM first_vectors a JOIN first_vectors b USING (gram) WHERE a.id IN (SELECT first FROM asked) AND a.id <> b.id GROUP BY ALL
+          UNION ALL SELECT DISTINCT first, first, 1.0 FROM asked"""),
     "letters": ([], r"SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '\s+', ' ', 'g'), '(?s).') AS c FROM documents"),
     "chars": (["letters"], """
         SELECT doc_id, 3::BIGINT AS n, list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) AS grams FROM letters
@@ -269,9 +289,8 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         SELECT t.id, domain_id AS domain, category_id AS category, priority, status, title, body, username AS submitted_by, assignee_id AS assignee, duplicate_of, created_at, triaged_at, due_at, resolved_at,
           coalesce(due_at < {AS_OF} AND resolved_at IS NULL, FALSE) AS is_overdue FROM titled t JOIN users u ON u.id = t.submitted_by"""),
     "overdue": (["complaints"], f"SELECT id, status, due_at FROM complaints WHERE resolved_at IS NULL AND due_at < {AS_OF}"),
-    "my_complaints": (["complaints", "grants"], """
-        SELECT *, ceil(pos / 25.0)::BIGINT AS page FROM (SELECT submitted_by AS user_id, id, domain_id, status, row_number() OVER (PARTITION BY submitted_by ORDER BY created_at DESC, id DESC) AS pos
-        FROM complaints) WHERE user_id NOT IN (SELECT user_id FROM grants WHERE permission = 'complaints.view_queue')"""),
+    "my_complaints": (["complaints"], """
+        SELECT *, ceil(pos / 25.0)::BIGINT AS page FROM (SELECT submitted_by AS user_id, id, domain_id, status, row_number() OVER (PARTITION BY submitted_by ORDER BY created_at DESC, id DESC) AS pos FROM complaints)"""),
     "agent_queue": (["complaints", "domains"], f"""
         SELECT c.id, d.slug AS domain_slug, category_slug, status, assignee_id, created_at, due_at, coalesce(due_at < {AS_OF} AND resolved_at IS NULL, FALSE) AS is_overdue,
           row_number() OVER (ORDER BY due_at ASC NULLS FIRST, created_at DESC, c.id DESC) AS pos
@@ -304,12 +323,12 @@ QUERIES: dict[str, tuple[list[str], str]] = {
     "complaint_history": (["history", "users", "predictions"], """
         SELECT h.id AS event_id, h.complaint_id, h.kind, CASE h.kind WHEN 'status' THEN 'Status change' WHEN 'category' THEN 'Category change' WHEN 'priority' THEN 'Priority change' ELSE 'Duplicate decision' END AS kind_label,
           from_value, to_value, username AS actor, p.kind AS prediction_kind, model_version, note, h.created_at FROM history h LEFT JOIN users u ON u.id = actor_id LEFT JOIN predictions p ON p.id = h.prediction_id"""),
-    "command_access": (["commands", "users", "grants"], """
-        SELECT seq, complaint_id, op, actor_id, CASE
-          WHEN (actor_id, CASE WHEN op = 'triage' OR (op = 'transition' AND to_status IN ('in_review', 'in_progress')) THEN 'complaints.triage_complaint' WHEN op = 'assign' THEN 'complaints.assign_complaint'
-            WHEN op = 'mark_duplicate' THEN 'complaints.mark_duplicate' ELSE 'complaints.resolve_complaint' END) NOT IN (SELECT (user_id, permission) FROM grants) THEN 'forbidden'
-          WHEN complaint_id // 8 NOT IN (SELECT id FROM users) OR NOT (complaint_id // 8 = actor_id OR actor_id IN (SELECT user_id FROM grants WHERE permission = 'complaints.view_queue')) THEN 'not_found'
-          WHEN op = 'assign' AND assignee NOT IN ('agent0','agent1','agent2','agent3','agent4') THEN 'unknown_assignee' END AS denied FROM commands"""),
+    "command_access": (["access"], "SELECT seq, complaint_id, op, actor_id, denied FROM access"),
+    "authorised_state": (["permitted_ended"], "SELECT * FROM permitted_ended"),
+    "authorised_refusals": (["permitted_marked", "permitted_walk", "access"], """
+        SELECT complaint_id, seq, ts, op, status_before, reason FROM permitted_marked WHERE reason IS NOT NULL
+        UNION ALL SELECT complaint_id, seq, ts, 'mark_duplicate', status_before, reason FROM permitted_walk WHERE reason IS NOT NULL
+        UNION ALL SELECT complaint_id, seq, ts, op, NULL, denied FROM access WHERE denied IS NOT NULL"""),
     "assignable_users": (["users", "grants"], "SELECT id, username, row_number() OVER (ORDER BY username, id) AS pos FROM users WHERE id IN (SELECT user_id FROM grants WHERE permission = 'complaints.view_queue')"),
     "user_permissions": (["grants"], "SELECT user_id, permission FROM grants"),
     "permission_matrix": (["users", "grants", "all_permissions"], """
@@ -437,6 +456,13 @@ QUERIES: dict[str, tuple[list[str], str]] = {
           SELECT doc_id, 'truncate' AS kind, array_to_string(w[1:greatest(1, floor(len(w) * 6 / 10)::BIGINT)], ' ') AS t FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
           UNION ALL SELECT doc_id, 'typos', array_to_string(list_transform(w, lambda x, i: CASE WHEN (doc_id * 31 + (i - 1) * 17) % 10 = 0 AND length(x) >= 3 THEN substr(x, 1, 1) || substr(x, 3, 1) || substr(x, 2, 1) || substr(x, 4) ELSE x END), ' ')
             FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))"""),
+    "tfidf": (["text_weights"], """
+        SELECT doc_id AS id, count(*) FILTER (WHERE weight > 0) AS n_weights, round(coalesce(max(weight) / nullif(sqrt(sum(weight * weight)), 0), 0), 6) AS max_weight
+        FROM documents LEFT JOIN text_weights USING (doc_id) GROUP BY 1"""),
+    "dedup_tfidf": (["first_texts", "asked", "sims"], """
+        SELECT query_id, match_id, similarity, rank FROM (
+          SELECT q.id AS query_id, m.id AS match_id, similarity, row_number() OVER (PARTITION BY q.id ORDER BY similarity DESC, m.id) AS rank
+          FROM asked q JOIN sims ON a = q.first JOIN first_texts m ON m.first = b WHERE m.id <> q.id AND similarity >= 0.5) WHERE rank <= 5"""),
     "embedding_decode": ([], "SELECT vec_id AS id, len(embedding) AS n_dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) AS total FROM embeddings"),
     "dedup_topk": ([], """
         SELECT query_id, match_id, similarity, rank FROM (
@@ -463,6 +489,17 @@ def _needed(names: list[str], found: list[str]) -> list[str]:
     return found
 
 
+#: The lifecycle once more, over the permitted commands only; a mark may still point at any complaint.
+_FOLD = ("commands", "checked", "numbered", "folded", "marks", "walk", "marked", "ended")
+_fold_names = re.compile(rf"\b({'|'.join(_FOLD)})\b(?! AS known)")
+for _name in _FOLD[1:]:
+    _needs, _body = TABLES[_name]
+    TABLES[f"permitted_{_name}"] = (
+        [*(f"permitted_{n}" if n in _FOLD else n for n in _needs), *(["commands"] if _name == "marks" else [])],
+        _fold_names.sub(r"permitted_\1", _body).replace("IN (SELECT complaint_id FROM permitted_commands) AS known", "IN (SELECT complaint_id FROM commands) AS known"),
+    )
+
+
 def statement(name: str) -> str:
     needs, body = QUERIES[name]
     ctes = ", ".join(f"{n} AS ({TABLES[n][1].strip()})" for n in _needed(needs, []))

@@ -175,7 +175,8 @@ def overdue(t: Tables) -> DataFrame:
 
 @query
 def my_complaints(t: Tables) -> DataFrame:
-    viewers = E.users(t).select(F.col("id").alias("user_id")).join(access.holders(_grants(t), access.VIEW_QUEUE), "user_id", "left_anti")
+    """Everyone's own complaints, those of agents too, who see all others besides."""
+    viewers = E.users(t).select(F.col("id").alias("user_id"))
     rows = access.visible_rows(E.complaints(t, ["id", "domain_id", "status", "submitted_by", "created_at"]), viewers)
     return queue.own_list(rows.select("user_id", "id", "domain_id", "status", "created_at")).drop("created_at")
 
@@ -283,14 +284,18 @@ def assignable_users(t: Tables) -> DataFrame:
     return global_position(access.assignable_users(E.users(t), _grants(t)), [F.col("username"), F.col("id")])
 
 
-@query
-def command_access(t: Tables) -> DataFrame:
-    """Every command by its actor; a complaint exists if the customer it belongs to does."""
+def _judged_commands(t: Tables) -> DataFrame:
+    """Every command with ``denied`` by its actor; a complaint exists if the customer it belongs to does."""
     owner = F.floor(F.col("complaint_id") / 8).cast("long")
     commands = E.commands(t)
     owners = commands.select("complaint_id", owner.alias("submitted_by")).distinct().join(E.users(t).select(F.col("id").alias("submitted_by")), "submitted_by", "left_semi")
     pool = t.spark.range(5).select(F.concat(F.lit("agent"), F.col("id").cast("string")).alias("assignee"))
-    return access.command_access(commands, _grants(t), owners, pool).select("seq", "complaint_id", "op", "actor_id", "denied")
+    return access.command_access(commands, _grants(t), owners, pool)
+
+
+@query
+def command_access(t: Tables) -> DataFrame:
+    return _judged_commands(t).select("seq", "complaint_id", "op", "actor_id", "denied")
 
 
 @query
@@ -485,6 +490,23 @@ def duplicate_refusals(t: Tables) -> DataFrame:
     return _lifecycle(t).refusals().filter(F.col("op") == "mark_duplicate")
 
 
+def _authorised(t: Tables) -> lifecycle.Lifecycle:
+    known = E.commands(t).groupBy("complaint_id").agg(F.min("domain_id").alias("domain_id"))
+    return lifecycle.run_authorised(_judged_commands(t), E.categories(t), known)
+
+
+@query
+def authorised_state(t: Tables) -> DataFrame:
+    """The lifecycle of permitted commands only."""
+    return _authorised(t).state()
+
+
+@query
+def authorised_refusals(t: Tables) -> DataFrame:
+    """Commands that were denied, and permitted ones that the lifecycle refused."""
+    return _authorised(t).refusals()
+
+
 @query
 def retriage_due(t: Tables) -> DataFrame:
     valid = keyed.validate_triage(E.commands(t), E.categories(t)).filter((F.col("op") == "triage") & F.col("refusal").isNull())

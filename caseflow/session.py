@@ -59,6 +59,15 @@ def bounded_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before heavy work on each row: a file that Spark can't split, such as one of a single row group, would keep one core busy.
+
+    Tables that already have a part for each core stay as they are, so nothing large is ever shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _pinned: list[str] = []
 
 

@@ -334,6 +334,14 @@ def commands(t: Tables, with_duplicates: bool = True) -> DataFrame:
     )
 
 
+def untimely(t: Tables, days: int = 90) -> DataFrame:
+    """(id, untimely): whether any line of a complaint's order was shipped later than so many days after it, an outcome apart from the complaint's own dates."""
+    last = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_shipdate").alias("shipped"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), "o_orderdate").join(last, "id").select(
+        "id", (F.datediff("shipped", "o_orderdate") > days).alias("untimely")
+    )
+
+
 # --- raw records ------------------------------------------------------------------------------
 
 
