@@ -6,14 +6,19 @@ them with plain versions.
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LONG = ", ".join(f"'{s}'" for s in (
+    "ac.jp ac.uk co.in co.jp co.kr co.nz co.uk co.za com.ar com.au com.br com.cn com.hk com.mx com.sg com.tr com.tw gov.au gov.uk ne.jp net.au or.jp org.au org.nz org.uk"
+).split())
 
 ORACLES: dict[str, str] = {
     "op4_host_reputation": f"""
         WITH parted AS (
           SELECT page_id, {_LOWER.format("CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*') END")} AS host,
             coalesce(CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END, '') AS path FROM pages),
-        marked AS (SELECT p.*, 1 - q AS outcome, regexp_extract(host, '[^.]*\\.?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix
-          FROM parted p LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) ON doc_id = page_id),
+        bare AS (SELECT *, regexp_replace(host, '\\.?(:[0-9]*)?$', '') AS h FROM parted),
+        marked AS (SELECT p.*, 1 - q AS outcome, regexp_extract(h, '[^.]*\\.?[^.]*$') IN ({_LONG}) AS is_long,
+            regexp_extract(h, CASE WHEN is_long THEN '[^.]*\\.?[^.]*\\.[^.]*$' ELSE '[^.]*\\.?[^.]*$' END) AS domain, regexp_extract(h, CASE WHEN is_long THEN '[^.]*\\.[^.]*$' ELSE '[^.]*$' END) AS suffix
+          FROM bare p LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) ON doc_id = page_id),
         hosts AS (SELECT host, domain, suffix, count(outcome) AS n, coalesce(sum(outcome), 0)::BIGINT AS bad FROM marked GROUP BY ALL),
         domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
         suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY ALL),

@@ -15,6 +15,12 @@ from caseflow.sources.tables import Tables
 #: Fixed url rules: (verdict, host/path).
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
+#: Public suffixes of two labels under which domains are registered; a parameter of the operator.
+LONG_SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw",
+    "gov.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.nz", "org.uk",
+)
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(Tables(spark, sf_dir).documents)
@@ -46,7 +52,7 @@ def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     labels = t.labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("quality"))
     pages = t.pages.select("page_id", "url").join(labels, "page_id", "left").withColumn("outcome", 1 - F.col("quality"))
-    judged = reputation.judge_urls(pages, "outcome", URL_RULES)
+    judged = reputation.judge_urls(pages, "outcome", URL_RULES, long_suffixes=LONG_SUFFIXES)
     return judged.withColumns({c: F.round(c, 6) for c in ("rate", "low")})
 
 
@@ -82,7 +88,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/warc-{uuid.uuid4().hex}"
     archive.write_archive(Tables(spark, sf_dir).pages, path)
-    back = archive.read_archive(spark, path)
+    back = archive.rebuild_records(spark, path)
     return back.select(
         F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
         F.col("type").alias("record_type"), "refers_to",
@@ -94,7 +100,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     placed = shards.hilbert_shards(
         docs,
-        [F.col("n_chars").cast("long"), shards.ordered_code(F.col("lang")), shards.ordered_code(F.col("source"))],
+        [F.col("n_chars").cast("long"), F.col("lang"), F.col("source")],
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16,
         {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), "text_hash": F.xxhash64("text")},
         ["text_hash", "doc_id"],

@@ -6,7 +6,8 @@ from the spread of the rates at that level (method of moments), and a host is ju
 hosts with few labels are not blocked by chance.
 
 Only counts per host are shuffled, combined map-side. Null urls and urls without ``://`` form the empty host. Outcomes are
-0 (good), 1 (bad) or null (not labelled); repeated pages count once per row.
+0 (good), 1 (bad) or null (not labelled); repeated pages count once per row. An empty table gives an empty result. Other columns are ignored, and those of
+``keep`` that clash with a result are left out. Prior strengths lie between 1 and 1000 labels, so that neither one group nor rates without any spread decide all.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def domain_and_suffix(host: Column, long_suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
-    """Registered domain and public suffix: the last label, or one of ``long_suffixes`` (such as ``co.uk``)."""
+    """Registered domain and public suffix of a host without its port: the suffix is the last label, or one of ``long_suffixes`` (such as ``co.uk``)."""
+    host = F.regexp_replace(host, r"\.?(?::[0-9]*)?$", "")
     last = F.substring_index(host, ".", -1)
     two = F.substring_index(host, ".", -2)
     long = two.isin(*long_suffixes) if long_suffixes else F.lit(False)
@@ -95,6 +97,7 @@ def judge_urls(
 
     A rule decides if one fits; otherwise a host is blocked when the lower bound of its bad rate is over ``most_bad``.
     """
+    keep = tuple(c for c in keep if c not in {"host", "path", "rule", "verdict", "n", "bad", "rate", "low"})
     host, path = url_parts(F.col(url))
     rows = pages.select(*keep, F.col(outcome).alias("_outcome"), host.alias("host"), path.alias("path"))
     scores = host_reputation(rows, "host", "_outcome", long_suffixes, z)

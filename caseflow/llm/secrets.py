@@ -1,19 +1,25 @@
 """Secret scanning: fixed patterns, and a battery of randomness tests over other long tokens.
 
 A token's encoding is inferred from its characters. Under the hypothesis that it is random in that alphabet, three tests give
-p-values: chi-squared uniformity, runs about the alphabet's middle, and lag-1 serial correlation. Short tokens can hardly be
-told from random ones and long ones easily, so the false-discovery rate is controlled (Benjamini-Hochberg) separately for each
-encoding and length band, over all tokens of the corpus. Tokens whose randomness is rejected are ordinary; the others are reported.
+p-values: chi-squared uniformity, runs about the alphabet's middle, and lag-1 serial correlation. They tell long ordinary tokens from random ones, and hardly
+short ones. So the other side is tested too: under the hypothesis that a token is ordinary, that is made of words, numbers and signs with the letter pairs of the corpus, how
+much better random characters explain it gives a p-value (a likelihood ratio of e**x has one of at most e**-x, at any length). A token
+is reported if the second test finds it more random than ordinary text, and the first three do not reject that it is random.
+
+Both decisions control the false-discovery rate (Benjamini-Hochberg), separately for each encoding and length band, over all tokens of the corpus: the
+one bounds the ordinary tokens among the reported, the other the random ones among the rejected.
 
 The rank that Benjamini-Hochberg needs comes from counts of p-values in fine bins (each p-value rounded up to its bin's edge,
-which keeps the control), so what is gathered is bounded by bins and bands, not by tokens. All of it is DataFrame functions.
+which keeps the control), so what is gathered is bounded by bins and bands, not by tokens; of letter pairs there are 702. All of it is DataFrame functions.
 
-Null texts are empty. Rows are scanned one by one; an empty table gives an empty result; columns other than the text and
+Null texts are empty, and very long ones are scanned whole. Rows are scanned one by one; an empty table gives an empty result; columns other than the text and
 ``keep`` are ignored, and those of ``keep`` that clash with a result are left out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,8 +110,67 @@ def battery(tokens: DataFrame, token: str) -> DataFrame:
     return step.drop("_alphabet", "_x", "_a", "_bins", "_chi", "_free", "_z1", "_z2", "_z3")
 
 
-def ordinary_thresholds(tested: DataFrame, rate: float) -> DataFrame:
-    """Largest bin of p-values rejected as not random, per band (encoding and length): Benjamini-Hochberg over bin counts.
+#: The model of ordinary tokens: chances of the next kind of character. Kinds are a-z, a capital after something else, a further capital, digits, signs, and the start.
+#: Words are long, begin with one capital at most or are all capitals; numbers are short and stand behind words rather than in them.
+STEPS = {
+    "small": {"small": 5 / 6, "capital": 1 / 15, "digit": 1 / 30, "sign": 1 / 15},
+    "capital": {"small": 3 / 5, "capitals": 1 / 3, "digit": 1 / 30, "sign": 1 / 30},
+    "capitals": {"small": 1 / 20, "capitals": 17 / 20, "digit": 1 / 20, "sign": 1 / 20},
+    "digit": {"small": 1 / 20, "capital": 1 / 10, "digit": 7 / 20, "sign": 1 / 2},
+    "sign": {"small": 1 / 2, "capital": 1 / 4, "digit": 1 / 6, "sign": 1 / 12},
+    "start": {"small": 1 / 2, "capital": 1 / 4, "digit": 1 / 6, "sign": 1 / 12},
+}
+KIND_NAMES = tuple(STEPS)
+SIGNS = "+/_-="
+
+
+def letter_pairs(docs: DataFrame, text: str, shortest: int = 4, prior: float = 20.0) -> list[float]:
+    """Costs (-ln of chances) of letter j after letter i at 26 i + j, and of a first letter j at 676 + j, in the words of all texts.
+
+    Words are runs of at least ``shortest`` letters a-z after lower-casing A-Z; ``prior`` occurrences of each letter, all letters alike, smooth the counts.
+    """
+    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = docs.select(F.explode(F.regexp_extract_all(lowered, F.lit(f"[a-z]{{{shortest},}}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    places = words.select("n", F.expr("""explode(transform(sequence(1, length(word)), i ->
+        IF(i = 1, 676, 26 * (ascii(substring(word, i - 1, 1)) - 97)) + ascii(substring(word, i, 1)) - 97))""").alias("place"))
+    counts = [0.0] * 702
+    for row in places.groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most 702 rows
+        counts[row.place] = float(row.n)
+    costs = []
+    for at in range(0, 702, 26):
+        total = sum(counts[at : at + 26]) + prior * 26
+        costs += [-math.log((n + prior) / total) for n in counts[at : at + 26]]
+    return costs
+
+
+def ordinary_cost(token: str, costs: list[float]) -> Column:
+    """-ln of the chance of a token in the model of ordinary ones: ``STEPS`` between kinds of characters, the letter pairs of the corpus, digits and signs all alike."""
+    cost = lambda chance: repr(-math.log(chance)) if chance else "1e3D"
+    step = f"array({', '.join(cost(STEPS[k].get(j, 0)) for k in KIND_NAMES for j in KIND_NAMES)})"
+    pairs = f"array({', '.join(map(repr, costs))})"
+    small, capital, capitals, digit, sign, start = range(6)
+    kind = f"IF(c BETWEEN 97 AND 122, {small}, IF(c BETWEEN 65 AND 90, IF(s.kind IN ({capital}, {capitals}), {capitals}, {capital}), IF(c BETWEEN 48 AND 57, {digit}, {sign})))"
+    letter = "IF(c BETWEEN 97 AND 122, c - 97, IF(c BETWEEN 65 AND 90, c - 65, 26))"
+    # A word goes on from letter to letter, unless a capital comes after a small one.
+    return F.expr(f"""
+        aggregate(transform(filter(split({token}, ''), x -> x != ''), x -> ascii(x)),
+            named_struct('kind', {start}, 'letter', 26, 'cost', 0D),
+            (s, c) -> transform(array(named_struct('kind', {kind}, 'letter', {letter})), z -> named_struct(
+                'kind', z.kind, 'letter', z.letter,
+                'cost', s.cost + {step}[6 * s.kind + z.kind] + CASE WHEN z.kind = {digit} THEN {cost(1 / 10)} WHEN z.kind = {sign} THEN {cost(1 / len(SIGNS))}
+                    ELSE {pairs}[26 * IF(z.kind = {capital}, 26, s.letter) + z.letter] END))[0],
+            s -> s.cost)""")
+
+
+def random_cost(token: str) -> Column:
+    """-ln of the chance of a token of random characters: of its encoding's alphabet, or of the kinds that it holds if these are fewer; sixteen alphabets are as likely."""
+    kinds = " + ".join(f"IF({token} RLIKE '[{c}]', {n}, 0)" for c, n in (("a-z", 26), ("A-Z", 26), ("0-9", 10), ("^A-Za-z0-9", len(SIGNS))))
+    own = "CASE encoding " + " ".join(f"WHEN '{k}' THEN {len(a) + len(SIGNS) * k.startswith('parts')}" for k, (a, _) in ENCODINGS.items()) + " END"
+    return F.expr(f"length({token}) * ln(least({kinds}, {own})) + ln(16)")
+
+
+def thresholds(tested: DataFrame, rate: float) -> DataFrame:
+    """Largest bin of p-values rejected, per band (encoding and length): Benjamini-Hochberg over bin counts.
 
     ``tested`` has band and bin; higher bins hold smaller p-values. A bin's p-value is its upper edge.
     """
@@ -120,7 +185,7 @@ def ordinary_thresholds(tested: DataFrame, rate: float) -> DataFrame:
 def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: int = 16, rate: float = 0.05) -> DataFrame:
     """``keep`` columns of every document with base (fixed patterns' spans) and spans (with those of random tokens), in order.
 
-    Random tokens are runs of ``[A-Za-z0-9+/_-]`` of ``least`` or more characters, with ``=`` as trailing padding only, that are not
+    Letter pairs are counted over all texts of ``docs``. Random tokens are runs of ``[A-Za-z0-9+/_-]`` of ``least`` or more characters, with ``=`` as trailing padding only, that are not
     inside a base span; those that a base span covers in part are tested whole.
     """
     keep = tuple(c for c in keep if c not in {"base", "spans"})
@@ -150,17 +215,23 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     tokens = found.select(F.explode("_tokens").alias("x")).select("x.token").filter("token IS NOT NULL")
     # Copies of a token are one discovery, and its verdict does not depend on how often it is copied.
     tested = battery(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("copies")), "token").filter("encoding IS NOT NULL AND n >= 2")
+    bin_of = lambda p: F.expr(f"CAST(floor(-log10(greatest({p}, 1e-300)) * {BINS_PER_DECADE}) AS int)")
+    # How much better random characters explain the token, without its padding.
+    gain = ordinary_cost("_bare", letter_pairs(rows, "_t")) - random_cost("_bare")
+    tested = tested.withColumn("_bare", F.expr("rtrim('=', token)")).withColumn("p_ordinary", F.exp(-F.greatest(F.lit(0.0), gain)))
     tested = pin(tested.select(
-        "token", F.concat_ws(":", "encoding", F.expr("CAST(floor(2 * log2(n)) AS string)")).alias("band"),
-        F.expr(f"CAST(floor(-log10(greatest(p, 1e-300)) * {BINS_PER_DECADE}) AS int)").alias("bin"), "p",
+        "token", F.concat_ws(":", "encoding", F.expr("CAST(floor(2 * log2(n)) AS string)")).alias("band"), bin_of("p").alias("bin"), bin_of("p_ordinary").alias("ordinary_bin"), "p", "p_ordinary",
     ), "tested")
-    limits = ordinary_thresholds(tested, rate).withColumnRenamed("bin", "limit")
-    random = tested.join(limits, "band", "left").filter("limit IS NULL OR bin < limit").select("token", "p")
+    limits = thresholds(tested.select("band", "bin"), rate).withColumnRenamed("bin", "limit")
+    bounds = thresholds(tested.select("band", F.col("ordinary_bin").alias("bin")), rate).withColumnRenamed("bin", "bound")
+    judged = tested.join(limits, "band", "left").join(bounds, "band")
+    random = judged.filter("(limit IS NULL OR bin < limit) AND ordinary_bin >= bound").select("token")
     # Documents meet the verdicts by token: only rows that hold tokens take part, and copies of a document share its list.
     holders = found.filter(F.size("_tokens") > 0).select(F.col("_tokens.token").alias("_list")).distinct()
-    verdicts = (
+    # Written, so that both sides of the join below are read from tables, and a list of very many documents can be split.
+    verdicts = pin(
         holders.select("_list", F.explode(F.array_distinct("_list")).alias("token")).join(random, "token")
-        .groupBy("_list").agg(F.collect_set("token").alias("_random"))
+        .groupBy("_list").agg(F.collect_set("token").alias("_random")), "verdicts"
     )
     extra = "transform(filter(_tokens, x -> array_contains(coalesce(_random, array()), x.token)), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"
     joined = found.filter(F.size("_tokens") > 0).withColumn("_list", F.col("_tokens.token")).join(verdicts, "_list", "left")

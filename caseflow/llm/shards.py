@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve.
 
-Metadata dimensions are quantised at their own quantiles, documents are ordered by their index on the curve through the
+Metadata dimensions, strings by their rank among all, are quantised at their own quantiles, documents are ordered by their index on the curve through the
 grid, and the order is cut into runs of near equal bytes. Neighbours in the order are near in every dimension, so min-max
 statistics of a shard prune on each of them.
 
@@ -48,9 +48,15 @@ def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
     return index
 
 
-def ordered_code(column: Column) -> Column:
-    """A string as a number that keeps its order, by its first six bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(column.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+def by_rank(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the strings in column ``name`` replaced by the number of rows with a smaller one; nulls stay.
+
+    Distinct values are counted and put in order as a table, whole values, however long and however many they are.
+    """
+    counts = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    codes = running_total(counts, [name], "_n").select(F.col(name).alias("_value"), F.col("before").alias("_code"))
+    there = rows.filter(F.col(name).isNotNull()).join(codes, F.col(name) == F.col("_value")).drop("_value", name).withColumnRenamed("_code", name)
+    return there.unionByName(rows.filter(F.col(name).isNull()).withColumn(name, F.lit(None).cast("long")))
 
 
 def hilbert_shards(
@@ -62,9 +68,15 @@ def hilbert_shards(
     shards: int,
     bits: int = 4,
 ) -> DataFrame:
-    """``carry`` columns with size, curve (index), shard and slot (place in the shard); ``tie`` names the order within a cell."""
+    """``carry`` columns with size, curve (index), shard and slot (place in the shard); ``tie`` names the order within a cell.
+
+    Dimensions are numbers, or strings, which are taken by their rank.
+    """
     names = [f"_dim{i}" for i in range(len(dimensions))]
     rows = docs.select(*(c.alias(k) for k, c in carry.items()), size.alias("size"), *(d.alias(n) for d, n in zip(dimensions, names, strict=True)))
+    for name in names:
+        if isinstance(rows.schema[name].dataType, T.StringType):
+            rows = by_rank(rows, name)
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
     edges = rows.agg(*(F.percentile_approx(n, cuts, 10_000).alias(n) for n in names)).first()
 

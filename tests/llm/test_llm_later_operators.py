@@ -1,6 +1,8 @@
 """Operators 11 to 13 against plain versions on whole small tables, and on awkward input."""
 
+import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +14,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow.llm import components, jaccard, online_packing, queries, runs, spelling
+from caseflow.llm import archive, components, jaccard, online_packing, queries, reputation, runs, secrets, shards, spelling
+from caseflow.session import checkpoint_root
 from test_llm_operators import AWKWARD, CLASHES, DOCS, LONG, plain_components
 
 BYTE_BPE = queries.tokenizer_path("byte_bpe_50k.json")
@@ -386,3 +389,144 @@ def test_links_are_thinned_to_stars(spark, monkeypatch):
     got = {r.node: r.component for r in components.components(spark.createDataFrame([*pairs, (None, 3), (4, None)], "a long, b long").repartition(5)).collect()}
     assert {n: n for n in nodes} | got == joined(nodes, pairs)
     assert components.components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).collect() == []
+
+
+# --- secret scan: the battery and the model of ordinary tokens -------------------------------------
+
+
+def plain_battery(token, alphabet):
+    x = [alphabet.index(c) for c in token.rstrip("=") if c in alphabet]
+    n, a = len(x), len(alphabet)
+    bins = min(a, max(2, n // 5))
+    chi = 0.0
+    for b in range(bins):
+        due = n * sum(v * bins // a == b for v in range(a)) / a
+        chi += (sum(v * bins // a == b for v in x) - due) ** 2 / due
+    free, tail = bins - 1, lambda z: math.erfc(z / math.sqrt(2)) / 2
+    uniform = tail(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+    flips = sum((p * 2 >= a) != (q * 2 >= a) for p, q in zip(x, x[1:], strict=False))
+    runs_p = 2 * tail(abs(flips - (n - 1) / 2) / math.sqrt((n - 1) / 4))
+    mean = (a - 1) / 2
+    serial = 2 * tail(abs(sum((p - mean) * (q - mean) for p, q in zip(x, x[1:], strict=False))) / ((a * a - 1) / 12) / math.sqrt(n - 1))
+    return uniform, min(1, runs_p), min(1, serial)
+
+
+def plain_ordinary_cost(token, costs):
+    total, before, letter = 0.0, "start", 26
+    for c in token:
+        if c.isupper():
+            kind = "capitals" if before.startswith("capital") else "capital"
+        else:
+            kind = "small" if c.islower() else "digit" if c.isdigit() else "sign"
+        total -= math.log(secrets.STEPS[before][kind])
+        if c.isalpha():
+            total += costs[26 * (26 if kind == "capital" or letter == 26 else letter) + ord(c.lower()) - 97]
+            letter = ord(c.lower()) - 97
+        else:
+            total += math.log(10 if kind == "digit" else 5)
+            letter = 26
+        before = kind
+    return total
+
+
+def test_the_model_of_ordinary_tokens_is_one_of_chances():
+    """Only then is a likelihood ratio of e**x met with a chance of e**-x at most."""
+    assert all(sum(steps.values()) == pytest.approx(1) for steps in secrets.STEPS.values())
+
+
+def test_battery_and_cost_by_definition(spark):
+    rng = random.Random(12)
+    tokens = ["".join(rng.choice(secrets.ENCODINGS[name][0]) for _ in range(n)) for name in ("hex", "base64", "base36_upper", "base32") for n in (20, 33, 64)]
+    tokens += ["AbsoluteLinkError2", "/etc/apache2/mime-types_x", "deadbeef00000000", "XMLHttpRequest+99/aB=="]
+    texts = spark.createDataFrame([("The quick brown fox; jumps OVER the lazy dog. don't",), (None,), ("",), ("the the theory",)], "text string")
+    costs = secrets.letter_pairs(texts, "text")
+    pairs = Counter()
+    for word in ("quick", "brown", "jumps", "over", "lazy", "theory"):
+        pairs.update((a, b) for a, b in zip("^" + word, word, strict=False))
+    for i, a in enumerate("abcdefghijklmnopqrstuvwxyz^"):
+        total = sum(n for (x, _), n in pairs.items() if x == a) + 20 * 26
+        for j, b in enumerate("abcdefghijklmnopqrstuvwxyz"):
+            assert costs[26 * i + j] == pytest.approx(-math.log((pairs[a, b] + 20) / total))
+    df = spark.createDataFrame([(t,) for t in tokens], "token string")
+    for r in secrets.battery(df, "token").withColumn("cost", secrets.ordinary_cost("token", costs)).collect():
+        assert r.cost == pytest.approx(plain_ordinary_cost(r.token, costs))
+        want = plain_battery(r.token, secrets.ENCODINGS[r.encoding][0])
+        assert (r.p_uniform, r.p_runs, r.p_serial) == pytest.approx(want, abs=2e-6) and r.p == pytest.approx(min(1, 3 * min(want)), abs=1e-5)
+
+
+def test_identifiers_and_paths_are_ordinary(spark):
+    """Names and paths of the standard library, one per text: under one in a hundred is reported, beside random tokens that are."""
+    import pathlib
+    import sysconfig
+
+    found = set()
+    for path in sorted(pathlib.Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))[:150]:
+        found |= set(re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,60}(?![A-Za-z0-9+/_=-])", path.read_text(errors="ignore")))
+    plain = sorted(t for t in found if re.search("[a-z]{3}|[A-Z]{3}", t))
+    rng = random.Random(7)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = ["".join(rng.choice(base62) for _ in range(n)) for n in [20] * 30 + [40] * 30]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate([*plain, *planted])], "doc_id long, text string")
+    spotted = {r.doc_id for r in secrets.find_secrets(docs).collect() if any(s.kind == "random" for s in r.spans)}
+    wrong = [plain[i] for i in spotted if i < len(plain)]
+    assert len(plain) > 1500 and len(wrong) <= 0.01 * len(plain), wrong[:20]
+    assert len([i for i in spotted if i >= len(plain)]) >= 0.9 * len(planted)
+
+
+# --- archive, shards, reputation --------------------------------------------------------------------
+
+
+def test_records_are_rebuilt_byte_for_byte(spark):
+    rows = [(3, "http://a", "<p>é</p>"), (1, "http://b/%0A", "<p>é</p>"), (2, None, None), (4, "http://c\r\nX: y%0D", "\r\n\r\nWARC-Type: revisit\r\n\r\n"), (5, "http://d", "x" * 100_000), (None, "http://e", "<p>é</p>")]
+    pages = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, record string, bytes long")
+    path = f"{checkpoint_root(spark)}/archive-rebuilt"
+    archive.write_archive(pages, path, date="2020-02-02T02:02:02Z")
+    back = archive.rebuild_records(spark, path).collect()
+    assert Counter((r.id, r.url) for r in back) == Counter((i, u or "") for i, u, _ in rows)
+    bodies = dict((i, (h or "").encode()) for i, _, h in rows)
+    for r in back:
+        sha1 = base64.b32encode(hashlib.sha1(bodies[r.id]).digest()).decode()
+        assert (r.bytes, r.sha1) == (len(bodies[r.id]), sha1)
+        want = [f"WARC/1.0\r\nWARC-Type: {r.type}", f"WARC-Record-ID: <urn:page:{'' if r.id is None else r.id}>", "WARC-Date: 2020-02-02T02:02:02Z"]
+        want.append("WARC-Target-URI: " + ("http://c%0D%0AX: y%250D\r\nX-Escaped-Target-URI: percent" if r.id == 4 else r.url))
+        want += ["Content-Type: text/html", f"WARC-Payload-Digest: sha1:{sha1}"]
+        if r.type == "revisit":
+            want += [f"WARC-Refers-To: <urn:page:{r.refers_to}>", f"WARC-Profile: {archive.REVISIT_PROFILE}", "Content-Length: 0"]
+            assert bytes(r.record) == "\r\n".join(want).encode() + b"\r\n\r\n" + b"\r\n\r\n"
+        else:
+            want.append(f"Content-Length: {len(bodies[r.id])}")
+            assert bytes(r.record) == "\r\n".join(want).encode() + b"\r\n\r\n" + bodies[r.id] + b"\r\n\r\n"
+    assert {r.id: r.refers_to for r in back if r.type == "revisit"} == {3: 1, None: 1}
+    for damaged in (bytes(back[0].record)[:-1], bytes(back[0].record) + b"x", b"HTTP/1.1\r\n\r\n"):
+        with pytest.raises((ValueError, KeyError)):
+            archive.parse_record(damaged)
+    empty = f"{checkpoint_root(spark)}/archive-empty"
+    archive.write_archive(pages.filter("false"), empty)
+    assert archive.rebuild_records(spark, empty).collect() == []
+
+
+def test_strings_are_ranked_whole(spark):
+    names = ["source-01", "source-02", "source-02", None, "source-10", "", "source-1"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, n string")
+    got = {r.i: r.n for r in shards.by_rank(df, "n").collect()}
+    held = [n for n in names if n is not None]
+    assert got == {i: None if n is None else sum(m < n for m in held) for i, n in enumerate(names)}
+    many = spark.range(400).select("id", F.concat(F.lit("source-0"), (F.col("id") % 2).cast("string")).alias("source"))
+    placed = shards.hilbert_shards(many, [F.col("source")], F.lit(1), {"source": F.col("source")}, ["source"], 4, bits=2).collect()
+    cells = defaultdict(set)
+    for r in placed:
+        cells[r.source].add(r.curve)
+    assert len(placed) == 400 and not cells["source-00"] & cells["source-01"]
+
+
+def test_suffixes_ports_and_clashing_columns(spark):
+    hosts = ["a.co.uk", "www.b.co.uk:8080", "c.example.com.", "localhost:80", "", "co.uk"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", *(c.alias(n) for c, n in zip(reputation.domain_and_suffix(F.col("h"), queries.LONG_SUFFIXES), "ds", strict=True)))
+    assert {r.h: (r.d, r.s) for r in df.collect()} == {
+        "a.co.uk": ("a.co.uk", "co.uk"), "www.b.co.uk:8080": ("b.co.uk", "co.uk"), "c.example.com.": ("example.com", "com"),
+        "localhost:80": ("localhost", "localhost"), "": ("", ""), "co.uk": ("co.uk", "co.uk"),
+    }
+    pages = spark.createDataFrame([(i, f"http://x{i % 3}.{'ab'[i % 2]}.co.uk/p", 1 - i % 2, "h", 9) for i in range(200)] + [(999, None, None, "h", 9)], "page_id long, url string, outcome int, host string, n long")
+    rows = {r.page_id: r for r in reputation.judge_urls(pages, "outcome", [], keep=("page_id", "host", "n", "outcome"), long_suffixes=queries.LONG_SUFFIXES).collect()}
+    assert rows[0].host == "x0.a.co.uk" and rows[0].rate > 0.9 and rows[1].rate < 0.1 and rows[999].host == ""
+    assert reputation.judge_urls(pages.filter("false"), "outcome", []).collect() == []

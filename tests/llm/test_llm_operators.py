@@ -491,7 +491,7 @@ OPERATORS = {
     "repeats": lambda d: repeats.find_repeats(d),
     "packing": lambda d: packing.pack(d, queries.tokenizer_path()),
     "shards": lambda d: shards.hilbert_shards(
-        d, [F.col("n_chars"), shards.ordered_code(F.col("lang"))], F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, {"doc_id": F.col("doc_id")}, ["doc_id"], 5
+        d, [F.col("n_chars"), F.col("lang")], F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, {"doc_id": F.col("doc_id")}, ["doc_id"], 5
     ),
     "reputation": lambda d: reputation.judge_urls(d.withColumns({"url": F.concat(F.lit("http://"), "text"), "outcome": F.lit(None).cast("int")}), "outcome", queries.URL_RULES, keep=("doc_id",)),
 }
