@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow.llm import archive, components, jaccard, online_packing, queries, reputation, runs, secrets, shards, spelling
+from caseflow.llm import archive, components, jaccard, online_packing, queries, reputation, runs, secrets, shards, spelling, surrogates
 from caseflow.session import checkpoint_root
 from test_llm_operators import AWKWARD, CLASHES, DOCS, LONG, plain_components
 
@@ -530,3 +530,116 @@ def test_suffixes_ports_and_clashing_columns(spark):
     rows = {r.page_id: r for r in reputation.judge_urls(pages, "outcome", [], keep=("page_id", "host", "n", "outcome"), long_suffixes=queries.LONG_SUFFIXES).collect()}
     assert rows[0].host == "x0.a.co.uk" and rows[0].rate > 0.9 and rows[1].rate < 0.1 and rows[999].host == ""
     assert reputation.judge_urls(pages.filter("false"), "outcome", []).collect() == []
+
+
+# --- surrogates -------------------------------------------------------------------------------------
+
+
+def rewritten(spark, *texts, key="k1"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(surrogates.replace_entities(docs, key).collect(), key=lambda r: r.doc_id)]
+
+
+def shape(text):
+    return re.sub("[0-9]", "0", text)
+
+
+@pytest.mark.parametrize("number", ["+49 30 1234567", "+33 1 23 45 67 89", "+34 912 345 678", "+44 20 7946 0958", "+17435553824", "+1 (743) 555-3824", "743-555-3824", "+49 (30) 901820-12"])
+def test_telephone_numbers_of_many_forms(spark, number):
+    whole, again = rewritten(spark, f"Call {number}, or write.", f"({number})")
+    found = whole.removeprefix("Call ").removesuffix(", or write.")
+    assert found != number and shape(found) == shape(number) and again == f"({found})"
+    digits, new = (re.sub("[^0-9]", "", n) for n in (number, found))
+    kept = 0 if len(digits) <= 10 else 1 if len(digits) == 11 and digits[0] == "1" else 2
+    assert new[:kept] == digits[:kept] and new[kept:] != digits[kept:]
+
+
+def test_other_numbers_stay(spark):
+    text = "1 + 2 = 3, 2024-01-02, +5, 12 34, 1000000, version 1.2.3, 3782-822463-10006"
+    assert rewritten(spark, text) == [text]
+
+
+def test_card_numbers_of_other_groupings(spark):
+    amex, plain, long = rewritten(spark, "3782-822463-10005", "378282246310005", "6304 0000 0000 0000 000")
+    assert re.fullmatch(r"3\d{3}-\d{6}-\d{5}", amex) and amex.replace("-", "") == plain != "378282246310005"
+    assert re.fullmatch(r"6\d{3} \d{4} \d{4} \d{4} \d{3}", long)
+    for card in (plain, long.replace(" ", "")):
+        assert sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(card))) % 10 == 0
+
+
+@pytest.mark.parametrize(("titled", "untitled", "other"), [
+    ("Mr Peter Brown", "Peter Brown", "Dr Brown"), ("Frau Jürgen-Ute Özil".replace("Jürgen-Ute", "Ute"), "Ute Özil", "Prof. Özil"), ("Señora Pilar Núñez", "Pilar Núñez", "Dr Núñez"),
+    ("Mme Zoé Lefèvre", "Zoé Lefèvre", "Dr Lefèvre"), ("г-н Пётр Иванов", "Пётр Иванов", "г-н Иванов"),
+])
+def test_a_person_is_one_over_all_forms(spark, titled, untitled, other):
+    first, family = untitled.split()
+    text, elsewhere = rewritten(spark, f"{titled} came. {untitled} said so; {first} left, {family}'s hat stayed. {other} knew. {family}er", f"x {other} y")
+    title = titled.removesuffix(untitled)
+    new = re.match(rf"{title}(\S+) (\S+) came", text)
+    assert new and new[1] != first and new[2] != family
+    tail = other.removesuffix(family)
+    assert text == f"{title}{new[1]} {new[2]} came. {new[1]} {new[2]} said so; {new[1]} left, {new[2]}'s hat stayed. {tail}{new[2]} knew. {family}er"
+    assert elsewhere == f"x {tail}{new[2]} y"
+
+
+def test_gender_of_a_first_name_follows_its_titles(spark):
+    one, two, three = rewritten(spark, "Mrs Kim Lee and Dr Kim Lee", "Dr Kim Lee", "Dr Alex Roe")
+    first = one.split()[1]
+    assert first.split("-")[0] in surrogates.FIRST["person_f", "latin"] and one.split()[5] == first == two.split()[1]
+    assert three.split()[1].split("-")[0] in surrogates.FIRST["person_x", "latin"]
+
+
+def test_han_names(spark):
+    one, two = rewritten(spark, "我见到王小明先生和李芳女士。", "王小明先生")
+    new = re.fullmatch("我见到(.{3})先生和(.{2})女士。", one)
+    assert new and new[1] != "王小明" and new[2] != "李芳" and two == f"{new[1]}先生"
+    assert new[1][1] in surrogates.GIVEN["han_m"] and new[2][1] in surrogates.GIVEN["han_f"]
+
+
+def test_surrogates_of_the_whole_table(spark, smoke_dir, texts):
+    """Entities against the same patterns in another engine; text around them stays, and surrogates keep entities apart and together."""
+    import regex
+
+    def luhn(digits):
+        return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+    def plain(text):
+        def disjoint(found):
+            out, at = [], 0
+            for a, b, kind in sorted((a, -b, kind) for a, b, kind in found):
+                if a >= at:
+                    out.append((kind, a, -b))
+                    at = -b
+            return out
+
+        found = []
+        for kind, (_, pattern) in surrogates.PATTERNS.items():
+            for m in regex.finditer(pattern.replace(r"\p{IsHan}", r"\p{Han}"), text):
+                digits = re.sub("[^0-9]", "", m[0])
+                if (kind != "card" or luhn(digits)) and (kind != "phone_i" or 8 <= len(digits) <= 15):
+                    found.append((m.start(), m.end(), kind.removesuffix("_i")))
+        found = disjoint(found)
+        names = {text[a:b] for kind, a, b in found if kind.startswith("person")}
+        if not names:
+            return found
+        tokens = sorted(names | {t for n in names for t in n.split(" ")}, key=lambda t: (-len(t), t))
+        again = [(m.start(), m.end(), "person_y") for m in regex.finditer(rf"(?<!\p{{L}})(?:{'|'.join(tokens)})(?!\p{{L}})", text)]
+        return disjoint([(a, b, kind) for kind, a, b in found] + again)
+
+    rows = surrogates.replace_entities(spark.read.parquet(f"{smoke_dir}/documents.parquet"), "k").collect()
+    assert Counter(r.doc_id for r in rows) == Counter(list(texts))
+    put = defaultdict(set)
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert [(e.kind, e.start, e.end) for e in r.entities] == plain(text), r.doc_id
+        pieces, at = [], 0
+        for e in r.entities:
+            assert e.value == text[e.start : e.end]
+            pieces.append(re.escape(text[at : e.start]))
+            at = e.end
+        around = re.fullmatch("(.+?)".join([*pieces, re.escape(text[at:])]), r.text or "", re.DOTALL)
+        assert around, r.doc_id
+        for e, new in zip(r.entities, around.groups(), strict=True):
+            if e.kind in ("email", "ip", "card"):
+                put[e.kind, e.canon].add(re.sub("[ -]", "", new))
+    assert len(put) > 10 and all(len(v) == 1 for v in put.values()) and len({(k, *v) for (k, _), v in put.items()}) == len(put)
