@@ -95,6 +95,12 @@ def delete_table(spark: SparkSession, path: str) -> bool:
     return bool(_delete(spark, [path]))
 
 
+def table_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: Spark's writers put a mark into the folder when they have finished."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark))
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables pinned inside are deleted at the end, but for those written by the function that this yields, which are pins of what is around."""

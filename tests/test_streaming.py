@@ -1,15 +1,17 @@
 """Streams give what the batch jobs give."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseflow import schema as S
-from caseflow.models.base import null_dedup, null_triage
-from caseflow.operators import lifecycle
+from caseflow.models.base import null_dedup, null_risk, null_triage
+from caseflow.operators import keyed, lifecycle
 from caseflow.streaming import commands as command_stream
 from caseflow.streaming import overdue, scoring
-from test_lifecycle import CATEGORIES, interpret, random_commands
+from test_lifecycle import CATEGORIES, interpret, mark, move, random_commands, triage
 
 
 def test_command_stream_equals_batch(spark, tmp_path):
@@ -91,3 +93,90 @@ def test_scoring_survives_a_failing_scorer(spark, tmp_path):
     assert sorted(r.complaint_id for r in predictions.collect()) == [0, 1, 2, 4, 5]
     assert predictions.select("payload").distinct().collect()[0][0] == '{"category_slug":null,"confidence":0.0}'
     assert scoring.predictions_of(spark.createDataFrame(rows, "id LONG, text STRING, created_at TIMESTAMP_NTZ"), "dedup", null_dedup, "m").first().payload == '{"matches":[]}'
+
+
+def test_command_stream_with_marks_is_the_batch(spark, tmp_path):
+    """State, events and refusals, over batches that mark complaints which no command has reached yet."""
+    rows = sorted(random_commands(21, 260, 18), key=lambda r: (r[1], r[0]))
+    categories = spark.createDataFrame(CATEGORIES, S.CATEGORY)
+    known = spark.createDataFrame(sorted({(r[2], r[3]) for r in rows}), "complaint_id LONG, domain_id LONG")
+    root = str(tmp_path / "out")
+    for i in range(4):
+        command_stream.apply_batch(spark.createDataFrame(rows[i * 65:(i + 1) * 65], S.COMMAND), i, categories, root, known, buckets=4)
+    expected, events, refusals = interpret(rows)
+    got = {r.complaint_id: (r.status, r.category_slug, r.assignee, r.duplicate_of, r.due_at, r.resolved_at) for r in command_stream.latest_state(spark, f"{root}/state").collect()}
+    assert got == {c: (s["status"], s["slug"], s["assignee"], s["dup"], s["due"], s["resolved"]) for c, s in expected.items()}
+    assert sorted((r.seq, r.reason) for r in spark.read.parquet(f"{root}/refusals").collect()) == sorted(refusals)
+    told = sorted((r.seq, r.ord, r.kind, r.from_value, r.to_value) for r in spark.read.parquet(f"{root}/events").collect())
+    assert told == sorted((e[0], e[1], e[2], e[3], None if e[4] is None else str(e[4])) for e in events)
+
+
+def test_late_commands_are_refused_and_change_nothing(spark, tmp_path):
+    categories, root = spark.createDataFrame(CATEGORIES, S.CATEGORY), str(tmp_path / "out")
+    batches = [[triage(1, 1), triage(5, 2)], [move(4, 2, "in_progress"), move(6, 1, "in_progress"), triage(5, 2)], [mark(7, 1, 2)]]
+    for i, rows in enumerate(batches):
+        command_stream.apply_batch(spark.createDataFrame(rows, S.COMMAND), i, categories, root)
+    state = {r.complaint_id: r.status for r in command_stream.latest_state(spark, f"{root}/state").collect()}
+    assert state == {1: "duplicate", 2: "in_review"}
+    assert sorted((r.seq, r.reason) for r in spark.read.parquet(f"{root}/refusals").collect()) == [(4, "late"), (5, "late")]
+
+
+def test_a_batch_reads_no_more_after_many_batches(spark, tmp_path):
+    categories, root = spark.createDataFrame(CATEGORIES, S.CATEGORY), str(tmp_path / "out")
+    sizes = []
+    for i in range(8):
+        rows = [triage(100 * i + c, c) for c in range(12)]
+        command_stream.apply_batch(spark.createDataFrame(rows, S.COMMAND), i, categories, root, buckets=4)
+        index = command_stream._index(spark, f"{root}/state")
+        assert len(index) <= 4 and set(index.values()) == {i}  # all buckets were touched
+        sizes.append(command_stream._rows(spark, f"{root}/state", index).count())
+    assert sizes == [12] * 8
+    assert len(list(Path(f"{root}/state_index").glob("batch_id=*"))) <= 3
+    # A batch run again replaces its own folders and gives the same state.
+    before = {r.complaint_id: r for r in command_stream.latest_state(spark, f"{root}/state").collect()}
+    command_stream.apply_batch(spark.createDataFrame(rows, S.COMMAND), 7, categories, root, buckets=4)
+    assert {r.complaint_id: r for r in command_stream.latest_state(spark, f"{root}/state").collect()} == before
+    assert spark.read.parquet(f"{root}/refusals").count() == 0
+
+
+def test_predictions_are_append_only_and_keep_their_ids(spark, tmp_path):
+    rows = [(i, f"text {i}", datetime(2024, 1, 1)) for i in range(5)]
+    batch = spark.createDataFrame(rows, "id LONG, text STRING, created_at TIMESTAMP_NTZ")
+    root = str(tmp_path / "out")
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{root}/predictions").collect())
+    for batch_id in (0, 1):
+        scoring.score_batch(batch, batch_id, {"triage": null_triage, "dedup": null_dedup}, root)
+    first = read()
+    assert len(first) == 20 and len({r[0] for r in first}) == 20
+    scoring.score_batch(batch.orderBy(F.col("id").desc()), 1, {"triage": null_triage, "dedup": null_dedup}, root)  # run again: nothing changes
+    assert read() == first
+    stored = spark.read.parquet(f"{root}/predictions")
+    with pytest.raises(ValueError, match="append-only"):
+        keyed.append_only(stored, stored.limit(1), f"{root}/predictions/kind_of=triage/batch_id=9")
+    # An attempt that failed half-way leaves no mark, and its rows go.
+    (tmp_path / "out/predictions/kind_of=triage/batch_id=1/_SUCCESS").unlink()
+    scoring.score_batch(batch, 1, {"triage": null_triage}, root)
+    assert read() == first
+
+
+def test_risk_is_scored_when_a_triage_arrives(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    submitted = "id LONG, text STRING, created_at TIMESTAMP_NTZ"
+    event = "complaint_id LONG, kind STRING, created_at TIMESTAMP_NTZ"
+    spark.createDataFrame([(i, "x", t) for i in range(4)], submitted).coalesce(1).write.parquet(str(tmp_path / "subs"))
+    events = [(0, "category", t + timedelta(hours=1)), (0, "priority", t + timedelta(hours=1)), (2, "category", t + timedelta(hours=2)), (2, "category", t + timedelta(hours=9)), (3, "category", t - timedelta(hours=1)), (8, "category", t)]
+    spark.createDataFrame(events, event).coalesce(1).write.parquet(str(tmp_path / "events"))
+
+    def run():
+        scoring.start_risk(
+            spark.readStream.schema(submitted).parquet(str(tmp_path / "subs")), spark.readStream.schema(event).parquet(str(tmp_path / "events")), null_risk,
+            str(tmp_path / "out"), str(tmp_path / "cp"),
+        ).awaitTermination()
+        return sorted((r.complaint_id, r.created_at, r.kind, r.payload) for r in spark.read.parquet(str(tmp_path / "out/predictions")).collect())
+
+    payload = '{"band":"unknown","score":0.0}'
+    want = [(0, t + timedelta(hours=1), "risk", payload), (2, t + timedelta(hours=2), "risk", payload), (2, t + timedelta(hours=9), "risk", payload)]
+    assert run() == want
+    spark.createDataFrame([(1, "category", t + timedelta(hours=10))], event).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    assert run() == sorted([*want, (1, t + timedelta(hours=10), "risk", payload)])
+    assert spark.read.parquet(str(tmp_path / "out/predictions")).select("id").distinct().count() == 4
