@@ -119,6 +119,37 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         _delete(spark, mine)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are pinned inside, for ``release_unread``."""
+    paths: list[str] = []
+    mark = len(_pinned)
+    yield paths
+    paths += _pinned[mark:]
+
+
+def _roots_of(df: DataFrame) -> set[str] | None:
+    """Folders that ``df`` reads files from; None if it reads anything that is no table of files."""
+    leaves, roots = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        paths = leaf.relation().location().rootPaths()
+        roots |= {paths.apply(j).toUri().getPath() for j in range(paths.size())}
+    return roots
+
+
+def release_unread(spark: SparkSession, df: DataFrame, paths: list[str]) -> None:
+    """Delete those of ``paths`` that ``df`` doesn't read, all of them at most; they leave the list."""
+    roots = _roots_of(df)
+    if roots is None:
+        return
+    plain = {p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath() for p in paths}
+    if not any(root == path or root.startswith(f"{path}/") for root in roots for path in plain.values()):
+        _delete(spark, paths)
+
+
 def release_pins(spark: SparkSession) -> int:
     """Delete the tables ``pin`` wrote in this process, once no query needs them any more."""
     return _delete(spark, _pinned)
