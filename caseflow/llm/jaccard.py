@@ -7,7 +7,7 @@ the next ones that a similar larger set can lie in. Parts that are empty say not
 agreement might be among empty parts only also signs with its smallest shingles (prefix filter), so no pair is lost.
 
 Sets with a common signature are checked exactly. Sets that are equal are one node. What is wanted are components, so a group of
-N sets never yields N**2 pairs: each member is checked against the group's smallest. Where a group then still spans several
+N sets never yields N**2 pairs: each member is checked against the first of the groups that it shares most signatures with. Where a group then still spans several
 components, small groups yield their pairs across components, and large ones are compared as blocks of sets by matrix products.
 Memory is bounded: groups pass as sorted streams, hubs with many members and large groups are cut into blocks.
 
@@ -23,6 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseflow.llm.components import components, smallest_reachable
@@ -36,6 +37,8 @@ BUCKET_SHINGLES = 800_000
 #: Members up to which a signature's group yields pairs; larger ones are compared in blocks of that many sets and shingles.
 PAIRED = 32
 BLOCK_SETS, BLOCK_SHINGLES, SLICE = 768, 1_000_000, 2048
+#: Hubs that a document is held against first.
+HUBS = 2
 #: Bytes of a table up to which it is sent to all tasks instead of moving the texts, and what a row and an entry of an array take at most.
 SENT_BYTES, ROW_BYTES, ENTRY_BYTES = 24 << 20, 96, 48
 
@@ -464,7 +467,12 @@ def _similar_components(docs: DataFrame, doc_id: str, text: str, width: int, per
         fits = F.expr(f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}") & (F.col("y.rows") >= parts - differ)
         return both.filter(F.col("x.several") | F.col("y.several") | fits).select("a", "b")
 
-    tried = pin(possible(groups.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()), "tried")
+    # Each document is first held against the hubs that it has most signatures in common with; what that leaves open, the groups that still span several
+    # components tell, and it is looked for there. So the first pairs are as many as documents, however many hubs a group has.
+    met = groups.groupBy(F.col("hub").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    order = W.partitionBy("b").orderBy(F.col("common").desc(), "a")  # a document has no more hubs than signatures
+    best = met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).select("a", "b")
+    tried = pin(possible(best), "tried")
     # Rows of one id may have several sets, and then join several nodes.
     joined = nodes.groupBy("doc").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a != b").select("a", "b")
     links = as_nodes(verify(usable, tried, width, percent)).unionByName(joined)
