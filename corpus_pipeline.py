@@ -6,6 +6,7 @@ its predecessor kept, and all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -14,29 +15,51 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import decontaminate, jaccard, packing, quality, secrets
 from caseflow.llm.queries import tokenizer_path
-from caseflow.session import checkpoint_root, delete_table, scratch
+from caseflow.session import checkpoint_root, delete_table, recorded, release_unread, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MARK = "[secret]"
 
 
+#: Tables that the stage before made on its way.
+_tables: list[str] = []
+
+
+def stage(function: Stage) -> Stage:
+    """A stage starts when the result of the one before is written, so the tables that one made go then, unless the stage's input reads one of them still."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_unread(spark, docs, _tables)
+        with recorded() as made:
+            result = function(spark, docs, sf_dir)
+        _tables.extend(made)
+        return result
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the label model takes for good ones and that fail no basic limit."""
     return quality.keep_good(docs).select(*COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of similar documents; documents without an id stay."""
     return jaccard.keep_first(docs).select(*COLUMNS)
 
 
+@stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
     found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
     return found.filter("n_hit = 0").select(*COLUMNS)
 
 
+@stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of every secret; n_chars follows the text."""
     found = secrets.find_secrets(docs, keep=COLUMNS)
@@ -45,6 +68,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents and their places in sequences."""
     return packing.pack(docs, tokenizer_path())
@@ -66,10 +90,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed documents. A stage's tables go once its result is written, and so does the result before it; the last two results stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     written: list[str] = []
-    for number, (_, stage) in enumerate(STAGES):
+    for number, (_, function) in enumerate(STAGES):
         with scratch(spark):
             path = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}-{number}"
-            stage(spark, docs, sf_dir).write.parquet(path)
+            function(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         written.append(path)
         if len(written) > 2:
