@@ -4,11 +4,13 @@ Texts and items are normalised alike (A-Z lower-cased, words are runs of digits,
 single blanks between them). The automaton holds every window of the items; each text is scanned once, and matches are
 mapped back to code points of the original text.
 
-The automaton is bounded by ``automaton_bytes`` of item text. A larger benchmark is cut into groups of items, each with
-an automaton of its own, and the text passes through one after the other inside the same stage: no shuffle in either case.
+Windows are made, made distinct and measured by Spark. An automaton is bounded by ``automaton_bytes`` of windows, each byte of which takes some forty in
+memory. More windows are dealt out to several groups by their hash, whatever items they come from, each with an automaton of its own, and the text passes
+through one after the other inside the same stage: texts are not shuffled in either case. Only one group at a time, of a measured size, passes the driver.
 
 Null and empty texts have no words and no hits. Null or word-free items have no windows; a null item_id is matched but
-listed nowhere. Repeated rows are answered row by row. Input columns other than the id and ``keep`` are ignored.
+listed nowhere. Repeated rows are answered row by row. Very long texts are scanned whole. An empty table of documents gives an empty result, an empty benchmark
+no hits. Input columns other than the id and ``keep`` are ignored, and those of ``keep`` that clash with a result are left out.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseflow.session import bounded_batches, pin
+
 #: Word bytes stay, A-Z become a-z, all other ASCII becomes a blank; UTF-8 bytes from 0x80 on are parts of word characters.
 NORMAL = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -48,17 +52,33 @@ def windows_of(text: str | None, size: int) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def _automaton(key: str, windows: dict[bytes, tuple[int, list[int]]]):
-    """Built once per Python worker."""
+def window_table(items: DataFrame, size: int) -> DataFrame:
+    """(window, n_words, items): every distinct window of (item, words) and the items that have it, null ones left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = list(dict.fromkeys(windows_of(text.as_py(), size)))
+                n = [w.count(b" ") + 1 for w in found]
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(found), pa.int64()), pa.array(found, pa.binary()), pa.array(n, pa.int32())], names=["item", "window", "n_words"])
+
+    rows = bounded_batches(items).mapInArrow(run, "item long, window binary, n_words int")
+    return rows.groupBy("window", "n_words").agg(F.collect_set("item").alias("items"))
+
+
+def _automaton(key: str, windows: bytes):
+    """Of (window, n_words, items) rows in Arrow's format; built once per Python worker."""
     if key not in _automata:
         import ahocorasick
 
+        _automata.clear()
         built = ahocorasick.Automaton()
-        for window, (n_words, items) in windows.items():
-            padded = f" {window.decode('latin-1')} "
-            built.add_word(padded, (len(padded), n_words, items))
+        with pa.ipc.open_stream(windows) as rows:
+            for batch in rows:
+                for window, n_words, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    padded = f" {window.decode('latin-1')} "
+                    built.add_word(padded, (len(padded), n_words, items))
         built.make_automaton()
-        _automata.clear()
         _automata[key] = built
     return _automata[key]
 
@@ -100,12 +120,13 @@ def find_leaks(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = 10,
-    automaton_bytes: int = 64 << 20,
+    automaton_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``keep`` columns of every document with n_words, n_hit, items (found, sorted) and spans (hit runs, code points)."""
     spark = docs.sparkSession
     bench = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("words"))
-    total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    table = pin(window_table(bench, window), "windows")
+    total = table.agg(F.sum(F.octet_length("window") + 8 * F.size("items"))).first()[0] or 0
     groups = -(-total // automaton_bytes) or 1
     keep = tuple(c for c in keep if c not in {f.name for f in RESULT})
     taken = docs.select(*keep, F.col(text).alias("_text"))
@@ -115,14 +136,11 @@ def find_leaks(
     final = T.StructType([*kept, *RESULT])
     out = taken
     for group in range(groups):
-        part = bench if groups == 1 else bench.filter(F.pmod(F.xxhash64("item"), F.lit(groups)) == group)
-        windows: dict[bytes, tuple[int, list[int]]] = {}
-        for row in part.toLocalIterator():
-            for w in windows_of(row.words, window):
-                found = windows.setdefault(w, (w.count(b" ") + 1, []))[1]
-                if row.item is not None and row.item not in found:
-                    found.append(row.item)
-        shared, key, last = spark.sparkContext.broadcast(windows), uuid.uuid4().hex, group == groups - 1
+        part = table if groups == 1 else table.filter(F.pmod(F.xxhash64("window"), F.lit(groups)) == group)
+        rows, sink = part.select("window", "n_words", "items").toArrow(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as stream:
+            stream.write_table(rows)
+        shared, key, last = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex, group == groups - 1
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, key=key, last=last) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(key, shared.value)
@@ -149,5 +167,5 @@ def find_leaks(
                 else:
                     yield pa.RecordBatch.from_arrays([*front, batch.column(width), pa.array(marks, pa.binary()), listed], names=mid.names)
 
-        out = out.mapInArrow(scan, final if last else mid)
+        out = bounded_batches(out).mapInArrow(scan, final if last else mid)
     return out

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow.llm import archive, components, jaccard, online_packing, queries, reputation, runs, secrets, shards, spelling, surrogates
+from caseflow.llm import archive, components, decontaminate, jaccard, online_packing, queries, reputation, runs, secrets, shards, spelling, surrogates
 from caseflow.session import checkpoint_root
 from test_llm_operators import AWKWARD, CLASHES, DOCS, LONG, plain_components
 
@@ -643,3 +643,15 @@ def test_surrogates_of_the_whole_table(spark, smoke_dir, texts):
             if e.kind in ("email", "ip", "card"):
                 put[e.kind, e.canon].add(re.sub("[ -]", "", new))
     assert len(put) > 10 and all(len(v) == 1 for v in put.values()) and len({(k, *v) for (k, _), v in put.items()}) == len(put)
+
+
+def test_windows_are_dealt_out_whatever_items_they_come_from(spark):
+    """One repeated id holds all windows, as null ids and other items do; all groups together find what one automaton finds."""
+    text = " ".join(f"w{i}" for i in range(300))
+    items = spark.createDataFrame([(7, text), (7, text), (None, text), (8, " ".join(text.split()[40:60])), (9, "W299 w0")], "item_id long, text string")
+    table = {bytes(r.window): sorted(r["items"]) for r in decontaminate.window_table(items.selectExpr("item_id AS item", "text AS words"), 10).collect()}
+    assert len(table) == 292 and table[b"w299 w0"] == [9] and table[b"w40 w41 w42 w43 w44 w45 w46 w47 w48 w49"] == [7, 8]
+    docs = spark.createDataFrame([(1, f"x {' '.join(text.split()[35:55])} y w299, W0!"), (2, None)], "doc_id long, text string")
+    one, many = (sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), str(r.spans)) for r in decontaminate.find_leaks(docs, items, automaton_bytes=n).collect()) for n in (4 << 20, 3000))
+    assert one == many and one[0][:4] == (1, 24, 22, (7, 8, 9))
+    assert [r.n_hit for r in decontaminate.find_leaks(docs, items.filter("false")).collect()] == [0, 0]
