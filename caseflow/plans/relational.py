@@ -152,7 +152,7 @@ def protected_delete(t: Tables) -> DataFrame:
 @query
 def pack_categories(t: Tables) -> DataFrame:
     used = [
-        packs.get_pack(slug).adapter(raw).groupBy(F.col("category_label").alias("category_name")).agg(F.count("*").alias("n")).withColumn("domain_slug", F.lit(slug))
+        packs.pack_for(slug).adapter(raw).groupBy(F.col("category_label").alias("category_name")).agg(F.count("*").alias("n")).withColumn("domain_slug", F.lit(slug))
         for slug, raw in (("cfpb", E.finance_records(t)), ("nyc311", E.civic_records(t)))
     ]
     return packs.pack_categories(t.spark).join(used[0].unionByName(used[1]), ["domain_slug", "category_name"], "left").select(

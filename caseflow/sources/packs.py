@@ -12,7 +12,7 @@ from caseflow import schema as S
 from caseflow.functions.scalar import hours
 
 
-class UnknownDomainError(KeyError):
+class PackNotRegistered(KeyError):
     """No pack is registered for a domain slug."""
 
 
@@ -122,9 +122,9 @@ def register(pack: PackSpec) -> None:
     PACKS[pack.slug] = pack
 
 
-def get_pack(slug: str) -> PackSpec:
+def pack_for(slug: str) -> PackSpec:
     if slug not in PACKS:
-        raise UnknownDomainError(f"no pack registered for domain {slug!r}")
+        raise PackNotRegistered(f"{slug!r} is none of the packs {sorted(PACKS)}")
     return PACKS[slug]
 
 
@@ -135,9 +135,9 @@ def read_raw_csv(spark: SparkSession, slug: str, path: str, multi_line: bool = T
     export without line breaks in its texts is split freely with ``multi_line=False``.
     """
     raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
-    adapter = get_pack(slug).adapter
+    adapter = pack_for(slug).adapter
     if adapter is None:
-        raise UnknownDomainError(f"pack {slug!r} has no raw adapter")
+        raise PackNotRegistered(f"pack {slug!r} has no raw adapter")
     return adapter(raw)
 
 

@@ -133,8 +133,8 @@ def test_packs_read_csv(spark, tmp_path):
     (tmp_path / "c.csv").write_text("Unique Key,Descriptor,Complaint Type,Created Date,Closed Date\n1,d,Noise,01/02/2024 01:00:00 PM,01/03/2024 01:00:00 PM\n2,d,Noise,01/02/2024 01:00:00 PM,01/03/2024 01:00:01 PM\n3,d,Noise,01/02/2024 01:00:00 PM,\n")
     got = {r.external_id: r.sla_met for r in packs.read_raw_csv(spark, "nyc311", str(tmp_path / "c.csv")).collect()}
     assert got == {"1": True, "2": False, "3": None}
-    with pytest.raises(packs.UnknownDomainError):
-        packs.get_pack("nowhere")
+    with pytest.raises(packs.PackNotRegistered):
+        packs.pack_for("nowhere")
 
 
 def test_a_new_pack_brings_its_categories(spark, monkeypatch):
