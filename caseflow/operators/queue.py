@@ -92,8 +92,11 @@ def page_counts(complaints: DataFrame, users: DataFrame, size: int = S.PAGE_SIZE
     )
 
 
-def legal_actions(complaints: DataFrame, permission_flags: DataFrame) -> DataFrame:
-    """What each submitter may do with an own complaint; flags come from ``access.permission_flags``."""
+ACTIONS = ("can_start_work", "can_assign", "can_mark_duplicate", "can_resolve", "can_close")
+
+
+def _actions() -> dict[str, Column]:
+    """What a viewer with permission flags may do to a complaint of column ``status``."""
     targets = F.element_at(S.transition_map(), F.col("status"))
 
     def allowed(permission: str, condition: Column) -> Column:
@@ -102,17 +105,33 @@ def legal_actions(complaints: DataFrame, permission_flags: DataFrame) -> DataFra
     def reachable(status: str) -> Column:
         return F.array_contains(targets, status)
 
-    flags = permission_flags.withColumnRenamed("user_id", "submitted_by")
-    return complaints.join(flags, "submitted_by", "left").select(
-        "id",
-        "status",
-        "submitted_by",
-        allowed("can_triage", reachable("in_progress")).alias("can_start_work"),
-        allowed("can_assign", ~F.col("status").isin(S.QUEUE_HIDDEN)).alias("can_assign"),
-        allowed("can_mark_duplicate", reachable("duplicate")).alias("can_mark_duplicate"),
-        allowed("can_resolve", reachable("resolved")).alias("can_resolve"),
-        allowed("can_resolve", reachable("closed")).alias("can_close"),
+    conditions = (
+        allowed("can_triage", reachable("in_progress")), allowed("can_assign", ~F.col("status").isin(S.QUEUE_HIDDEN)), allowed("can_mark_duplicate", reachable("duplicate")),
+        allowed("can_resolve", reachable("resolved")), allowed("can_resolve", reachable("closed")),
     )
+    return dict(zip(ACTIONS, conditions, strict=True))
+
+
+def legal_actions(complaints: DataFrame, permission_flags: DataFrame) -> DataFrame:
+    """What each submitter may do with an own complaint; flags come from ``access.permission_flags``."""
+    flags = permission_flags.withColumnRenamed("user_id", "submitted_by")
+    return complaints.join(flags, "submitted_by", "left").select("id", "status", "submitted_by", *(c.alias(name) for name, c in _actions().items()))
+
+
+def viewer_actions(complaints: DataFrame, viewers: DataFrame, permission_flags: DataFrame, agents: DataFrame) -> DataFrame:
+    """Per viewer (user_id) how many complaints they see, and to how many of them they may do what.
+
+    An action depends on the viewer's permissions and the complaint's status alone, so ``agents`` (user_id), who see all complaints, meet one row per status, and all others
+    their own complaints by status; no viewer is ever paired with single complaints of others.
+    """
+    totals = [F.struct(F.lit(r.status).alias("status"), F.lit(r.n).alias("n")) for r in complaints.groupBy("status").agg(F.count("*").alias("n")).collect()]  # one row per status
+    everything = F.array(*totals) if totals else F.array().cast("array<struct<status:string,n:bigint>>")
+    sees_all = viewers.join(agents, "user_id", "left_semi").select("user_id", F.explode(everything).alias("s")).select("user_id", "s.status", "s.n")
+    own = complaints.groupBy(F.col("submitted_by").alias("user_id"), "status").agg(F.count("*").alias("n")).join(agents, "user_id", "left_anti")
+    seen = sees_all.unionByName(own).join(permission_flags, "user_id", "left")
+    counted = seen.groupBy("user_id").agg(F.sum("n").alias("n_visible"), *(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(f"n_{name}") for name, c in _actions().items()))
+    numbers = ["n_visible", *(f"n_{name}" for name in ACTIONS)]
+    return viewers.join(counted, "user_id", "left").select("user_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers))
 
 
 def own_list(rows: DataFrame) -> DataFrame:

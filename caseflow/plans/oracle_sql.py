@@ -311,6 +311,12 @@ QUERIES: dict[str, tuple[list[str], str]] = {
           coalesce(m, FALSE) AND status IN ('submitted','in_review','in_progress') AS can_mark_duplicate, coalesce(r, FALSE) AND status = 'in_progress' AS can_resolve, coalesce(r, FALSE) AND status = 'resolved' AS can_close
         FROM complaints LEFT JOIN (SELECT user_id, bool_or(permission = 'complaints.triage_complaint') AS t, bool_or(permission = 'complaints.assign_complaint') AS a,
           bool_or(permission = 'complaints.mark_duplicate') AS m, bool_or(permission = 'complaints.resolve_complaint') AS r FROM grants GROUP BY 1) ON user_id = submitted_by"""),
+    "viewer_actions": (["complaints", "users", "grants"], """
+        SELECT u.id AS user_id, count(c.id) AS n_visible, count(*) FILTER (WHERE t AND status IN ('in_review','resolved')) AS n_can_start_work, count(*) FILTER (WHERE a AND status NOT IN ('closed','duplicate')) AS n_can_assign,
+          count(*) FILTER (WHERE m AND status IN ('submitted','in_review','in_progress')) AS n_can_mark_duplicate, count(*) FILTER (WHERE r AND status = 'in_progress') AS n_can_resolve, count(*) FILTER (WHERE r AND status = 'resolved') AS n_can_close
+        FROM users u LEFT JOIN (SELECT user_id, bool_or(permission = 'complaints.triage_complaint') AS t, bool_or(permission = 'complaints.assign_complaint') AS a, bool_or(permission = 'complaints.mark_duplicate') AS m,
+            bool_or(permission = 'complaints.resolve_complaint') AS r, bool_or(permission = 'complaints.view_queue') AS v FROM grants GROUP BY 1) g ON g.user_id = u.id
+          LEFT JOIN complaints c ON coalesce(v, FALSE) OR c.submitted_by = u.id GROUP BY 1"""),
     "queue_display": (["complaints", "domains", "categories", "users"], f"""
         SELECT c.id, d.name AS domain, coalesce(k.name, 'Untriaged') AS category,
           CASE c.priority WHEN 'low' THEN 'Low' WHEN 'medium' THEN 'Medium' WHEN 'high' THEN 'High' WHEN 'critical' THEN 'Critical' ELSE 'Not set' END AS priority,

@@ -220,6 +220,14 @@ def legal_actions(t: Tables) -> DataFrame:
     return queue.legal_actions(E.complaints(t, ["id", "status", "submitted_by"]), access.permission_flags(_grants(t)))
 
 
+@query
+def viewer_actions(t: Tables) -> DataFrame:
+    """Every user as a viewer, of complaints of others too where they may see them."""
+    grants = _grants(t)
+    viewers, agents = E.users(t).select(F.col("id").alias("user_id")), access.holders(grants, access.VIEW_QUEUE)
+    return queue.viewer_actions(E.complaints(t, ["status", "submitted_by"]), viewers, access.permission_flags(grants), agents)
+
+
 @query
 def queue_display(t: Tables) -> DataFrame:
     return queue.queue_display(E.complaints(t), E.domains(t), E.categories(t), E.users(t), E.as_of())

@@ -24,7 +24,7 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "complaint_view", "my_complaints", "queue_display", "legal_actions", "visible_counts", "acceptance_rate", "latest_prediction", "history_replay_diff",
+    "complaint_view", "my_complaints", "queue_display", "legal_actions", "viewer_actions", "authorised_state", "visible_counts", "acceptance_rate", "latest_prediction", "history_replay_diff",
     "integrity_report", "protected_delete", "queue_depth", "category_history_asof", "risk_queue", "permission_matrix", "lifecycle_state", "roc_auc",
 ])
 def test_no_cross_joins_and_no_python(spark, smoke_dir, name):
