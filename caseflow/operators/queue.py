@@ -134,15 +134,21 @@ def viewer_actions(complaints: DataFrame, viewers: DataFrame, permission_flags:
     return viewers.join(counted, "user_id", "left").select("user_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers))
 
 
+def places_within(rows: DataFrame, key: str, order: list[Column], name: str = "pos") -> DataFrame:
+    """``rows`` with each one's place among those of its ``key``.
+
+    Places come from one total order over key and ``order``, so a key with very many rows is no single task's work.
+    """
+    placed = global_position(rows, [F.col(key), *order], "_pos")
+    firsts = placed.groupBy(key).agg(F.min("_pos").alias("_first"))
+    return placed.join(firsts, key).withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")
+
+
 def own_list(rows: DataFrame) -> DataFrame:
     """``rows`` (user_id, id, created_at and more) with each one's place in its user's list, newest first, and its page.
-
-    Places come from one total order over (user, newest first), so a user with very many complaints is no single task's work.
     """
-    placed = global_position(rows, [F.col("user_id"), F.col("created_at").desc(), F.col("id").desc()], "_pos")
-    firsts = placed.groupBy("user_id").agg(F.min("_pos").alias("_first"))
-    pos = F.col("_pos") - F.col("_first") + 1
-    return placed.join(firsts, "user_id").withColumns({"pos": pos, "page": F.ceil(pos / S.PAGE_SIZE).cast("long")}).drop("_pos", "_first")
+    placed = places_within(rows, "user_id", [F.col("created_at").desc(), F.col("id").desc()])
+    return placed.withColumn("page", F.ceil(F.col("pos") / S.PAGE_SIZE).cast("long"))
 
 
 def category_options(complaints: DataFrame, domains: DataFrame, categories: DataFrame) -> DataFrame:

@@ -311,6 +311,9 @@ QUERIES: dict[str, tuple[list[str], str]] = {
           coalesce(m, FALSE) AND status IN ('submitted','in_review','in_progress') AS can_mark_duplicate, coalesce(r, FALSE) AND status = 'in_progress' AS can_resolve, coalesce(r, FALSE) AND status = 'resolved' AS can_close
         FROM complaints LEFT JOIN (SELECT user_id, bool_or(permission = 'complaints.triage_complaint') AS t, bool_or(permission = 'complaints.assign_complaint') AS a,
           bool_or(permission = 'complaints.mark_duplicate') AS m, bool_or(permission = 'complaints.resolve_complaint') AS r FROM grants GROUP BY 1) ON user_id = submitted_by"""),
+    "event_order": (["history"], "SELECT id, complaint_id, row_number() OVER (PARTITION BY complaint_id ORDER BY created_at, id) AS pos FROM history"),
+    "prediction_order": (["predictions"], "SELECT id, complaint_id, kind, row_number() OVER (ORDER BY created_at DESC, id DESC) AS pos FROM predictions"),
+    "domain_order": (["domains"], "SELECT id, slug, name, row_number() OVER (ORDER BY name, id) AS pos FROM domains"),
     "viewer_actions": (["complaints", "users", "grants"], """
         SELECT u.id AS user_id, count(c.id) AS n_visible, count(*) FILTER (WHERE t AND status IN ('in_review','resolved')) AS n_can_start_work, count(*) FILTER (WHERE a AND status NOT IN ('closed','duplicate')) AS n_can_assign,
           count(*) FILTER (WHERE m AND status IN ('submitted','in_review','in_progress')) AS n_can_mark_duplicate, count(*) FILTER (WHERE r AND status = 'in_progress') AS n_can_resolve, count(*) FILTER (WHERE r AND status = 'resolved') AS n_can_close

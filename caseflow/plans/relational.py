@@ -220,6 +220,26 @@ def legal_actions(t: Tables) -> DataFrame:
     return queue.legal_actions(E.complaints(t, ["id", "status", "submitted_by"]), access.permission_flags(_grants(t)))
 
 
+@query
+def event_order(t: Tables) -> DataFrame:
+    """The default order of a complaint's history: oldest first."""
+    history = E.history(t, E.stored_complaints(t)).select("id", "complaint_id", "created_at")
+    return queue.places_within(history, "complaint_id", [F.col("created_at"), F.col("id")]).drop("created_at")
+
+
+@query
+def prediction_order(t: Tables) -> DataFrame:
+    """The default order of predictions: newest first."""
+    rows = E.predictions(t, E.stored_complaints(t)).select("id", "complaint_id", "kind", "created_at")
+    return global_position(rows, [F.col("created_at").desc(), F.col("id").desc()]).drop("created_at")
+
+
+@query
+def domain_order(t: Tables) -> DataFrame:
+    """The default order of domains: by name."""
+    return global_position(E.domains(t).select("id", "slug", "name"), [F.col("name"), F.col("id")])
+
+
 @query
 def viewer_actions(t: Tables) -> DataFrame:
     """Every user as a viewer, of complaints of others too where they may see them."""
