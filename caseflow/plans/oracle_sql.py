@@ -311,6 +311,22 @@ QUERIES: dict[str, tuple[list[str], str]] = {
           coalesce(m, FALSE) AND status IN ('submitted','in_review','in_progress') AS can_mark_duplicate, coalesce(r, FALSE) AND status = 'in_progress' AS can_resolve, coalesce(r, FALSE) AND status = 'resolved' AS can_close
         FROM complaints LEFT JOIN (SELECT user_id, bool_or(permission = 'complaints.triage_complaint') AS t, bool_or(permission = 'complaints.assign_complaint') AS a,
           bool_or(permission = 'complaints.mark_duplicate') AS m, bool_or(permission = 'complaints.resolve_complaint') AS r FROM grants GROUP BY 1) ON user_id = submitted_by"""),
+    "delete_effects": (["complaints", "domains", "categories", "history", "predictions"], """
+        SELECT * FROM (
+          SELECT 'deleted' AS effect, 'domain' AS entity, count(*) AS n FROM domains WHERE NOT is_active
+          UNION ALL SELECT 'deleted', 'category', count(*) FROM categories WHERE domain_id IN (SELECT id FROM domains WHERE NOT is_active)
+          UNION ALL SELECT 'deleted', 'user', count(*) FROM customer WHERE c_acctbal < 0
+          UNION ALL SELECT 'deleted', 'complaint', count(*) FROM complaints WHERE status = 'closed'
+          UNION ALL SELECT 'deleted', 'event', count(*) FROM history WHERE complaint_id IN (SELECT id FROM complaints WHERE status = 'closed')
+          UNION ALL SELECT 'deleted', 'prediction', count(*) FROM predictions WHERE complaint_id IN (SELECT id FROM complaints WHERE status = 'closed')
+          UNION ALL SELECT 'refused', 'complaint.domain_id', count(*) FROM complaints WHERE status <> 'closed' AND domain_id IN (SELECT id FROM domains WHERE NOT is_active)
+          UNION ALL SELECT 'refused', 'complaint.category_id', count(*) FROM complaints WHERE status <> 'closed' AND category_id IN (SELECT c.id FROM categories c JOIN domains d ON d.id = c.domain_id WHERE NOT is_active)
+          UNION ALL SELECT 'refused', 'complaint.submitted_by', count(*) FROM complaints WHERE status <> 'closed' AND submitted_by IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+          UNION ALL SELECT 'nulled', 'complaint.assignee_id', count(*) FROM complaints WHERE status <> 'closed' AND assignee_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+          UNION ALL SELECT 'nulled', 'complaint.duplicate_of', count(*) FROM complaints WHERE status <> 'closed' AND duplicate_of IN (SELECT id FROM complaints WHERE status = 'closed')
+          UNION ALL SELECT 'nulled', 'event.actor_id', count(*) FROM history WHERE complaint_id NOT IN (SELECT id FROM complaints WHERE status = 'closed') AND actor_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+          UNION ALL SELECT 'nulled', 'event.prediction_id', count(*) FROM history WHERE complaint_id NOT IN (SELECT id FROM complaints WHERE status = 'closed')
+            AND prediction_id IN (SELECT id FROM predictions WHERE complaint_id IN (SELECT id FROM complaints WHERE status = 'closed'))) WHERE n > 0"""),
     "event_order": (["history"], "SELECT id, complaint_id, row_number() OVER (PARTITION BY complaint_id ORDER BY created_at, id) AS pos FROM history"),
     "prediction_order": (["predictions"], "SELECT id, complaint_id, kind, row_number() OVER (ORDER BY created_at DESC, id DESC) AS pos FROM predictions"),
     "domain_order": (["domains"], "SELECT id, slug, name, row_number() OVER (ORDER BY name, id) AS pos FROM domains"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseflow import schema as S
 from caseflow.functions import scalar as fn
-from caseflow.operators import access, duplicates, evaluate, evidence, integrity, keyed, lifecycle, queue, sla
+from caseflow.operators import access, deletes, duplicates, evaluate, evidence, integrity, keyed, lifecycle, queue, sla
 from caseflow.operators.scan import global_position
 from caseflow.sources import entities as E
 from caseflow.sources import packs
@@ -134,6 +134,20 @@ def cascade_delete(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query
+def delete_effects(t: Tables) -> DataFrame:
+    """What deleting the inactive domains, the closed complaints and the users with a negative balance would do."""
+    stored = E.stored_complaints(t)
+    tables = {
+        "domain": E.domains(t), "category": E.categories(t), "user": E.users(t), "complaint": stored, "event": E.history(t, stored), "prediction": E.predictions(t, stored),
+    }
+    gone = {
+        "domain": E.domains(t).filter("NOT is_active"), "complaint": stored.filter(F.col("status") == "closed"),
+        "user": t.customer.filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("id")),
+    }
+    return deletes.plan_deletes(tables, {name: df.select("id") for name, df in gone.items()}).summary()
+
+
 @query
 def set_null_on_delete(t: Tables) -> DataFrame:
     rows = E.complaints(t, ["id", "assignee_id", "duplicate_of"])
