@@ -181,9 +181,9 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     name = F.lit(None).cast("string")
     for (person, script), options in FIRST.items():
         kind = person.replace("person", "first")
-        # Few first names are distinct names only in twos and threes.
-        more = F.when(c("attempt") > 0, F.concat(F.lit("-"), chosen(options, F.lit("second")))).otherwise("")
-        third = F.when(c("attempt") > 1, F.concat(F.lit("-"), chosen(options, F.lit("third")), again)).otherwise("")
+        # More names than there are first names are told apart by twos and threes.
+        more = F.when(c("attempt") > 3, F.concat(F.lit("-"), chosen(options, F.lit("second")))).otherwise("")
+        third = F.when(c("attempt") > 5, F.concat(F.lit("-"), chosen(options, F.lit("third")), again)).otherwise("")
         name = F.when((c("kind") == kind) & (cyrillic if script == "cyrillic" else ~cyrillic), F.concat(chosen(options, F.lit("first")), more, third)).otherwise(name)
     for script, options in SYLLABLES.items():
         ends = [chosen(options, F.lit(f"family{i}")) for i in range(4)]
