@@ -91,7 +91,7 @@ def triage_report(t: Tables) -> DataFrame:
 def top_terms(t: Tables) -> DataFrame:
     model = _triage_model(t.spark, t.directory)
     place = F.array_position(F.array(*map(F.lit, model.labels)), F.col("ranked")[0])
-    scored = _triaged(t).select("id", (place - 1).cast("int").alias("suggested"), text.tokens(F.col("text")).alias("words"))
+    scored = model.predict(_documents(t), CONFIDENCE_THRESHOLD).select("id", (place - 1).cast("int").alias("suggested"), text.tokens(F.col("text")).alias("words"))
     return triage.top_terms(model, pin(scored, "suggested"), 3)
 
 
