@@ -127,8 +127,8 @@ def text_key(text: Column) -> Column:
 def _anchor_rows(docs: DataFrame, length: int, remembered: int = 200_000) -> DataFrame:
     """(hash, salt, key, pos) of all texts; a task passes over copies of texts it remembers.
 
-    Where a run of texts has an anchor very often, it is repeated for sure. One of its places goes to the others of that hash with salt 0; the
-    rest get salts, so that they are spread over tasks.
+    Where a run of texts has an anchor very often, it is repeated for sure. All its places get salts, so that they are spread over tasks and stay; one
+    of them goes to the others of that hash with salt 0 as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +140,10 @@ def _anchor_rows(docs: DataFrame, length: int, remembered: int = 200_000) -> Dat
                 owner, at, value = anchors(texts, length)
                 _, first, same, seen = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
                 salt = np.where(seen[same] >= OFTEN, 1 + np.arange(len(value)) % SALTS, 0)
-                salt[first] = 0
-                held = pa.array(keys, pa.binary()).take(pa.array(owner))
-                return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(salt.astype(np.int32)), held, pa.array(at.astype(np.int32))], names=["hash", "salt", "key", "pos"])
+                again = first[seen >= OFTEN]
+                rows, salt = np.concatenate((np.arange(len(value)), again)), np.concatenate((salt, np.zeros(len(again), salt.dtype)))
+                held = pa.array(keys, pa.binary()).take(pa.array(owner[rows]))
+                return pa.RecordBatch.from_arrays([pa.array(value[rows].view(np.int64)), pa.array(salt.astype(np.int32)), held, pa.array(at[rows].astype(np.int32))], names=["hash", "salt", "key", "pos"])
 
             for text in batch.column(0):  # one text at a time, not all of a batch as objects
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")

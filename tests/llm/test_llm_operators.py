@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from array import array
@@ -497,6 +498,17 @@ OPERATORS = {
 }
 
 
+@pytest.mark.parametrize("block", [50_000, 5])
+def test_repeats_of_an_anchor_that_is_often_in_one_run_of_texts(spark, block):
+    drawn = random.Random(3)
+    noise = lambda n: "".join(drawn.choice("abcdefghij klmno") for _ in range(n))
+    passage = noise(230)
+    rows = [(i, noise(drawn.randint(0, 300)) + passage + noise(drawn.randint(0, 300))) for i in range(20)]
+    found = as_dict(repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block=block))
+    for (i, _), want in zip(rows, plain_repeats([t for _, t in rows], 200), strict=True):
+        assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == want[:4]
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables(spark, awkward, name):
     assert OPERATORS[name](awkward.filter("false")).collect() == []
