@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +42,14 @@ def overrides(judged: DataFrame) -> DataFrame:
     return judged.filter(~F.col("accepted"))
 
 
-def override_corpus(judged: DataFrame, complaints: DataFrame) -> DataFrame:
-    """Every text on which a human decided differently from a prediction, of any kind: the retraining set."""
-    texts = complaints.select(F.col("id").alias("complaint_id"), "title", "body")
-    return overrides(judged).join(texts, "complaint_id").select(
-        "complaint_id", "kind", F.col("to_value").alias("human_label"), "model_version", "title", "body"
-    )
+def override_corpus(judged: DataFrame, complaints: DataFrame, with_texts: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Every text on which a human decided differently from a prediction, of any kind: the retraining set.
+
+    ``complaints`` have title and body, or get them from ``with_texts``, which sees the overridden ones only: the texts of all others are never moved.
+    """
+    labels = overrides(judged).select("complaint_id", "kind", F.col("to_value").alias("human_label"), "model_version")
+    found = with_texts(labels.join(complaints.withColumnRenamed("id", "complaint_id"), "complaint_id"))
+    return found.select("complaint_id", "kind", "human_label", "model_version", "title", "body")
 
 
 def latest_predictions(predictions: DataFrame) -> DataFrame:

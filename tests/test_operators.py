@@ -234,3 +234,19 @@ def test_commands_are_authorised_before_they_are_tried(spark):
     complaints = spark.createDataFrame([(10, 5), (20, 2)], "complaint_id LONG, submitted_by LONG")
     got = {r.seq: r.denied for r in access.command_access(commands, grants, complaints, spark.createDataFrame([("ann",)], "assignee STRING")).collect()}
     assert got == {1: None, 2: "forbidden", 3: "not_found", 4: "not_found", 5: None, 6: "unknown_assignee", 7: "forbidden", 8: "forbidden"}
+
+
+def test_texts_are_fetched_for_overridden_complaints_only(spark):
+    judged = spark.createDataFrame(
+        [(1, "category", "a", "v1", False), (2, "category", "b", "v1", True), (3, "duplicate", "7", "v1", None), (1, "duplicate", "2", "v2", False), (9, "category", "a", "v1", False)],
+        "complaint_id long, kind string, to_value string, model_version string, accepted boolean",
+    )
+    asked = []
+
+    def with_texts(rows):
+        asked.extend(r.complaint_id for r in rows.collect())
+        return rows.withColumn("title", F.lit("t")).withColumn("body", F.concat(F.lit("text "), "complaint_id"))
+
+    found = evidence.override_corpus(judged, spark.range(1, 6), with_texts).collect()
+    assert asked == [1, 1]
+    assert sorted(tuple(r) for r in found) == [(1, "category", "a", "v1", "t", "text 1"), (1, "duplicate", "2", "v2", "t", "text 1")]
