@@ -135,8 +135,11 @@ def set_null_on_delete(rows: DataFrame, column: str, deleted: DataFrame) -> Data
 
 
 def protected_delete(deleted: DataFrame, children: DataFrame, column: str) -> DataFrame:
-    """Deletions refused because something still refers to the row."""
-    return deleted.join(children.select(F.col(column).alias("id")), "id", "left_semi")
+    """Deletions refused because something still refers to the row.
+
+    References are made distinct first, map-side: a row that very many children refer to does not bring them all to one task.
+    """
+    return deleted.join(children.select(F.col(column).alias("id")).distinct(), "id", "left_semi")
 
 
 def taxonomy_drift(seeded: DataFrame, declared: DataFrame) -> DataFrame:

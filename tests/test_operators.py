@@ -250,3 +250,10 @@ def test_texts_are_fetched_for_overridden_complaints_only(spark):
     found = evidence.override_corpus(judged, spark.range(1, 6), with_texts).collect()
     assert asked == [1, 1]
     assert sorted(tuple(r) for r in found) == [(1, "category", "a", "v1", "t", "text 1"), (1, "duplicate", "2", "v2", "t", "text 1")]
+
+
+def test_references_to_a_row_are_made_distinct_before_they_meet_it(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("domain_id"))
+    refused = keyed.protected_delete(spark.range(5), rows, "domain_id")
+    assert "Aggregate [id" in refused._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.id for r in refused.collect()) == [0, 1, 2]
