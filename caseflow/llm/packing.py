@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.session import pin
+from caseflow.session import bounded_batches, pin
 
 #: White space for the splitter of this module that is none for the tokenizer.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
@@ -44,7 +44,7 @@ class WordIds(dict):
     splits letters from the marks after them; words of small Latin letters go straight to its model, all others through the whole of it.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -111,8 +111,8 @@ def tokenise(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[st
         words, part, seen = words_for(tokenizer), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch in batches:
             rows, pieces, starts, lengths, sums, ranks, ids = [], [], [], [], [], [], []
-            for row, value in enumerate(batch.column(len(keep)).to_pylist()):
-                stream = words.of_text(value) + last
+            for row, value in enumerate(batch.column(len(keep))):  # one text at a time, not all of a batch as objects
+                stream = words.of_text(value.as_py()) + last
                 for number, at in enumerate(range(0, len(stream), 4 * length)):
                     piece = stream[at : at + 4 * length]
                     n = len(piece) // 4
@@ -130,7 +130,7 @@ def tokenise(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[st
             more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([*front, *numbers, *more], names=schema.names)
 
-    return taken.mapInArrow(cut, schema)
+    return bounded_batches(taken).mapInArrow(cut, schema)
 
 
 def _best_pair(counts: np.ndarray, room: int) -> tuple[int, int]:
