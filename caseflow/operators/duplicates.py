@@ -67,13 +67,14 @@ def canonical_roots(edges: DataFrame) -> DataFrame:
 
     Pointer doubling: each round replaces every link by the link of its target, so after round r a link has walked 2**r steps. A
     chain has no more steps than there are links, so what has not ended after log2(links) rounds never will. One table
-    holds all links, ended ones included.
+    holds all links, ended ones included, and is shuffled in every round: sent to all executors through the driver, it would pass there
+    once for each round.
     """
     links = edges.filter(F.col("duplicate_of").isNotNull() & (F.col("duplicate_of") != F.col("id")))
     state = pin(links.select("id", F.col("duplicate_of").alias("root"), F.lit(1).cast("long").alias("hops"), F.lit(False).alias("ended")), "links")
     for _ in range(state.count().bit_length()):
         ahead = state.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("hops").alias("more"), F.col("ended").alias("next_ended"))
-        moving = state.filter("NOT ended").join(ahead, "root", "left").select(
+        moving = state.filter("NOT ended").join(ahead.hint("merge"), "root", "left").select(
             "id", F.coalesce("next", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
             F.coalesce("next_ended", F.lit(True)).alias("ended"),
         )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseflow import schema as S
 from caseflow.functions import scalar as fn
 from caseflow.models.base import ScorerRegistry, null_risk, null_triage, with_null_scores
-from caseflow.operators import access, evaluate, evidence, keyed, queue, sla
+from caseflow.operators import access, duplicates, evaluate, evidence, keyed, queue, sla
 from caseflow.operators.scan import global_position, last_before, running_totals
 from caseflow.session import checkpoint_root, pin, release_pins
 from caseflow.sources import packs
@@ -257,3 +257,18 @@ def test_references_to_a_row_are_made_distinct_before_they_meet_it(spark):
     refused = keyed.protected_delete(spark.range(5), rows, "domain_id")
     assert "Aggregate [id" in refused._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.id for r in refused.collect()) == [0, 1, 2]
+
+
+def test_chains_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Links of every round are shuffled, however small the table: sent out as a whole they would pass the driver once per round."""
+    plans = []
+
+    def spied(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return pin(df, label)
+
+    monkeypatch.setattr(duplicates, "pin", spied)
+    links = [(i, i - 1 if i else None) for i in range(20)] + [(20, 21), (21, 20), (22, 21), (23, 23), (24, 999)]
+    got = {r.id: (r.root, r.hops) for r in duplicates.canonical_roots(spark.createDataFrame(links, "id LONG, duplicate_of LONG")).collect()}
+    assert got == {**{i: (0, i) for i in range(1, 20)}, 20: (None, None), 21: (None, None), 22: (None, None), 24: (999, 1)}
+    assert len(plans) > 3 and not any("Broadcast" in plan for plan in plans)
