@@ -42,7 +42,7 @@ MARKS = ".,;:?!*$%&|>#"
 class ChunkIds(dict):
     """Chunk -> its ids as little-endian 32-bit bytes, remembered up to ``most`` chunks per Python worker.
 
-    Marks after letters are a piece of their own, so words are remembered without them; letters go straight to the tokenizer's model.
+    Marks after letters are a piece of their own, so a word's ids are made once for all marks that follow it; letters go straight to the tokenizer's model.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -62,8 +62,9 @@ class ChunkIds(dict):
         # One piece of letters for both Python and the tokenizer: Latin ones mean the same to every version of Unicode.
         if letters.isalpha() and max(letters) < "\u0250":
             if core != chunk:
-                return self[core] + self[chunk[len(core) :]]
-            ids = array("I", [t.id for t in self.tokens("".join(map(BYTE_LETTERS.__getitem__, core.encode())))]).tobytes()
+                ids = self[core] + self[chunk[len(core) :]]
+            else:
+                ids = array("I", [t.id for t in self.tokens("".join(map(BYTE_LETTERS.__getitem__, core.encode())))]).tobytes()
         else:
             ids = self.encode(chunk)
         if len(chunk) <= 64:

@@ -655,3 +655,9 @@ def test_windows_are_dealt_out_whatever_items_they_come_from(spark):
     one, many = (sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), str(r.spans)) for r in decontaminate.find_leaks(docs, items, automaton_bytes=n).collect()) for n in (4 << 20, 3000))
     assert one == many and one[0][:4] == (1, 24, 22, (7, 8, 9))
     assert [r.n_hit for r in decontaminate.find_leaks(docs, items.filter("false")).collect()] == [0, 0]
+
+
+def test_a_word_with_its_marks_is_remembered():
+    chunks = online_packing.ChunkIds(BYTE_BPE)
+    ids = chunks.of_text("Many words, many words,")
+    assert " words," in chunks and chunks.of_text("Many words, many words,") == ids == chunks.encode("Many words, many words,")
