@@ -42,6 +42,16 @@ def test_only_needed_columns_and_joins(spark, smoke_dir):
     assert "lineitem" not in plan and "documents" not in plan
 
 
+def test_untimely_shipping_comes_with_the_one_scan_of_the_lines(spark, smoke_dir):
+    rows = E.complaints(Tables(spark, smoke_dir), ["id", "resolved_at", "untimely"])
+    assert plan_of(rows).count("l_shipdate#") and plan_of(rows).count("lineitem.parquet") == 1
+    want = duckdb.sql(f"""
+        SELECT o_orderkey, date_diff('day', o_orderdate, max(l_shipdate)) > 90
+        FROM '{smoke_dir}/orders.parquet' LEFT JOIN '{smoke_dir}/lineitem.parquet' ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
+    """).fetchall()
+    assert {r.id: r.untimely for r in rows.collect()} == dict(want) and {x for _, x in want} >= {True, False}
+
+
 @pytest.mark.parametrize("name", ["agent_queue", "lifecycle_duplicates", "acceptance_rate", "dedup_topk", "canonical_root"])
 def test_against_sql(spark, smoke_dir, name):
     con = duckdb.connect()
