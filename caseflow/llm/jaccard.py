@@ -412,6 +412,14 @@ def compare_blocks(docs: DataFrame, clusters: DataFrame, width: int, percent: in
     return exact.unionByName(linked(again, False))
 
 
+def _signing(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """``docs`` without those that ``roles`` (doc, signs) says don't sign. The shorter list of the two is sent to all tasks if it is short, else the texts are shuffled."""
+    counts = {signs: n for signs, n in roles.groupBy("signs").count().collect()}
+    signs = counts.get(True, 0) <= counts.get(False, 0)
+    listed = roles.filter("signs" if signs else "NOT signs").select(F.col("doc").alias("doc_id"))
+    return docs.join(F.broadcast(listed) if counts.get(signs, 0) * ROW_BYTES <= SENT_BYTES else listed, "doc_id", "left_semi" if signs else "left_anti")
+
+
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links). Tables made on the way are gone when it returns."""
     with scratch(docs.sparkSession) as keep:
@@ -439,8 +447,11 @@ def _similar_components(docs: DataFrame, doc_id: str, text: str, width: int, per
     firsts = pin(known.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     nodes = pin(known.join(firsts, "digest").select(F.col("doc_id").alias("doc"), "first"), "nodes")
     usable = rows.filter(F.col("doc_id").isNotNull())
-    shingles = sized.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = pin(shared(sign(usable, width, scheme, 1 + shingles // BUCKET_SHINGLES)).filter("hub != doc"), "groups")
+    # Only the first document of equal sets signs, so copies add neither signatures nor members of groups. A document with several sets signs if it is the first of any.
+    roles = pin(nodes.groupBy("doc").agg(F.max(F.col("doc") == F.col("first")).alias("signs")), "roles")
+    signing = _signing(usable, roles)
+    shingles = known.join(roles.filter("signs").select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").agg(F.sum("n_shingles")).first()[0] or 0
+    groups = pin(shared(sign(signing, width, scheme, 1 + shingles // BUCKET_SHINGLES)).filter("hub != doc"), "groups")
 
     def as_nodes(links: DataFrame) -> DataFrame:
         left = links.join(nodes.select(F.col("doc").alias("a"), F.col("first").alias("x")), "a")

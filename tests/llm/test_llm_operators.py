@@ -534,3 +534,28 @@ def test_awkward_rows(awkward, name):
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == Counter((a[0], *w) for a, w in zip(AWKWARD, want, strict=True))
     if name == "quality":
         assert all((r.n_words, r.n_repeat_words) == (plain_quality(t)[0], plain_quality(t)[4]) for r in rows for t in [next(x[1] for x in AWKWARD if x[0] == r.doc_id)])
+
+
+@pytest.mark.parametrize(("copies", "sent"), [(2, None), (9, None), (9, 0)])
+def test_jaccard_copies_do_not_sign(spark, monkeypatch, copies, sent):
+    """Of equal sets one document makes signatures, however many copies a text has and wherever they are read."""
+    if sent is not None:
+        monkeypatch.setattr(jaccard, "SENT_BYTES", sent)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    near = [f"{t} w{i}" for i, t in enumerate(texts[:5])]
+    rows = [(100 * c + i, t) for c in range(copies) for i, t in enumerate(texts + near)]
+    # Two texts under one id, one of them first of its set; a row without an id and one without words.
+    rows += [(5000, texts[7]), (5000, "only here five words long"), (None, texts[8]), (5001, " ")]
+    signed, sign = [], jaccard.sign
+
+    def recorded(docs, *args):
+        signed.extend(r.doc_id for r in docs.select("doc_id").collect())
+        return sign(docs, *args)
+
+    monkeypatch.setattr(jaccard, "sign", recorded)
+    found = {(r.doc_id, r.component_id) for r in jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert set(signed) - {5001} == {*range(25), 5000}
+    own = {i: i if i < 20 else i - 20 for i in range(25)}
+    expected = {(100 * c + i, own[i]) for c in range(copies) for i in range(25)} | {(5000, 7), (None, None), (5001, 5001)}
+    assert found == expected
