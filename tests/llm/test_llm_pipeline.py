@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from caseflow.llm import quality
+from caseflow.llm import jaccard, quality
 from test_llm_operators import plain_components, plain_leaks, plain_secrets
 
 
@@ -43,3 +43,22 @@ def test_run_over_an_empty_table(spark, smoke_dir, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{smoke_dir}/{name}.parquet").filter("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_copies_add_nothing_to_the_tables_of_near_duplicates(spark, smoke_dir, monkeypatch):
+    docs = spark.read.parquet(f"{smoke_dir}/documents.parquet")
+    rows: dict[str, list[int]] = {}
+    pinned = jaccard.pin
+
+    def recorded(df, label, *args):
+        table = pinned(df, label, *args)
+        rows.setdefault(label, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard, "pin", recorded)
+    kept = {r.doc_id for r in P.near_duplicates(spark, docs, smoke_dir).select("doc_id").collect()}
+    once, rows = rows, {}
+    shifted = docs.withColumn("doc_id", F.explode(F.array(*(F.col("doc_id") + 10**6 * i for i in range(6)))))
+    assert {r.doc_id for r in P.near_duplicates(spark, shifted, smoke_dir).select("doc_id").collect()} == kept
+    # Runs of texts differ, and with them which of a signature's documents stands for it; six copies would be six times as many rows at least.
+    assert once["groups"][0] > 0 and rows["groups"][0] < 2 * once["groups"][0] and rows["members"][0] < 2 * once["members"][0]
